@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from haplospark.llm.mixing import OP2_SQL, op2_source_mix
 from haplospark.llm.quality_rules import op1_quality_rules
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_source_mix": op2_source_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_source_mix": OP2_SQL}
