@@ -5,11 +5,13 @@ from __future__ import annotations
 from haplospark.llm.mixing import OP2_SQL, op2_source_mix
 from haplospark.llm.quality_rules import op1_quality_rules
 from haplospark.llm.token_files import op8_token_files
+from haplospark.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mix": op2_source_mix,
     "op8_token_files": op8_token_files,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_source_mix": OP2_SQL}
