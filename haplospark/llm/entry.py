@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from haplospark.llm.mixing import OP2_SQL, op2_source_mix
+from haplospark.llm.pu_quality import op6_pu_quality
 from haplospark.llm.quality_rules import op1_quality_rules
 from haplospark.llm.token_files import op8_token_files
 from haplospark.llm.toxicity import op9_toxicity
@@ -10,6 +11,7 @@ from haplospark.llm.toxicity import op9_toxicity
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mix": op2_source_mix,
+    "op6_pu_quality": op6_pu_quality,
     "op8_token_files": op8_token_files,
     "op9_toxicity": op9_toxicity,
 }
