@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from haplospark.llm.decontaminate import OP4_SQL, op4_decontamination
+from haplospark.llm.link_graph import op7_link_graph
 from haplospark.llm.mixing import OP2_SQL, op2_source_mix
 from haplospark.llm.pu_quality import op6_pu_quality
 from haplospark.llm.quality_rules import op1_quality_rules
@@ -11,9 +13,11 @@ from haplospark.llm.toxicity import op9_toxicity
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mix": op2_source_mix,
+    "op4_decontamination": op4_decontamination,
     "op6_pu_quality": op6_pu_quality,
+    "op7_link_graph": op7_link_graph,
     "op8_token_files": op8_token_files,
     "op9_toxicity": op9_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_source_mix": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_source_mix": OP2_SQL, "op4_decontamination": OP4_SQL}
