@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from haplospark.llm.decontaminate import OP4_SQL, op4_decontamination
+from haplospark.llm.language_model import op3_language_model
 from haplospark.llm.link_graph import op7_link_graph
 from haplospark.llm.mixing import OP2_SQL, op2_source_mix
 from haplospark.llm.pu_quality import op6_pu_quality
@@ -13,6 +14,7 @@ from haplospark.llm.toxicity import op9_toxicity
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mix": op2_source_mix,
+    "op3_language_model": op3_language_model,
     "op4_decontamination": op4_decontamination,
     "op6_pu_quality": op6_pu_quality,
     "op7_link_graph": op7_link_graph,
