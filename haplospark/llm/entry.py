@@ -6,6 +6,7 @@ from haplospark.llm.decontaminate import OP4_SQL, op4_decontamination
 from haplospark.llm.language_model import op3_language_model
 from haplospark.llm.link_graph import op7_link_graph
 from haplospark.llm.mixing import OP2_SQL, op2_source_mix
+from haplospark.llm.near_dedup import op5_near_dedup
 from haplospark.llm.pu_quality import op6_pu_quality
 from haplospark.llm.quality_rules import op1_quality_rules
 from haplospark.llm.token_files import op8_token_files
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_source_mix": op2_source_mix,
     "op3_language_model": op3_language_model,
     "op4_decontamination": op4_decontamination,
+    "op5_near_dedup": op5_near_dedup,
     "op6_pu_quality": op6_pu_quality,
     "op7_link_graph": op7_link_graph,
     "op8_token_files": op8_token_files,

@@ -48,9 +48,9 @@ def pair_hash(before: np.ndarray, now: np.ndarray) -> np.ndarray:
     return K.mix(before * K.WORD_BASE + now)
 
 
-def keys_of(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+def keys_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """Words and pairs in one sorted array: the lowest bit tells which."""
-    now, before, _ = tokens(chunk)
+    now, before, _ = tokens(chunk_of(row))
     one, pair = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFE)
     return np.unique(np.concatenate([now | one, pair_hash(before, now) & pair]), return_counts=True)
 
