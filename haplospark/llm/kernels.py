@@ -66,14 +66,16 @@ def texts_of(column: pa.Array, lower: bool = False) -> Texts:
     return Texts(LOWER[data] if lower else data, offsets - offsets[0])
 
 
-def spans(texts: Texts, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes outside ``gap`` (by byte) within each text."""
+def spans(texts: Texts, gap: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes outside ``gap`` (by byte) within each text; ``cut``: where a run also ends, by position."""
     inside = ~gap[texts.data]
     n = len(inside)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     edge = np.zeros(n + 1, bool)
     edge[texts.offsets] = True
+    if cut is not None:
+        edge[:n] |= cut
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1] | edge[1:n]
     last[:-1] &= ~inside[1:] | edge[1:n]
@@ -107,8 +109,8 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
 
-def words_of(texts: Texts, gap: np.ndarray = SPACE) -> Words:
-    starts, ends = spans(texts, gap)
+def words_of(texts: Texts, gap: np.ndarray = SPACE, cut: np.ndarray | None = None) -> Words:
+    starts, ends = spans(texts, gap, cut)
     return Words(starts, ends, np.searchsorted(starts, texts.offsets), span_hashes(texts.data, starts, ends))
 
 

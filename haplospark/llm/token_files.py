@@ -8,9 +8,11 @@ alone. ``codebook`` beside it holds the code length of each id; that is all a
 canonical code needs.
 
 Two passes tokenize: one for global counts of ids, one that encodes after a
-range shuffle by doc_id. In a pass each distinct word is tokenized once and
-looked up after that (this tokenizer never joins characters over white space,
-so a text's ids are its words' ids end to end).
+range shuffle by doc_id. In a pass each distinct piece is tokenized once and
+looked up after that: this tokenizer never joins characters over white space,
+nor a letter with a sign other than an apostrophe, so a text's ids are its
+pieces' ids end to end. It lowers case itself, so pieces are lowered first
+unless its case-sensitive special tokens may occur.
 
 Hot ids: rows with the same doc_id are spread by their text's hash and place.
 Defined cases: null and empty texts give the end id alone; null doc_ids come
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,21 @@ from haplospark.llm import huffman as H
 from haplospark.llm import kernels as K
 from haplospark.llm.common import shared_dir, table, text_slices
 
-END_ID, BLOCK_IDS, SLICE, WORDS_KEPT = 1, 1 << 17, 8 << 20, 2_000_000
+END_ID, BLOCK_IDS, SLICE, WORDS_KEPT, AT_ONCE = 1, 1 << 17, 4 << 20, 1_000_000, 8192
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+SIGN = np.zeros(256, bool)
+SIGN[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'|"]] = True
+
+
+def pieces(column: pa.Array) -> tuple[K.Texts, K.Words]:
+    texts = K.texts_of(column)
+    if b"<|" not in texts.data.tobytes():
+        texts = K.Texts(K.LOWER[texts.data], texts.offsets)
+    letter, sign = LETTER[texts.data], SIGN[texts.data]
+    cut = np.zeros(len(letter), bool)
+    cut[1:] = letter[1:] & sign[:-1] | sign[1:] & letter[:-1]
+    return texts, K.words_of(texts, cut=cut)
 
 
 class WordIds:
@@ -64,10 +81,12 @@ class WordIds:
         new = np.flatnonzero(~K.member(self.keys, distinct)) if len(self.keys) else np.arange(len(distinct))
         if len(new):
             data, s, e = texts.data.tobytes(), words.starts[first[new]].tolist(), words.ends[first[new]].tolist()
-            found = [x.ids for x in self.tokenizer.encode_batch([data[a:b].decode() for a, b in zip(s, e)], add_special_tokens=False)]
+            found: list[list[int]] = []
+            for i in range(0, len(s), AT_ONCE):
+                found += [x.ids for x in self.tokenizer.encode_batch_fast([data[a:b].decode() for a, b in zip(s[i : i + AT_ONCE], e[i : i + AT_ONCE])], add_special_tokens=False)]
             length = np.fromiter(map(len, found), np.int64, len(found))
             start = len(self.flat) + np.cumsum(length) - length
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.uint32, int(length.sum()))])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))])
             keys = np.concatenate([self.keys, distinct[new]])
             order = np.argsort(keys, kind="stable")
             self.keys, self.start, self.length = keys[order], np.concatenate([self.start, start])[order], np.concatenate([self.length, length])[order]
@@ -75,8 +94,7 @@ class WordIds:
         return self.start[at], self.length[at], which
 
     def counts(self, column: pa.Array, vocabulary: int) -> np.ndarray:
-        texts = K.texts_of(column)
-        start, length, which = self.look_up(texts, K.words_of(texts))
+        start, length, which = self.look_up(*pieces(column))
         times = np.bincount(which, minlength=len(start))
         total = np.bincount(self.flat[_ranges(start, length)], np.repeat(times, length), minlength=vocabulary).astype(np.int64)
         total[END_ID] += len(column)
@@ -84,8 +102,7 @@ class WordIds:
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end ids, and where each document begins."""
-        texts = K.texts_of(column)
-        words = K.words_of(texts)
+        texts, words = pieces(column)
         start, length, which = self.look_up(texts, words)
         end = len(self.flat)
         flat = np.append(self.flat, np.uint32(END_ID))
