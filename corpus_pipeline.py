@@ -1,15 +1,66 @@
-"""The corpus pipeline: documents in, token ids out."""
+"""The corpus pipeline: documents in, token files out.
+
+STAGES are (name, function) in order; each function takes (spark, docs, sf_dir)
+and works on all that the stage before it kept. All but the last return the
+columns of documents. SQL cannot express the stages; tests hold them against
+brute force."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from haplospark.llm.common import staged, table
+from haplospark.llm.decontaminate import contamination, small
+from haplospark.llm.mixing import mixed_rows
+from haplospark.llm.near_dedup import without_near_duplicates
+from haplospark.llm.token_files import token_digests
+from haplospark.llm.toxicity import REJECT, toxicity_scores
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score REJECT or more go."""
+    scored = toxicity_scores(docs, table(spark, sf_dir, "labels"), docs.columns, out="__toxicity")
+    return scored.where(F.col("__toxicity") < REJECT).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    return without_near_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a word inside a benchmark window go."""
+    found = staged(contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("d").alias("__d"), F.col("h").alias("__h")), "contaminated")
+    return docs.join(small(found, found.count()), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them: none to three times."""
+    return mixed_rows(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of what is left, read back: doc_id, start, n_tokens, ids_crc32."""
+    return token_digests(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token_files", write_tokens),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """Applies the stages to documents; each stage's result is written and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = staged(docs, f"pipeline-{name}")
     return docs

@@ -63,7 +63,7 @@ class Chunk:
 
 
 def chunked(docs: DataFrame, name: str) -> DataFrame:
-    """docs(doc_id, text, role int) -> written chunks: chunk, role, doc_ids, counts, words, stream. A chunk has one role. A-Z count as a-z.
+    """docs(doc_id, text, role int, mark long) -> written chunks: chunk, role, doc_ids, marks, counts, words, stream. A chunk has one role. A-Z count as a-z.
     A chunk's number has 43 bits: 23 of the partition, 20 within it."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -76,11 +76,11 @@ def chunked(docs: DataFrame, name: str) -> DataFrame:
                 for part in text_slices(own, "text", CHUNK_BYTES):
                     found = K.words_of(K.texts_of(part.column("text"), lower=True))
                     words, stream = np.unique(found.hashes, return_inverse=True)
-                    row = [pa.array([number], pa.int64()), pa.array([int(role)], pa.int32()), pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc_id")), pa.array([found.counts], pa.list_(pa.int64())), pa.array([words.tobytes()], pa.binary()), pa.array([pack(stream.astype(np.uint32))], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(row, names=["chunk", "role", "doc_ids", "counts", "words", "stream"])
+                    row = [pa.array([number], pa.int64()), pa.array([int(role)], pa.int32()), pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc_id")), pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("mark")), pa.array([found.counts], pa.list_(pa.int64())), pa.array([words.tobytes()], pa.binary()), pa.array([pack(stream.astype(np.uint32))], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(row, names=["chunk", "role", "doc_ids", "marks", "counts", "words", "stream"])
                     number += 1
 
-    return staged(docs.select("doc_id", "text", "role").mapInArrow(run, f"chunk long, role int, doc_ids array<{kind}>, counts array<long>, words binary, stream binary"), name)
+    return staged(docs.select("doc_id", "text", "role", "mark").mapInArrow(run, f"chunk long, role int, doc_ids array<{kind}>, marks array<long>, counts array<long>, words binary, stream binary"), name)
 
 
 def chunk_of(row: dict) -> Chunk:

@@ -9,6 +9,7 @@ from haplospark.llm.mixing import OP2_SQL, op2_source_mix
 from haplospark.llm.near_dedup import op5_near_dedup
 from haplospark.llm.pu_quality import op6_pu_quality
 from haplospark.llm.quality_rules import op1_quality_rules
+from haplospark.llm.surrogates import op10_surrogates
 from haplospark.llm.token_files import op8_token_files
 from haplospark.llm.toxicity import op9_toxicity
 
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_link_graph": op7_link_graph,
     "op8_token_files": op8_token_files,
     "op9_toxicity": op9_toxicity,
+    "op10_surrogates": op10_surrogates,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_source_mix": OP2_SQL, "op4_decontamination": OP4_SQL}

@@ -102,7 +102,7 @@ def learn_weights(histogram: np.ndarray, p0: float, rounds: int = 100) -> np.nda
 
 def language_scores(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, role) with role TRAIN, DELETED (training too) or HELD -> doc_id, role, n_tokens, n_known, train_tokens, base_score, score."""
-    chunks = chunked(docs, "lm-chunks")
+    chunks = chunked(docs.withColumn("mark", F.lit(0).cast("long")), "lm-chunks").drop("marks")
     kind = chunks.schema["doc_ids"].dataType.elementType
     arrow_kind, kind = to_arrow_type(kind), kind.simpleString()
     counts, totals = count_everywhere(chunks, keys_of, ((TRAIN, DELETED), (TRAIN,)), "lm-counts")

@@ -83,8 +83,8 @@ def thresholds(sizes: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
     return state.select(F.col("s").alias("source"), (F.col("prefix") - F.when(nearer, 0).otherwise(1)).alias("threshold"))
 
 
-def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """-> doc_id, source, size, source_size, target, copies, taken: the mix holds ``copies`` of a document, ``taken`` = copies * size words."""
+def mix_plan(df: DataFrame, doc_id: str, text: str, source: str, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame]:
+    """Written sizes (doc_id, source, size, h) of all rows, and the plan by source: p, source_size, target, passes, threshold."""
     sizes = staged(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), hash_of(F.col(doc_id)).alias("h")), "mix-sizes")
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(by_source, weights, most)
@@ -93,8 +93,23 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     few = plan.count() <= BROADCAST_SOURCES
     at = thresholds(sizes, plan, few)
     plan = plan.join(_plans(at.withColumnRenamed("source", "s"), few), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("p"), "source_size", "target", "passes", F.coalesce("threshold", F.lit(-1)).alias("threshold"))
+    return sizes, _plans(plan, few)
+
+
+def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """-> doc_id, source, size, source_size, target, copies, taken: the mix holds ``copies`` of a document, ``taken`` = copies * size words."""
+    sizes, plan = mix_plan(df, doc_id, text, source, weights, most)
     copies = F.col("passes") + (F.col("h") <= F.col("threshold")).cast("long")
-    return sizes.join(_plans(plan, few), F.col("source").eqNullSafe(F.col("p"))).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return sizes.join(plan, F.col("source").eqNullSafe(F.col("p"))).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """The rows of ``df`` as often as the mix takes them, with the columns of ``df``."""
+    _, plan = mix_plan(df, doc_id, text, source, weights, most)
+    plan = plan.select("p", "passes", "threshold").toDF("__p", "__passes", "__threshold")
+    copies = F.col("__passes") + (hash_of(F.col(doc_id)) <= F.col("__threshold")).cast("long")
+    taken = df.join(plan, F.col(source).eqNullSafe(F.col("__p"))).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    return taken.select(*df.columns)
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

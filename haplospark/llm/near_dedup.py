@@ -144,7 +144,7 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame):
         """docs(doc_id, text)."""
-        self.chunks = chunked(docs.select("doc_id", "text", F.lit(0).alias("role")), "dedup-chunks")
+        self.chunks = chunked(docs.select("doc_id", "text", F.lit(0).alias("role"), F.xxhash64("text").alias("mark")), "dedup-chunks")
         self.kind = self.chunks.schema["doc_ids"].dataType.elementType
         self.members = staged(self._members(), "dedup-members")
         self.copies = staged(self.members.groupBy("h1", "h2").agg(F.min("rid").alias("rep")), "dedup-copies")
@@ -153,7 +153,7 @@ class NearDuplicates:
         self.frequencies, _ = count_everywhere(self.masked, document_frequencies, ((0,),), "dedup-frequencies")
 
     def _members(self) -> DataFrame:
-        """rid (chunk and place), doc_id, h1, h2 for each row."""
+        """rid (chunk and place), doc_id, mark (hash of the text as it is), h1, h2 for each row."""
         arrow_kind = to_arrow_type(self.kind)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,9 +161,9 @@ class NearDuplicates:
                 for row in batch.to_pylist():
                     h1, h2 = text_hashes(chunk_of(row))
                     rid = (row["chunk"] << IDS_BITS) + np.arange(len(h1))
-                    yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(row["doc_ids"], arrow_kind), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["rid", "doc_id", "h1", "h2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(row["doc_ids"], arrow_kind), pa.array(row["marks"], pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["rid", "doc_id", "mark", "h1", "h2"])
 
-        return self.chunks.mapInArrow(run, f"rid long, doc_id {self.kind.simpleString()}, h1 long, h2 long")
+        return self.chunks.mapInArrow(run, f"rid long, doc_id {self.kind.simpleString()}, mark long, h1 long, h2 long")
 
     def _masked(self) -> DataFrame:
         """Chunks with a bit for each document: whether it stands for its copies."""
@@ -265,13 +265,31 @@ class NearDuplicates:
             leaders *= GROW
 
     def classes(self) -> DataFrame:
-        """rid, doc_id, class (its least rid), class_id (its least doc_id), class_size: one row for each row."""
+        """rid, doc_id, mark, class (its least rid), class_id (its least doc_id), class_size: one row for each row."""
         found = staged(components(self.links()), "dedup-components")
         by_copy = self.copies.join(found, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("class")).withColumnsRenamed({"h1": "x1", "h2": "x2"})
-        rows = staged(self.members.join(by_copy, (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2"))).select("rid", "doc_id", "class"), "dedup-classes")
+        rows = staged(self.members.join(by_copy, (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2"))).select("rid", "doc_id", "mark", "class"), "dedup-classes")
         about = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).withColumnRenamed("class", "c")
         return rows.join(about, F.col("class") == F.col("c")).drop("c")
 
 
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of each class stays, of the least (doc_id, text hash); nulls first. Rows to drop are named by both,
+    so rows equal in both are told apart by a last distinct over these alone."""
+    rows = NearDuplicates(docs.select("doc_id", "text")).classes()
+    best = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("real"), "doc_id", "mark")).alias("best")).withColumnRenamed("class", "c")
+    judged = rows.join(best, F.col("class") == F.col("c"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark"))
+    judged = staged(judged.groupBy("class", "doc_id", "mark").agg(F.count("*").alias("times"), F.max(stays).alias("stays")).select(F.col("doc_id").alias("__d"), F.col("mark").alias("__m"), "times", "stays"), "dedup-judged")
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__m"))
+    drop, again = judged.where(~F.col("stays")).select("__d", "__m"), judged.where(F.col("stays") & (F.col("times") > 1)).select("__d", "__m")
+    kept = docs.join(small(drop, drop.count()), same, "left_anti")
+    n = again.count()
+    if not n:
+        return kept
+    once = kept.join(small(again, n), same, "left_semi").withColumn("__m", F.xxhash64("text")).dropDuplicates(["doc_id", "__m"]).drop("__m")
+    return kept.join(small(again, n), same, "left_anti").unionByName(once)
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).classes().select("doc_id", "class_id", "class_size")

@@ -267,14 +267,13 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float, steps: int
     return theta[:-1], float(theta[-1])
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: list[str], label: str = "toxic", text: str = "text") -> DataFrame:
-    """docs' columns ``keep`` and score. labels(doc_id, label): those to learn from."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: list[str], label: str = "toxic", text: str = "text", out: str = "score") -> DataFrame:
+    """docs' columns ``keep`` and ``out``, a name not among them. labels(doc_id, label): those to learn from."""
     docs = docs.withColumn("__text", F.col(text).cast("string"))
     plain = docs.select("doc_id", F.col("__text").alias("text"))
     model = character_model(trigram_counts(plain))
     known, weight, bias = fit(labelled_sample(plain, labels, label, SAMPLE_ROWS), model)
     scored = docs.select(*keep, "__text")
-    names = keep
     restorers: list[Restorer] = []
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -284,10 +283,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: list[str], label:
         z = np.full(batch.num_rows, bias)
         if len(known):
             z += np.bincount(owner, weight[np.searchsorted(known, feature)], minlength=batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=[*names, "__score"])
+        return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=[*keep, out])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema if f.name in keep), "__score double"])
-    return map_texts(scored, "__text", schema, make).withColumnRenamed("__score", "score") if "score" not in keep else map_texts(scored, "__text", schema, make)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema if f.name in keep), f"`{out}` double"])
+    return map_texts(scored, "__text", schema, make)
 
 
 HOLD_OUT, HELD, REJECT = 3, 1, 0.7
