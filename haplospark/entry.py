@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from haplospark.plans.queries import ORACLE_SQL, QUERIES  # noqa: F401
+
+FLAGSHIP = "depth_summary_p80"
