@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from haplospark.llm.common import staged, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What separates words: ASCII without digits and a-z. Named one by one, the class is a table look-up to Java; ranges are tried in turn.
+GAP = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not (48 <= c < 58 or 97 <= c < 123)) + "]+"
+#: Stands after a document's last word in its postings; no word has this character.
+END = "\x00"
 WINDOW_WORDS = 10
 #: Rows of the small side of a join that may be broadcast.
 BROADCAST_ROWS = 500_000
@@ -37,12 +39,13 @@ def lower_az(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(lower_az(F.coalesce(text, F.lit(""))), GAP), lambda w: w != "")
+def pieces_of(text: Column) -> Column:
+    """The words, with an empty one at an end where the text has a gap there."""
+    return F.split(lower_az(F.coalesce(text, F.lit(""))), GAP)
 
 
-def count_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+def words_of(text: Column) -> Column:
+    return F.filter(pieces_of(text), lambda w: w != "")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -61,13 +64,22 @@ def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, size: int)
 
 
 class PositionalIndex:
-    """Stored postings of a vocabulary: doc_id, text_hash, pos, term (the word's 64-bit hash)."""
+    """Stored postings of a vocabulary: doc_id, text_hash, pos, term (the word's 64-bit hash). Positions count from a
+    document's first piece. ``lengths`` has each row's number of words."""
 
     def __init__(self, df: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id", text: str = "text"):
         """vocabulary(word): distinct."""
-        terms = vocabulary.select("word", F.xxhash64("word").alias("term"))
-        each = df.select(*key(doc_id, text), F.posexplode(words_of(F.col(text))).alias("pos", "word"))
-        self.postings = staged(each.join(small(terms, vocabulary.count()), "word").select("doc_id", "text_hash", "pos", "term"), "postings")
+        end = df.sparkSession.createDataFrame([(END,)], "v string")
+        terms = vocabulary.select(F.col("word").alias("v")).unionByName(end).withColumn("term", F.xxhash64("v"))
+        cut = df.select(*key(doc_id, text), pieces_of(F.col(text)).alias("w"))
+        empty = lambda i: (F.element_at("w", i) == "").cast("int")
+        n = F.size("w") - empty(1) - F.when(F.size("w") > 1, empty(-1)).otherwise(0)
+        each = cut.select("doc_id", "text_hash", n.alias("n_words"), F.posexplode(F.concat("w", F.array(F.lit(END)))).alias("pos", "word")).withColumn("h", F.xxhash64("word"))
+        known = each.join(small(terms, vocabulary.count()), (F.col("h") == F.col("term")) & (F.col("word") == F.col("v")))
+        stored = staged(known.select("doc_id", "text_hash", "n_words", "pos", "term"), "postings")
+        last = F.xxhash64(F.lit(END))
+        self.lengths = stored.where(F.col("term") == last).select("doc_id", "text_hash", F.col("n_words").cast("long").alias("n_words"))
+        self.postings = stored.where(F.col("term") != last).select("doc_id", "text_hash", "pos", "term")
         self.frequencies = self.postings.groupBy("term").agg(F.count("*").alias("n"))
 
     def anchors(self, windows: DataFrame, lists: int) -> tuple[DataFrame, DataFrame]:
@@ -117,30 +129,35 @@ class PositionalIndex:
 
 def contamination(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW_WORDS) -> DataFrame:
     """One row for each (doc_id, text_hash) with a hit: n_hit words inside occurrences, item_ids (sorted strings)."""
+    return indexed_contamination(df, benchmark, doc_id, text, item_id, item_text, size)[0]
+
+
+def indexed_contamination(df: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, size: int) -> tuple[DataFrame, PositionalIndex]:
     windows = staged(benchmark_windows(benchmark, item_id, item_text, size), "windows")
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
     # windows of several items with the same words are looked up once
     looked_up = windows.select("words").distinct().withColumn("window", F.xxhash64("words"))
-    hits = staged(PositionalIndex(df, vocabulary, doc_id, text).phrases(looked_up), "hits")
+    index = PositionalIndex(df, vocabulary, doc_id, text)
+    hits = staged(index.phrases(looked_up), "hits")
     items = windows.select("item_id", F.xxhash64("words").alias("w")).distinct()
     in_items = hits.join(small(items, items.count()), F.col("window") == F.col("w")).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     words = hits.select("doc_id", "text_hash", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct().groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_hit"))
     words = words.withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
-    return words.join(in_items, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))).select(F.col("d"), F.col("h"), "n_hit", "item_ids")
+    return words.join(in_items, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))).select(F.col("d"), F.col("h"), "n_hit", "item_ids"), index
 
 
-def with_contamination(df: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """df with n_hit and item_ids (null where nothing was found)."""
-    found = staged(contamination(df, benchmark), "contamination")
-    return df.join(small(found, found.count()), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h")), "left").drop("d", "h")
+def contamination_report(df: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, item_ids for each row, from the index alone: the texts are read once."""
+    found, index = indexed_contamination(df, benchmark, "doc_id", "text", "item_id", "text", WINDOW_WORDS)
+    found = staged(found, "contamination")
+    joined = index.lengths.join(small(found, found.count()), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
+    return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = with_contamination(docs, table(spark, sf_dir, "benchmark"))
-    ids = F.coalesce(F.col("item_ids"), F.array().cast("array<string>"))
-    n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
-    return found.select("doc_id", count_of(F.col("text")).alias("n_words"), n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    found = contamination_report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 OP4_SQL = r"""
