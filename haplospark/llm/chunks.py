@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from haplospark.llm import kernels as K
 from haplospark.llm.common import staged, text_slices
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Keys that one shard takes, about.
-SHARD_KEYS = 1 << 20
+SHARD_KEYS = 1 << 19
 
 
 def pack(x: np.ndarray) -> bytes:

@@ -20,7 +20,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: dict[int, np.ndarray] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,16 +33,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i for i below 4096, and base**(4096 i), so that no table grows with a text."""
+    if base not in _powers or len(_powers[base][1]) * 4096 < n:
+        small = np.multiply.accumulate(np.r_[U64(1), np.full(4095, base % 2**64, np.uint64)])
+        large = np.multiply.accumulate(np.r_[U64(1), np.full(max(1024, n // 4096 * 2), pow(base, 4096, 2**64), np.uint64)])
+        _powers[base] = small, large
+    return _powers[base]
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << int(n).bit_length())
-        have = np.full(size, base % 2**64, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 1 << 23:
-            _powers[base] = have
-    return have[:n]
+    """base**i mod 2**64 for i below n."""
+    small, large = _tables(base, n)
+    return np.multiply.outer(large[: n // 4096 + 1], small).ravel()[:n]
+
+
+def powers_at(base: int, at: np.ndarray) -> np.ndarray:
+    small, large = _tables(base, int(at.max(initial=0)) + 1)
+    return large[at >> 12] * small[at & 4095]
 
 
 @dataclass
@@ -86,8 +94,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hashes of data[start:end], from one running polynomial."""
     n = len(data)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * powers(BASE, n), out=total[1:])
-    h = (total[ends] - total[starts]) * powers(BASE_INV, n + 1)[starts]
+    codes = BYTE_CODE[data]
+    codes *= powers(BASE, n)
+    np.cumsum(codes, out=total[1:])
+    del codes
+    h = (total[ends] - total[starts]) * powers_at(BASE_INV, starts)
     return mix(h + (ends - starts).astype(np.uint64))
 
 

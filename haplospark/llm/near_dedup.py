@@ -67,8 +67,8 @@ def text_hashes(chunk) -> tuple[np.ndarray, np.ndarray]:
         total = np.zeros(n + 1, np.uint64)
         h = K.mix(chunk.words + np.uint64(salt))[chunk.stream]
         np.cumsum(h * K.powers(int(K.WORD_BASE), n), out=total[1:])
-        inverse = K.powers(pow(int(K.WORD_BASE), -1, 2**64), n + 1)
-        out.append(K.mix((total[chunk.offsets[1:]] - total[chunk.offsets[:-1]]) * inverse[chunk.offsets[:-1]] + np.diff(chunk.offsets).astype(np.uint64)))
+        inverse = K.powers_at(pow(int(K.WORD_BASE), -1, 2**64), chunk.offsets[:-1])
+        out.append(K.mix((total[chunk.offsets[1:]] - total[chunk.offsets[:-1]]) * inverse + np.diff(chunk.offsets).astype(np.uint64)))
     return out[0], out[1]
 
 
