@@ -153,7 +153,7 @@ def test_surrogates_keep_type_format_and_coreference():
     new, spans = surrogates.replaced(TEXT, b"key")
     old = [TEXT[a:b] for _, a, b in spans]
     assert len(old) == 18 and not any(x in new for x in old if len(x) > 4)
-    emails = re.findall(r"\S+@mail\d\.example\.com", new)
+    emails = re.findall(r"\S+@[a-z]{4}\d\.example\.com", new)  # a host's own label changes like the name before it
     assert emails[0].lower() == emails[1].lower() and emails[1].split(".")[0].isupper()
     phones = re.findall(r"\+1[ -]\(?(\d{3})\)?[ -](\d{3})-(\d{4})", new)
     assert phones[0] == phones[1]
