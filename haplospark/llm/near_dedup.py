@@ -8,7 +8,8 @@ verified: they are linked if the weighted Jaccard similarity, or that of the
 plain sets, is 0.8 or more. A document's class is its component over the links.
 
 No bucket is expanded into all its pairs. First each member meets the bucket's
-least member. Then, while a bucket holds members of several components, those
+least member. Two members become a pair only if their sizes and 256-bit sketches
+allow a similarity of 0.8 (see ``may_match``: an exact bound, no link is lost). Then, while a bucket holds members of several components, those
 outside its largest component meet all others, a growing share of them each
 round, until every pair of members in different components was tested: no link
 between members of a bucket is lost that would join two components.
@@ -20,11 +21,12 @@ rows that repeat are copies; an empty table gives none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -36,9 +38,12 @@ from haplospark.llm.components import components
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 4
 IDF_STEPS = 32
 #: New leaders a bucket in each round grow by this factor.
-GROW = 8
+GROW = 32
 IDS_BITS = 20
 BROADCAST_ROWS = 500_000
+#: Of a class: number of shingles, sum of weights, and a sketch with a bit for each value of a shingle's first byte.
+SKETCH = ["s0", "s1", "s2", "s3"]
+ABOUT = ["n", "total", *SKETCH]
 
 _rng = np.random.default_rng(5)
 SEEDS = _rng.integers(1, 2**63, (BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
@@ -135,6 +140,25 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(shared / max(union, 1), same.sum() / max(len(a[0]) + len(b[0]) - same.sum(), 1))
 
 
+def sketches(docs: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Documents, and their columns ABOUT. docs is sorted."""
+    starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(docs)])
+    bits = np.zeros((len(starts), 256), bool)
+    bits[np.repeat(np.arange(len(starts)), sizes), (keys >> np.uint64(56)).astype(np.int64)] = True
+    words = np.packbits(bits, axis=1).view(np.int64)
+    total = np.add.reduceat(weights, starts) if len(starts) else sizes
+    return docs[starts], [sizes, total, *words.reshape(-1, 4).T]
+
+
+def may_match(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+    """Whether two classes can have a similarity of SIMILAR, by their columns ABOUT. Each bit that differs is a
+    shingle of one of them alone, of weight IDF_STEPS or more; similarity s allows a difference of (1 - s) / (1 + s) of the sum."""
+    apart = reduce(lambda a, b: a + b, [F.bit_count(x(c).bitwiseXOR(y(c))) for c in SKETCH])
+    near = lambda c, least: F.greatest(least, F.abs(x(c) - y(c))) * (1 + SIMILAR) <= (x(c) + y(c)) * (1 - SIMILAR) + 1e-3
+    return near("n", apart) | near("total", apart * IDF_STEPS)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -205,13 +229,16 @@ class NearDuplicates:
         return all_of.join(shared, F.col("bucket") == F.col("k")).select("rid", "bucket")
 
     def vectors(self, rids: DataFrame) -> DataFrame:
-        """rid, keys, weights of the given classes; 32 bits of a shingle's hash tell shingles of two texts apart."""
+        """rid, keys, weights, ABOUT of the given classes; 32 bits of a shingle's hash tell shingles of two texts apart."""
         wanted = rids.groupBy(F.shiftright("rid", IDS_BITS).alias("c")).agg(F.collect_list((F.col("rid") - F.shiftleft(F.shiftright("rid", IDS_BITS), IDS_BITS)).cast("int")).alias("places"))
         chunks = self.masked.join(wanted, F.col("chunk") == F.col("c")).drop("c", "role")
 
         def make(row: dict | None, docs: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> pa.Table:
             out: list = [[], [], []]
+            about = np.zeros((len(ABOUT), 0), np.int64)
             if row:
+                which, columns = sketches(docs, keys.astype(np.uint64), weights)
+                about = np.stack(columns)[:, np.isin(which, row["places"])]
                 starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, np.int64)
                 ends, places = np.r_[starts[1:], len(docs)], set(row["places"])
                 for a, b in zip(starts, ends):
@@ -219,14 +246,15 @@ class NearDuplicates:
                         out[0].append((row["chunk"] << IDS_BITS) + place)
                         out[1].append((keys[a:b] >> np.uint64(32)).astype(np.uint32).tobytes())
                         out[2].append(pack(weights[a:b].astype(np.uint32)))
-            return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["rid", "keys", "weights"])
+            return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), *map(pa.array, about)], names=["rid", "keys", "weights", *ABOUT])
 
-        return self._with_frequencies(chunks, self.frequencies, make, "rid long, keys binary, weights binary")
+        return self._with_frequencies(chunks, self.frequencies, make, "rid long, keys binary, weights binary, " + ", ".join(f"{c} long" for c in ABOUT))
 
     @staticmethod
     def verify(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
         """pairs(a, b) -> a, b, similarity."""
-        right = pairs.join(vectors.withColumnsRenamed({"rid": "r", "keys": "kb", "weights": "wb"}), F.col("b") == F.col("r")).drop("r")
+        pairs, vectors = staged(pairs, "dedup-pairs"), vectors.select("rid", "keys", "weights")
+        right = small(pairs, pairs.count()).join(vectors.withColumnsRenamed({"rid": "r", "keys": "kb", "weights": "wb"}), F.col("b") == F.col("r")).drop("r")
         both = right.join(vectors.withColumnsRenamed({"rid": "l", "keys": "ka", "weights": "wa"}), F.col("a") == F.col("l")).drop("l")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,29 +267,36 @@ class NearDuplicates:
 
     def links(self) -> DataFrame:
         """All links found between classes: a, b."""
-        buckets = staged(self.buckets(), "dedup-buckets")
-        vectors = staged(self.vectors(buckets.select("rid").distinct()), "dedup-vectors")
-        leader = buckets.groupBy("bucket").agg(F.min("rid").alias("a")).withColumnRenamed("bucket", "k")
-        pairs = buckets.join(leader, F.col("bucket") == F.col("k")).where("a <> rid").select("a", F.col("rid").alias("b")).distinct()
+        found = staged(self.buckets(), "dedup-buckets")
+        vectors = staged(self.vectors(found.select("rid").distinct()), "dedup-vectors")
+        about = vectors.select(F.col("rid").alias("v"), F.struct(*ABOUT).alias("x"))
+        buckets = staged(found.join(small(about, about.count()), F.col("rid") == F.col("v")).drop("v"), "dedup-buckets")
+        own, other = lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")
+        leader = buckets.groupBy("bucket").agg(F.min(F.struct("rid", "x")).alias("lead")).select(F.col("bucket").alias("k"), F.col("lead.rid").alias("a"), F.col("lead.x").alias("y"))
+        pairs = buckets.join(leader, (F.col("bucket") == F.col("k")) & (F.col("a") != F.col("rid")) & may_match(own, other)).select("a", F.col("rid").alias("b")).distinct()
         tested = staged(self.verify(pairs, vectors), "dedup-tested")
-        links, leaders = tested.where(F.col("similarity") >= SIMILAR).select("a", "b"), GROW
+        similar = lambda df: df.where(F.col("similarity") >= SIMILAR).select("a", "b")
+        links, new, leaders, open_ = similar(tested), similar(tested), GROW, None
         while True:
-            found = staged(components(links), "dedup-components").withColumnsRenamed({"node": "x"})
-            placed = staged(buckets.join(found, F.col("rid") == F.col("x"), "left").select("rid", "bucket", F.coalesce("component", "rid").alias("component")), "dedup-placed")
-            sized = placed.groupBy("bucket", "component").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("top"))
-            sized = sized.where("parts > 1").select(F.col("bucket").alias("k"), F.col("top.component").alias("main"), (F.col("all") - F.col("top.m")).alias("minor"))
-            open_ = staged(placed.join(sized, F.col("bucket") == F.col("k")).drop("k"), "dedup-open")
-            if not open_.count():
-                return links
-            lead = open_.where((F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("rid"), F.lit(1 << 40)) * F.col("minor") <= F.lit(leaders) * F.lit(float(1 << 40)))).select(F.col("bucket").alias("k"), F.col("rid").alias("l"), F.col("component").alias("lc"))
-            met = open_.join(lead, (F.col("bucket") == F.col("k")) & (F.col("component") != F.col("lc"))).select(F.least("rid", "l").alias("a"), F.greatest("rid", "l").alias("b")).distinct()
-            new = met.join(tested.select(F.col("a").alias("ta"), F.col("b").alias("tb")), (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-            result = staged(self.verify(new, vectors), "dedup-tested")
-            most = open_.agg(F.max("minor")).first()[0]
-            if not result.where(F.col("similarity") >= SIMILAR).count() and leaders >= most:
+            if open_ is None or not new.isEmpty():
+                joined = staged(components(links), "dedup-components").withColumnsRenamed({"node": "n", "component": "c"})
+                placed = staged(buckets.join(joined, F.col("rid") == F.col("n"), "left").select("rid", "bucket", "x", F.coalesce("c", "rid").alias("component")), "dedup-placed")
+                sized = placed.groupBy("bucket", "component").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("top"))
+                sized = sized.where("parts > 1").select(F.col("bucket").alias("k"), F.col("top.component").alias("main"), (F.col("all") - F.col("top.m")).alias("minor"))
+                open_ = staged(placed.join(sized, F.col("bucket") == F.col("k")).drop("k"), "dedup-open")
+                most = open_.agg(F.max("minor")).first()[0]
+                # what is joined already is a star to the next round
+                links = joined.select(F.col("n").alias("a"), F.col("c").alias("b"))
+                if not most:
+                    return links
+            lead = open_.where((F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("rid"), F.lit(1 << 40)) * F.col("minor") <= F.lit(leaders) * F.lit(float(1 << 40)))).select(F.col("bucket").alias("k"), F.col("rid").alias("l"), F.col("component").alias("lc"), F.col("x").alias("y"))
+            met = open_.join(lead, (F.col("bucket") == F.col("k")) & (F.col("component") != F.col("lc")) & may_match(own, other)).select(F.least("rid", "l").alias("a"), F.greatest("rid", "l").alias("b")).distinct()
+            untested = met.join(tested.select(F.col("a").alias("ta"), F.col("b").alias("tb")), (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
+            result = staged(self.verify(untested, vectors), "dedup-tested")
+            new = similar(result)
+            if leaders >= most and new.isEmpty():
                 return links
-            tested = tested.unionByName(result)
-            links = tested.where(F.col("similarity") >= SIMILAR).select("a", "b")
+            tested, links = tested.unionByName(result), links.unionByName(new)
             leaders *= GROW
 
     def classes(self) -> DataFrame:
