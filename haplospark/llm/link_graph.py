@@ -1,19 +1,25 @@
 """URL verdicts: rules first, then trust and distrust over the link graph, in DataFrame functions only.
 
-Hosts are nodes. A page that names another host in an absolute or
-protocol-relative link gives an edge to it; a host and its parent host (one
-label less) link to each other. Personalised PageRank carries trust from seeds
-along the edges, and distrust from blocked seeds against them. A host's seed is
-the share of its pages that a rule allows or blocks. A host is blocked if its
-distrust exceeds its trust by THRESHOLD.
+Hosts and all domains above them are nodes, also those that own no page. A page
+that names another host in an absolute or protocol-relative link gives an edge
+to it; a domain and its parent (one label less, up to the last label) link to
+each other, so hosts of one domain reach each other through it. Personalised
+PageRank carries trust from seeds along the edges, and distrust from blocked
+seeds against them. A host's seed is the share of its pages that a rule allows
+or blocks. A host is blocked if its distrust exceeds its trust by THRESHOLD.
 
 Scale: links are counted by (host, host) before anything is joined, so a hot
-host is small after the map side; ranks are broadcast while their number is
-below a bound, else the join is a shuffle whose skewed parts Spark splits. The
-number of rounds is fixed; lineage is cut every few rounds by a written table.
+host is small after the map side; while edges are below a bound, CUT_EVERY
+rounds are one task, else each is a shuffle whose skewed parts Spark splits.
+Rounds go on until the ranks' summed change over CUT_EVERY rounds is below
+TOLERANCE: every rank is then within 0.8 * TOLERANCE of its limit, and the
+number of rounds grows with the logarithm of the seeds' sum. Lineage is cut
+every CUT_EVERY rounds by a written table.
 
 Defined cases: a url that is null or lacks '://' has host and path '' and fits
 no rule; the empty host is no node and is allowed; null html has no links;
+a host with a user or a port has the bare host as its parent; addresses and
+hosts beyond the 253 characters of a domain name have no parent;
 repeated pages each count and each get a row; without rules all is allowed.
 """
 
@@ -24,10 +30,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplospark.llm.common import staged, table
+from haplospark.llm.common import drop_staged, staged, table
 
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
-DAMPING, ROUNDS, CUT_EVERY, THRESHOLD = 0.85, 10, 5, 0.05
+DAMPING, TOLERANCE, CUT_EVERY, THRESHOLD = 0.85, 1e-3, 5, 0.05
 BROADCAST_ROWS = 500_000
 #: (verdict, host, path); a rule's name is host + path.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -53,31 +59,49 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return pick(lambda r: r[1] + r[2]), pick(lambda r: r[0])
 
 
+def line_of(host: Column) -> Column:
+    """The host and the domains above it, lowest first."""
+    bare = F.regexp_extract(host, r"(?s)^(?:.*@)?(.*?)(?::\d*)?$", 1)
+    labels = F.split(bare, r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    alone = bare.rlike(r"^(?:\d+(?:\.\d+){3}|\[.*\])$") | (F.length(bare) > 253)
+    return F.array_distinct(F.filter(F.concat(F.array(host), F.when(alone, F.array(bare)).otherwise(above)), lambda d: d != ""))
+
+
 def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     """pages(host, html), hosts(host) -> src, dst, weight (pages that link, 1 for parent and child)."""
     targets = F.array_distinct(F.transform(F.regexp_extract_all(F.col("html"), F.lit(LINK), F.lit(1)), lower_az))
     links = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(targets).alias("dst"))
-    links = links.where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
-    child = hosts.select("host", F.regexp_extract("host", r"^[^.]+\.(.+)$", 1).alias("parent"))
-    family = child.join(hosts.withColumnRenamed("host", "p"), F.col("parent") == F.col("p"))
-    both = F.explode(F.array(F.struct(F.col("host").alias("src"), F.col("parent").alias("dst")), F.struct(F.col("parent").alias("src"), F.col("host").alias("dst"))))
+    links = staged(links.where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")), "links")
+    lines = hosts.select("host").union(links.select("dst")).distinct().select(line_of(F.col("host")).alias("line")).where(F.size("line") > 1)
+    pairs = F.transform(F.sequence(F.lit(1), F.size("line") - 1), lambda i: F.struct(F.get("line", i - 1).alias("child"), F.get("line", i).alias("parent")))
+    family = lines.select(F.explode(pairs).alias("f")).select("f.child", "f.parent").distinct()
+    both = F.explode(F.array(F.struct(F.col("child").alias("src"), F.col("parent").alias("dst")), F.struct(F.col("parent").alias("src"), F.col("child").alias("dst"))))
     return links.unionByName(family.select(both.alias("e")).select("e.src", "e.dst", F.lit(1.0).alias("weight"))).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """edges(kind, src, dst, share), seeds(kind, host, seed) -> kind, host, r after ``rounds`` steps of
-    r = (1 - damping) * seed + damping * inflow. A host without edges keeps no inflow to pass on."""
-    base = seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("r"))
-    rank = base
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
+    """edges(kind, src, dst, share), seeds(kind, host, seed) -> kind, host, r, the limit of
+    r = (1 - damping) * seed + damping * inflow, up to ``tolerance``. A host without edges keeps no inflow to pass on."""
     few = max(seeds.count(), edges.count()) <= BROADCAST_ROWS
-    for k in range(1, rounds + 1):
-        known = rank.select(F.col("kind").alias("k"), F.col("host").alias("h"), "r")
-        moved = edges.join(F.broadcast(known) if few else known, (F.col("kind") == F.col("k")) & (F.col("src") == F.col("h")))
-        inflow = moved.select("kind", F.col("dst").alias("host"), (damping * F.col("r") * F.col("share")).alias("r"))
-        rank = base.unionByName(inflow).groupBy("kind", "host").agg(F.sum("r").alias("r"))
-        if k % CUT_EVERY == 0:
-            rank = staged(rank, "ranks")
-    return rank
+    one = lambda df: df.coalesce(1) if few else df
+    base = one(seeds).select("kind", "host", ((1 - damping) * F.col("seed")).alias("r"))
+    edges, last = one(edges), base
+    while True:
+        rank = last
+        for _ in range(CUT_EVERY):
+            known = rank.select(F.col("kind").alias("k"), F.col("host").alias("h"), "r")
+            moved = edges.join(known.hint("shuffle_hash") if few else known, (F.col("kind") == F.col("k")) & (F.col("src") == F.col("h")))
+            inflow = moved.select("kind", F.col("dst").alias("host"), (damping * F.col("r") * F.col("share")).alias("r"))
+            rank = one(base.unionByName(inflow)).groupBy("kind", "host").agg(F.sum("r").alias("r"))
+        both = rank.withColumn("was", F.lit(0.0)).unionByName(last.select("kind", "host", F.lit(0.0).alias("r"), F.col("r").alias("was")))
+        ranks = staged(one(both).groupBy("kind", "host").agg(F.sum("r").alias("r"), F.sum("was").alias("was")), "ranks")
+        change = ranks.agg(F.coalesce(F.sum(F.abs(F.col("r") - F.col("was"))), F.lit(0.0))).first()[0]
+        if last is not base:
+            drop_staged(last)
+        last = one(ranks.select("kind", "host", "r"))
+        if change < tolerance:
+            return last
 
 
 def host_scores(pages: DataFrame) -> DataFrame:

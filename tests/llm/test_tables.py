@@ -105,6 +105,24 @@ def test_link_graph(spark):
     assert link_graph.url_verdicts(pages.limit(0), ["page_id"]).count() == 0
 
 
+def test_siblings_meet_in_domains_without_pages(spark):
+    """No page links to another host and no host's parent owns a page: the domains above carry the ranks, until they stand still."""
+    urls = ["http://a.bad.net/de/", "http://b.bad.net/x", "http://c.d.bad.net/x", "http://u@b.bad.net:80/x", "http://far.info/x", "http://10.0.0.1/x", "http://a.good.uk/fr/", "http://b.good.uk/x"]
+    rules = [("block", "net", "/de/"), ("allow", "uk", "/fr/")]
+    x = spark.createDataFrame([(i, u, "<a href='/de/'>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    lines = [["a.bad.net", "bad.net", "net"], ["b.bad.net", "bad.net"], ["c.d.bad.net", "d.bad.net", "bad.net"], ["u@b.bad.net:80", "b.bad.net"], ["far.info", "info"], ["a.good.uk", "good.uk", "uk"], ["b.good.uk", "good.uk"]]
+    edges = {e: 1.0 for line in lines for a, b in zip(line, line[1:]) for e in ((a, b), (b, a))}
+    pages = x.select(link_graph.host_of(F.col("url")).alias("host"), "html")
+    assert {(r.src, r.dst): r.weight for r in link_graph.host_edges(pages, pages.select("host").distinct()).collect()} == edges
+    good, bad = brute_scores(edges, {"a.good.uk": 1.0}, {"a.bad.net": 1.0}, 400)
+    seeded = x.select(link_graph.host_of(F.col("url")).alias("host"), "html", F.when(F.col("page_id") == 0, "block").when(F.col("page_id") == 6, "allow").alias("rule_verdict"))
+    scores = {r.host: (r.trust, r.distrust) for r in link_graph.host_scores(seeded).collect()}
+    assert all(abs(scores.get(h, (0, 0))[0] - good.get(h, 0)) < link_graph.TOLERANCE and abs(scores.get(h, (0, 0))[1] - bad.get(h, 0)) < link_graph.TOLERANCE for h in {*good, *bad, *scores})
+    got = {r.page_id: r.verdict for r in link_graph.url_verdicts(x, ["page_id"], rules).collect()}
+    assert got == {i: "block" if bad.get(h, 0) - good.get(h, 0) > link_graph.THRESHOLD else "allow" for i, h in enumerate(["a.bad.net", "b.bad.net", "c.d.bad.net", "u@b.bad.net:80", "far.info", "10.0.0.1", "a.good.uk", "b.good.uk"])}
+    assert got[1] == "block" and got[4] == got[5] == got[7] == "allow"
+
+
 def test_longest_rule_wins(spark):
     urls = ["http://Example.org/es/1", "http://www.example.org/en/12", "http://example.org/en/2", "http://notexample.org/es/", "ftp://a.b.com/fr/?q", "http://com/de/", "http://x.com#/fr/"]
     pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
