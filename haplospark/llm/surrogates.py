@@ -5,10 +5,12 @@ and a keyed permutation (a Feistel network, walked until the result is a form
 again) gives the surrogate: digits stay digits, vowels vowels, a script its
 script, card and IBAN check sums hold, networks stay private or public. Given
 names come from a list of the same gender and script, permuted by the key.
-So different entities get different surrogates, and one entity the same
-everywhere, without any table or shuffle. Mentions of one entity in other
-formats or cases share its canonical form. In a document a surrogate that
-equals another entity there, or is taken, is drawn again.
+Mentions of one entity in other formats or cases share its canonical form. In a
+document a surrogate that equals another entity there, or is taken, is drawn
+again; when redraws fail, given names go through their whole list, and then all
+kinds go on with longer forms, so different entities of a document always get
+different surrogates. An entity that was never drawn again has the same
+surrogate in all documents; where one had to be, only within its document.
 
 Defined cases: a null text stays null and has no entities; an empty one is
 itself; rows that repeat get equal results; texts of any length are one row's
@@ -19,8 +21,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, count, product
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -198,6 +202,26 @@ def _surrogate(kind: str, text: str, key: bytes, attempt: int) -> str:
     return name_surrogate(text, key, str(attempt)) if kind == "name" else surrogate(kind, text, key, attempt)
 
 
+def further(kind: str, text: str, key: bytes) -> Iterator[str]:
+    """What follows when redraws fail, without end: the rest of a given name's list, then names of the same script
+    and ending with syllables put in; other kinds with digits put after them, emails before the sign."""
+    first = _surrogate(kind, text, key, 0)
+    if kind != "name":
+        head, tail = (first[: (at := first.rindex("@"))], first[at:]) if kind == "email" else (first, "")
+        yield from (f"{head}{i}{tail}" for i in count())
+    stems = [first]
+    if text in KNOWN:
+        names = GIVEN[KNOWN[text][0]]
+        stems = names[(at := names.index(first)) :] + names[:at]
+        yield from stems
+    vowels, consonants = {"latin": LETTERS[:2], "cyrillic": LETTERS[4:6], "greek": LETTERS[6:8]}[script_of(text)]
+    order = lambda x: hashlib.blake2b(x.encode(), key=key[:64]).digest()
+    syllables = sorted({c + v for c in consonants for v in vowels}, key=order)
+    for size in count(1):
+        for middle in product(syllables, repeat=size):
+            yield from (x[:-1] + "".join(middle) + x[-1] for x in stems)
+
+
 def entities(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end); a person gives one span for each name."""
     for m in ENTITY.finditer(text):
@@ -217,27 +241,26 @@ def replaced(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with surrogates, and the spans of the entities in the text as it was."""
     found = list(entities(text))
     forms = {(k, canonical(k, text[a:b])) for k, a, b in found}
-    # a family name also goes where it stands alone
-    names = {x for k, x in forms if k == "name" and x not in KNOWN}
+    # a name also goes where it stands alone
+    names = {x for k, x in forms if k == "name"}
     if names:
-        taken = {(a, b) for _, a, b in found}
+        starts, ends = [a for _, a, _ in found], [b for _, _, b in found]
         for m in re.finditer(rf"\b(?:{'|'.join(map(re.escape, sorted(names)))})\b", text):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
+            i = bisect_right(starts, m.start())
+            if not (i and ends[i - 1] > m.start() or i < len(starts) and starts[i] < m.end()):
                 found.append(("name", *m.span()))
         found.sort(key=lambda x: x[1])
     originals, used, chosen = {x for _, x in forms}, set(), {}
     for kind, x in sorted(forms):
-        attempt = 0
-        while (y := _surrogate(kind, x, key, attempt)) in originals or y in used:
-            attempt += 1
-            if attempt > 64:  # every form of so short an entity is in the text
-                break
+        drawn = chain((_surrogate(kind, x, key, attempt) for attempt in range(65)), further(kind, x, key))
+        y = next(y for y in drawn if y not in originals and y not in used)
         used.add(y)
         chosen[kind, x] = y
     out, at = [], 0
     for kind, a, b in found:
-        y = chosen[kind, canonical(kind, text[a:b])]
-        out += [text[at:a], in_format(text[a:b], y) if kind in ("phone", "card", "national_id", "iban") else in_case(text[a:b], y) if kind == "email" else y]
+        x = canonical(kind, text[a:b])
+        y = chosen[kind, x]
+        out += [text[at:a], in_format(text[a:b], y) + y[len(x) :] if kind in ("phone", "card", "national_id", "iban") else in_case(text[a:b], y) if kind == "email" else y]
         at = b
     return "".join([*out, text[at:]]), found
 

@@ -189,6 +189,21 @@ def test_surrogates_are_distinct():
         assert len({surrogates.surrogate(kind, v, b"k", 0) for v in values}) == len(values)
 
 
+def test_surrogates_stay_distinct_when_a_list_runs_out():
+    """All given names of a group, and one-letter emails that use up their form; given names also stand alone."""
+    for (script, _), given in surrogates.GIVEN.items():
+        title = {"latin": "Dr", "cyrillic": "Г-н", "greek": "Κύριος"}[script]
+        new = surrogates.replaced("; ".join(f"{title} {n}" for n in given), b"k")[0]
+        found = [x.split()[1] for x in new.split("; ")]
+        assert len({*found, *given}) == 2 * len(given) and {surrogates.script_of(x) for x in found} == {script}
+    emails = [f"{c}@x.org" for c in "aeiou"]
+    assert len({*surrogates.replaced(" ".join(emails), b"k")[0].split(), *emails}) == 10
+    phones = [f"+1-{i // 100:02d}-{i % 100:02d}" for i in range(6000)]
+    assert len({*surrogates.replaced("; ".join(phones), b"k")[0].split("; "), *phones}) == 12000
+    names = re.findall(r"\w+", surrogates.replaced("Anna Smith came. Anna said so to Smith.", b"k")[0])
+    assert names[0] == names[3] != "Anna" and names[1] == names[7] != "Smith"
+
+
 def test_surrogates_whole_table(spark, tmp_path):
     data = [*rows(), (200, TEXT, "en", "s", 1), (200, TEXT, "en", "s", 1)]
     d = write(tmp_path, documents=docs(spark, data).withColumn("entities", F.lit(1)))
