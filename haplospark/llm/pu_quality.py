@@ -113,9 +113,12 @@ def _measured(docs: DataFrame) -> np.ndarray:
     return np.array([r["x"] for r in rows], np.float32).reshape(-1, len(MEASURES))
 
 
-def _some(rows: int, of: int):
-    """About ``rows`` of ``of`` ids by hash."""
-    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1.0, rows / max(of, 1)) * (1 << 30)
+def _some(docs: DataFrame, rows: int, of: int) -> DataFrame:
+    """Each row of ``docs`` by its own chance, so that repeated and null ids are spread: all, or at most ``rows`` of ``of`` (by four deviations)."""
+    if of <= rows:
+        return docs
+    hashed = docs.withColumn("__salt", F.xxhash64("doc_id", "text", F.monotonically_increasing_id()))
+    return hashed.where(F.pmod("__salt", F.lit(1 << 30)) < (rows - 4 * rows**0.5) / of * (1 << 30)).drop("__salt")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str], label: str = "quality", text: str = "text") -> DataFrame:
@@ -125,9 +128,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str], label: s
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     n = known.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("pos"), F.count("*").alias("all")).first()
     prior = n["pos"] / n["all"] if n["all"] else 0.0
-    sample = F.broadcast(known.where((F.col("y") == 1) & _some(POSITIVES, n["pos"])).select("doc_id"))  # bounded by POSITIVES
-    positive = _measured(plain.join(sample, "doc_id"))
-    unlabelled = _measured(plain.where(_some(UNLABELLED, plain.count())))
+    trusted = known.where(F.col("y") == 1).select("doc_id")
+    rows = plain.groupBy("doc_id").agg(F.count("*").alias("rows")).join(trusted, "doc_id").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    positive = _measured(_some(plain, POSITIVES, rows).join(trusted, "doc_id"))
+    unlabelled = _measured(_some(plain, UNLABELLED, plain.count()))
     net = fit(positive, unlabelled, prior) if len(positive) and len(unlabelled) else None
     scored = docs.select(*keep, "__text")
 

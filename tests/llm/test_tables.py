@@ -140,6 +140,20 @@ def test_quality_classifier_on_held_out_rows(spark):
     accuracy(spark, pu_quality.op6_pu_quality, "quality", 0.95)
 
 
+def test_quality_samples_are_bounded_in_rows(spark, monkeypatch):
+    """A third of the rows without an id and a third with one id, which is a trusted one."""
+    sizes, measured = [], pu_quality._measured
+    monkeypatch.setattr(pu_quality, "POSITIVES", 400)
+    monkeypatch.setattr(pu_quality, "UNLABELLED", 400)
+    monkeypatch.setattr(pu_quality, "_measured", lambda x: sizes.append([r.doc_id for r in x.select("doc_id").collect()]) or measured(x))
+    x = docs(spark, [(None if i % 3 == 0 else 1 if i % 3 == 1 else i, f"word {i % 2}", "en", "s", 1) for i in range(3000)])
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 3000)], "doc_id long, quality int")
+    assert pu_quality.quality_scores(x, labels, ["doc_id"]).count() == 3000
+    positive, unlabelled = map(collections.Counter, sizes)
+    assert 200 <= positive.total() <= 400 and positive[1] >= 80 and positive[None] == 0
+    assert 200 <= unlabelled.total() <= 400 and 40 <= unlabelled[None] <= 200 and 40 <= unlabelled[1] <= 200
+
+
 def test_toxicity_on_held_out_rows(spark):
     accuracy(spark, toxicity.op9_toxicity, "toxic", 0.93)
 
