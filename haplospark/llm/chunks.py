@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haplospark.llm import kernels as K
-from haplospark.llm.common import staged, text_slices
+from haplospark.llm.common import bound_batches, staged, text_slices
 
 CHUNK_BYTES = 4 << 20
 #: Keys that one shard takes, about.
@@ -62,10 +62,12 @@ class Chunk:
         return self.words[self.stream]
 
 
-def chunked(docs: DataFrame, name: str) -> DataFrame:
-    """docs(doc_id, text, role int, mark long) -> written chunks: chunk, role, doc_ids, marks, counts, words, stream. A chunk has one role. A-Z count as a-z.
+def chunked(docs: DataFrame, name: str, describe: Callable[[Chunk], list[np.ndarray]] = lambda chunk: [], columns: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, text, role int, mark long) -> written chunks: chunk, role, doc_ids, marks, counts, words, stream, and
+    ``columns``, arrays with a long for each document as ``describe`` gives them. A chunk has one role. A-Z count as a-z.
     A chunk's number has 43 bits: 23 of the partition, 20 within it."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 20
@@ -76,11 +78,12 @@ def chunked(docs: DataFrame, name: str) -> DataFrame:
                 for part in text_slices(own, "text", CHUNK_BYTES):
                     found = K.words_of(K.texts_of(part.column("text"), lower=True))
                     words, stream = np.unique(found.hashes, return_inverse=True)
+                    more = describe(Chunk(words, stream, found.offsets)) if columns else []
                     row = [pa.array([number], pa.int64()), pa.array([int(role)], pa.int32()), pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc_id")), pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("mark")), pa.array([found.counts], pa.list_(pa.int64())), pa.array([words.tobytes()], pa.binary()), pa.array([pack(stream.astype(np.uint32))], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(row, names=["chunk", "role", "doc_ids", "marks", "counts", "words", "stream"])
+                    yield pa.RecordBatch.from_arrays([*row, *(pa.array([x], pa.list_(pa.int64())) for x in more)], names=["chunk", "role", "doc_ids", "marks", "counts", "words", "stream", *columns])
                     number += 1
 
-    return staged(docs.select("doc_id", "text", "role", "mark").mapInArrow(run, f"chunk long, role int, doc_ids array<{kind}>, marks array<long>, counts array<long>, words binary, stream binary"), name)
+    return staged(docs.select("doc_id", "text", "role", "mark").mapInArrow(run, f"chunk long, role int, doc_ids array<{kind}>, marks array<long>, counts array<long>, words binary, stream binary" + "".join(f", {c} array<long>" for c in columns)), name)
 
 
 def chunk_of(row: dict) -> Chunk:

@@ -42,6 +42,23 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of rows that Spark hands to a Python worker at once; a longer row goes alone.
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Spark counts rows alone by default, and a batch of long texts would outgrow a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, longer if need be, so that it clashes with no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,4 +87,5 @@ def map_texts(df: DataFrame, text: str, schema: str, make: Callable[[pa.RecordBa
             for part in text_slices(batch, text, most):
                 yield make(part)
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -7,27 +7,27 @@ from pyspark.sql import functions as F
 
 from haplospark.llm.common import drop_staged, staged
 
-#: Edges whose minima may be broadcast: one row of two numbers for each node.
-BROADCAST_EDGES = 500_000
+#: While edges are at most so many (pairs of numbers), a step is one task without a shuffle.
+FEW_EDGES = 200_000
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b), numbers -> node, component (the least node), for nodes with an edge. Each step
-    joins edges with one minimum a node: minima are broadcast while the counted edges are few, else a hub is
+    joins edges with one minimum a node: in one task while the counted edges are few, else a hub is
     a skewed join, which Spark splits; the number of steps grows with the logarithm of the longest path."""
 
-    def least_of(pairs: DataFrame, value: Column, few: bool) -> DataFrame:
-        least = pairs.groupBy("a").agg(value.alias("m")).withColumnRenamed("a", "n")
-        return F.broadcast(least) if few else least
+    def least_of(pairs: DataFrame, value: Column) -> DataFrame:
+        return pairs.groupBy("a").agg(value.alias("m")).withColumnRenamed("a", "n")
 
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     count, state = now.count(), None
     while count:
-        few = count <= BROADCAST_EDGES
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(least_of(both, F.least("a", F.min("b")), few), F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = large if few else large.distinct()
-        joined = large.join(least_of(large, F.min("b"), few), F.col("a") == F.col("n"))
+        few = count <= FEW_EDGES
+        start = now.coalesce(1) if few else now
+        hash_join = lambda df: df.hint("shuffle_hash") if few else df
+        both = start.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+        large = both.join(hash_join(least_of(both, F.least("a", F.min("b")))), F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        joined = large.join(hash_join(least_of(large, F.min("b"))), F.col("a") == F.col("n"))
         after = joined.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         after = staged(after, "edges")
         summed = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
