@@ -18,9 +18,11 @@ SLICE_BYTES = 4 << 20
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share (``spark.checkpoint.dir``).
 
-    Where the setting is absent (tests), a local folder is set for this session."""
+    Where the setting is absent, a folder of this machine is set, but only for a session that runs on this machine alone (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="haplospark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/haplospark/{name}-{uuid.uuid4().hex}"

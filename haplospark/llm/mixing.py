@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from haplospark.llm.common import drop_staged, staged, table
+from haplospark.llm.common import drop_staged, fresh, staged, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS, LEVEL_BITS = 60, 15
@@ -104,11 +104,12 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
 
 
 def mixed_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """The rows of ``df`` as often as the mix takes them, with the columns of ``df``."""
+    """The rows of ``df`` as often as the mix takes them, with the columns of ``df``, whatever their names."""
     _, plan = mix_plan(df, doc_id, text, source, weights, most)
-    plan = plan.select("p", "passes", "threshold").toDF("__p", "__passes", "__threshold")
-    copies = F.col("__passes") + (hash_of(F.col(doc_id)) <= F.col("__threshold")).cast("long")
-    taken = df.join(plan, F.col(source).eqNullSafe(F.col("__p"))).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    p, passes, threshold, copy = (fresh(df, c) for c in ("mix_source", "mix_passes", "mix_threshold", "mix_copy"))
+    plan = plan.select("p", "passes", "threshold").toDF(p, passes, threshold)
+    copies = F.col(passes) + (hash_of(F.col(doc_id)) <= F.col(threshold)).cast("long")
+    taken = df.join(plan, F.col(source).eqNullSafe(F.col(p))).withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
     return taken.select(*df.columns)
 
 
