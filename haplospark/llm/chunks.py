@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haplospark.llm import kernels as K
-from haplospark.llm.common import bound_batches, staged, text_slices
+from haplospark.llm.common import bound_batches, give_back, staged, text_slices
 
 CHUNK_BYTES = 4 << 20
 #: Keys that one shard takes, about.
@@ -82,6 +82,7 @@ def chunked(docs: DataFrame, name: str, describe: Callable[[Chunk], list[np.ndar
                     row = [pa.array([number], pa.int64()), pa.array([int(role)], pa.int32()), pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc_id")), pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("mark")), pa.array([found.counts], pa.list_(pa.int64())), pa.array([words.tobytes()], pa.binary()), pa.array([pack(stream.astype(np.uint32))], pa.binary())]
                     yield pa.RecordBatch.from_arrays([*row, *(pa.array([x], pa.list_(pa.int64())) for x in more)], names=["chunk", "role", "doc_ids", "marks", "counts", "words", "stream", *columns])
                     number += 1
+                    give_back()
 
     return staged(docs.select("doc_id", "text", "role", "mark").mapInArrow(run, f"chunk long, role int, doc_ids array<{kind}>, marks array<long>, counts array<long>, words binary, stream binary" + "".join(f", {c} array<long>" for c in columns)), name)
 
@@ -110,6 +111,7 @@ def count_everywhere(chunks: DataFrame, keys_of: Keys, counted: tuple[tuple[int,
                 ends = np.r_[at[1:], len(keys)]
                 out = [[int(shard[a]) for a in at], [pack(np.diff(keys[a:b], prepend=shard[a] << np.uint64(64 - bits))) for a, b in zip(at, ends)], [pack(times[a:b].astype(np.uint32)) for a, b in zip(at, ends)]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["chunk"])), pa.array(np.full(len(at), row["role"], np.int32)), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["chunk", "role", "shard", "keys", "times"])
+                give_back()
 
     n = len(counted)
     results = ", ".join(f"counts_{i} binary" for i in range(n))
@@ -134,6 +136,8 @@ def count_everywhere(chunks: DataFrame, keys_of: Keys, counted: tuple[tuple[int,
             out.append([pack(each[e - s : e]) for s, e in zip(sizes, ends)])
             summary.append(np.array([(sums > 0)[~odd].sum(), sums[~odd].sum(), (sums > 0)[odd].sum(), sums[odd].sum()], np.uint64).tobytes())
         chunk = rows.column("chunk").to_pylist()
+        del keys, times, order, ordered, which, parts
+        give_back()
         return pa.table([pa.array([*chunk, -1], pa.int64()), pa.array([shard] * (len(chunk) + 1), pa.int64()), *[pa.array([*o, s], pa.binary()) for o, s in zip(out, summary)]], names=["chunk", "shard", *(f"counts_{i}" for i in range(n))])
 
     sent = chunks.mapInArrow(send, "chunk long, role int, shard long, keys binary, times binary")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,8 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: Bytes of text that one numpy pass takes; a longer text is a pass of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -53,6 +56,14 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Memory that a step has freed goes back to the system: Python workers outlive their stage, and beside each other each
+    would hold the most that it ever took. A C library without malloc_trim keeps it."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, longer if need be, so that it clashes with no column of ``df``."""
     taken = {c.lower() for c in df.columns}
@@ -88,6 +99,7 @@ def map_texts(df: DataFrame, text: str, schema: str, make: Callable[[pa.RecordBa
         for batch in batches:
             for part in text_slices(batch, text, most):
                 yield make(part)
+                give_back()
 
     bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

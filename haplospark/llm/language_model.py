@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from haplospark.llm import kernels as K
 from haplospark.llm.chunks import Chunk, chunk_of, chunked, count_everywhere, counts_in_order
-from haplospark.llm.common import crc_bucket, table
+from haplospark.llm.common import crc_bucket, give_back, table
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 TRAIN, DELETED, HELD = 0, 1, 2
@@ -132,6 +132,7 @@ def language_scores(docs: DataFrame) -> DataFrame:
             base = np.log10((c_now + 1) / (n + v + 1))
             add = lambda x: np.add.reduceat(x, offsets[:-1])  # noqa: E731  every document has a token
             rows.append((pa.array(row["doc_ids"], arrow_kind), row["role"], np.diff(offsets), add((c_now > 0).astype(np.int64)), add(base), add(logs)))
+        give_back()
         size = [len(r[2]) for r in rows]
         return pa.table([pa.concat_arrays([r[0] for r in rows]), pa.array(np.repeat(np.array([r[1] for r in rows], np.int32), size)), *[pa.array(np.concatenate([r[i] for r in rows])) for i in (2, 3)], pa.array(np.full(sum(size), n, np.int64)), *[pa.array(np.concatenate([r[i] for r in rows])) for i in (4, 5)]], names=["doc_id", "role", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

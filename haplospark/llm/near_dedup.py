@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from haplospark.llm import kernels as K
 from haplospark.llm.chunks import chunk_of, chunked, count_everywhere, counts_in_order, pack, unpack
-from haplospark.llm.common import drop_staged, fresh, staged, table
+from haplospark.llm.common import drop_staged, fresh, give_back, staged, table
 from haplospark.llm.components import components
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 4
@@ -237,7 +237,9 @@ class NearDuplicates:
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             none = pa.table([pa.array([], t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), *[pa.int64()] * len(ABOUT))], names=["rid", "keys", "weights", "bands", *ABOUT])
-            return pa.concat_tables([none, *(make(row, right) for row in left.to_pylist())])
+            out = pa.concat_tables([none, *(make(row, right) for row in left.to_pylist())])
+            give_back()
+            return out
 
         return chunks.groupBy("chunk").cogroup(frequencies.groupBy("chunk")).applyInArrow(run, "rid long, keys binary, weights binary, bands array<long>, " + ", ".join(f"{c} long" for c in ABOUT))
 
@@ -265,6 +267,7 @@ class NearDuplicates:
             for batch in batches:
                 found = [similarity(read(batch.column("va")[i].as_py()), read(batch.column("vb")[i].as_py())) for i in range(batch.num_rows)]
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
+                give_back()
 
         tested = staged(both.mapInArrow(run, "a long, b long, similarity double"), "dedup-tested")
         drop_staged(pairs)

@@ -7,9 +7,10 @@ Huffman bits). A block holds whole documents, about 131,072 ids, and decodes
 alone. ``codebook`` beside it holds the code length of each id; that is all a
 canonical code needs.
 
-Two passes tokenize: one for global counts of ids, one that encodes after a
-range shuffle by doc_id. In a pass each distinct piece is tokenized once and
-looked up after that: this tokenizer never joins characters over white space,
+One pass tokenizes and writes each document's ids, two bytes or four each;
+global counts and the code come from these, and after a range shuffle by doc_id
+they are encoded. Each distinct piece is tokenized once a task and looked up
+after that: this tokenizer never joins characters over white space,
 nor a letter with a sign other than an apostrophe, so a text's ids are its
 pieces' ids end to end. It lowers case itself, so pieces are lowered first
 unless its case-sensitive special tokens may occur.
@@ -31,12 +32,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from haplospark.llm import huffman as H
 from haplospark.llm import kernels as K
-from haplospark.llm.common import shared_dir, table, text_slices
+from haplospark.llm.common import bound_batches, drop_staged, give_back, shared_dir, staged, table, text_slices
 
-END_ID, BLOCK_IDS, SLICE, WORDS_KEPT, AT_ONCE = 1, 1 << 17, 4 << 20, 1_000_000, 8192
+END_ID, BLOCK_IDS, WORDS_KEPT, AT_ONCE = 1, 1 << 17, 1_000_000, 8192
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 SIGN = np.zeros(256, bool)
@@ -93,13 +95,6 @@ class WordIds:
         at = np.searchsorted(self.keys, distinct)
         return self.start[at], self.length[at], which
 
-    def counts(self, column: pa.Array, vocabulary: int) -> np.ndarray:
-        start, length, which = self.look_up(*pieces(column))
-        times = np.bincount(which, minlength=len(start))
-        total = np.bincount(self.flat[_ranges(start, length)], np.repeat(times, length), minlength=vocabulary).astype(np.int64)
-        total[END_ID] += len(column)
-        return total
-
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end ids, and where each document begins."""
         texts, words = pieces(column)
@@ -118,55 +113,88 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(total)
 
 
-def count_ids(docs: DataFrame, path: str, vocabulary: int) -> DataFrame:
-    """text -> (id, n); one row for each id and task goes into the shuffle."""
+def id_type(vocabulary: int) -> np.dtype:
+    return np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
+
+
+def tokenized(docs: DataFrame, path: str, vocabulary: int) -> DataFrame:
+    """docs(doc_id, text) -> written doc_id, h (the text's hash), ids (bytes, with the end id)."""
+    kind = docs.schema["doc_id"].dataType
+    size = id_type(vocabulary)
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, words = np.zeros(vocabulary, np.int64), WordIds.of(path)
+        words = WordIds.of(path)
         for batch in batches:
-            for part in text_slices(batch, "text", SLICE):
-                total += words.counts(part.column("text"), vocabulary)
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids])], names=["id", "n"])
+            for part in text_slices(batch, "text"):
+                ids, at = words.ids(part.column("text"))
+                raw = pa.py_buffer(ids.astype(size))
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(at * size.itemsize), raw]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), packed], names=["doc_id", "h", "ids"])
+                give_back()
+
+    bound_batches(docs.sparkSession)
+    return staged(hashed.mapInArrow(run, f"doc_id {kind.simpleString()}, h long, ids binary"), "token-ids")
+
+
+def flat_ids(column: pa.Array, size: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of bytes, and where each document begins."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] // size.itemsize if len(column) else np.zeros(1, np.int64)
+    flat = np.frombuffer(data, size)[at[0] : at[-1]] if data and len(column) else np.zeros(0, size)
+    return flat, at - at[0]
 
-    return docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+def count_ids(ids: DataFrame, vocabulary: int) -> DataFrame:
+    """ids (bytes) -> (id, n); one row for each id and task goes into the shuffle."""
+    size = id_type(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(vocabulary, np.int64)
+        for batch in batches:
+            total += np.bincount(flat_ids(batch.column("ids"), size)[0], minlength=vocabulary)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found])], names=["id", "n"])
+
+    return ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(df: DataFrame, to: str, tokenizer: str, vocabulary: int, doc_id: str = "doc_id", text: str = "text") -> None:
     """Writes ``to``/blocks and ``to``/codebook. The vocabulary bounds what the driver holds."""
     spark = df.sparkSession
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    docs = tokenized(df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), tokenizer, vocabulary)
     counts = np.zeros(vocabulary, np.int64)
-    for row in count_ids(docs, tokenizer, vocabulary).collect():
+    for row in count_ids(docs, vocabulary).collect():
         counts[row["id"]] = row["n"]
     lengths = H.code_lengths(counts)
     spark.createDataFrame([(i, int(lengths[i])) for i in np.flatnonzero(lengths).tolist()], "id int, bits int").coalesce(1).write.parquet(f"{to}/codebook")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    arrow_ids = pa.list_(pa.int64()) if kind == "bigint" else None
+    kind, size = docs.schema["doc_id"].dataType, id_type(vocabulary)
+    arrow_ids = pa.list_(to_arrow_type(kind))
     codes = H.canonical(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shard, first, number = WordIds.of(tokenizer), TaskContext.get().partitionId(), 0, 0
+        shard, first, number = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for part in text_slices(batch, "text", SLICE):
-                ids, at = words.ids(part.column("text"))
-                begin = 0
-                while begin < part.num_rows:
-                    end = max(begin + 1, int(np.searchsorted(at, at[begin] + BLOCK_IDS, "right")) - 1)
-                    payload, _, offsets = H.encode(ids[at[begin] : at[end]], lengths, codes)
-                    names = part.column("doc_id").slice(begin, end - begin).to_pylist()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64()), pa.array([names], arrow_ids), pa.array([np.diff(at[begin : end + 1])], pa.list_(pa.int64())), pa.array([offsets], pa.list_(pa.int32())), pa.array([payload], pa.binary())],
-                        names=["shard", "block", "first", "doc_ids", "n_tokens", "offsets", "payload"],
-                    )
-                    first, number, begin = first + int(at[end] - at[begin]), number + 1, end
+            (flat, at), begin = flat_ids(batch.column("ids"), size), 0
+            while begin < batch.num_rows:
+                end = max(begin + 1, int(np.searchsorted(at, at[begin] + BLOCK_IDS, "right")) - 1)
+                payload, _, marks = H.encode(flat[at[begin] : at[end]].astype(np.int64), lengths, codes)
+                names = batch.column("doc_id").slice(begin, end - begin).to_pylist()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64()), pa.array([names], arrow_ids), pa.array([np.diff(at[begin : end + 1])], pa.list_(pa.int64())), pa.array([marks], pa.list_(pa.int32())), pa.array([payload], pa.binary())],
+                    names=["shard", "block", "first", "doc_ids", "n_tokens", "offsets", "payload"],
+                )
+                first, number, begin = first + int(at[end] - at[begin]), number + 1, end
+            give_back()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.monotonically_increasing_id())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    blocks = ordered.mapInArrow(run, f"shard int, block int, first long, doc_ids array<{kind}>, n_tokens array<long>, offsets array<int>, payload binary")
+    ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "h", F.monotonically_increasing_id())
+    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
+    blocks = ordered.select("doc_id", "ids").mapInArrow(run, f"shard int, block int, first long, doc_ids array<{kind.simpleString()}>, n_tokens array<long>, offsets array<int>, payload binary")
     blocks.write.parquet(f"{to}/blocks")
+    drop_staged(docs)
 
 
 def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haplospark.llm import kernels as K
-from haplospark.llm.common import crc_bucket, map_texts, staged, table, text_slices
+from haplospark.llm.common import crc_bucket, give_back, map_texts, staged, table, text_slices
 
 #: So many labelled rows of each class fit the model.
 SAMPLE_ROWS = 12_000
@@ -231,6 +231,7 @@ def fit(sample: DataFrame, model: np.ndarray) -> tuple[np.ndarray, np.ndarray, f
                 order = np.argsort(text, kind="stable")
                 offsets = np.searchsorted(text[order], np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([part.column("y"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(feature[order].view(np.int64)))], names=["y", "f"])
+                give_back()
 
     rows = staged(sample.mapInArrow(run, "y int, f array<long>"), "toxicity-sample")
     n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from haplospark.llm import chunks, huffman, kernels, language_model, near_dedup, quality_rules, token_files
 from tests.llm.tools import DOCS, docs, lower_az, rows, words, write
@@ -188,3 +189,12 @@ def test_token_files(spark, tmp_path):
     whole = token_files.read_token_files(spark, f"{tmp_path}/files").collect()
     assert {str(r.doc_id): zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in whole} == {e[0]: e[3] for e in expect}
     assert token_files.token_digests(spark.createDataFrame([], DOCS)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(9,0)"])
+def test_token_files_take_ids_of_other_types(spark, kind):
+    long = "x" * 200_000
+    x = spark.createDataFrame([(2, "b c"), (1, long), (None, None), (2, "b c")], "i long, text string").select(F.col("i").cast(kind).alias("doc_id"), "text")
+    found = sorted(((str(r.doc_id), r.start, r.n_tokens) for r in token_files.token_digests(x).collect()), key=lambda r: r[1])
+    assert [r[0] for r in found] == ["None", "1", "2", "2"] and found[0][1:] == (0, 1)
+    assert all(a[1] + a[2] == b[1] for a, b in zip(found, found[1:])) and found[2][2] == found[3][2]
