@@ -48,7 +48,7 @@ def drop_staged(df: DataFrame) -> None:
 
 
 #: Bytes of rows that Spark hands to a Python worker at once; a longer row goes alone.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -38,7 +38,7 @@ from haplospark.llm import huffman as H
 from haplospark.llm import kernels as K
 from haplospark.llm.common import bound_batches, drop_staged, give_back, shared_dir, staged, table, text_slices
 
-END_ID, BLOCK_IDS, WORDS_KEPT, AT_ONCE = 1, 1 << 17, 1_000_000, 8192
+END_ID, BLOCK_IDS, SLICE, WORDS_KEPT, AT_ONCE = 1, 1 << 17, 512 << 10, 300_000, 1024
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 SIGN = np.zeros(256, bool)
@@ -126,7 +126,7 @@ def tokenized(docs: DataFrame, path: str, vocabulary: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds.of(path)
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", SLICE):
                 ids, at = words.ids(part.column("text"))
                 raw = pa.py_buffer(ids.astype(size))
                 packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(at * size.itemsize), raw]).cast(pa.binary())
