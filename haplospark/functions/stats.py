@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def depth_posterior(reads: Column, haploid_depth: Column, most: int = 4) -> Column:
     """array of P(copy number = 1..most | reads), Poisson with a flat prior. The factorial and the
-    power of the depth cancel, so logarithms of small numbers suffice. Null without depth, if reads were seen."""
+    power of the depth cancel, so logarithms of small numbers suffice, and far from every copy number there is still an
+    answer, where densities that underflow would leave none. Null without depth, if reads were seen."""
     logs = [reads * F.log(F.lit(float(i))) - i * haploid_depth for i in range(1, most + 1)]
     top = F.greatest(*logs)
     weights = [F.exp(x - top) for x in logs]

@@ -93,11 +93,11 @@ def hap_bound(start: Column, end: Column, cut_left: Column, cut_right: Column) -
 
 
 def link_direction(a: Column, b: Column, reverse: Column) -> Column:
-    """How two segments of one read join: ``1-2`` if a's end and b's start are open, ``2-1`` the other
-    way; on opposite strands ``0-0`` if both open at the same side; else null. An open end is a called one."""
+    """How two segments of one read join: ``1-2`` if a's end and b's start are called, else ``2-1`` if b's end and a's start
+    are; on opposite strands ``0-0`` if both ends or both starts are called; else null."""
     start = lambda h: F.substring(h, 1, 1) != "x"
     end = lambda h: F.substring(h, -1, 1) != "x"
-    same = F.when(end(a) & start(b) & ~(start(a) & end(b)), "1-2").when(start(a) & end(b) & ~(end(a) & start(b)), "2-1")
+    same = F.when(end(a) & start(b), "1-2").when(start(a) & end(b), "2-1")
     turned = F.when((start(a) & start(b)) | (end(a) & end(b)), "0-0")
     return F.when(reverse, turned).otherwise(same)
 
@@ -110,9 +110,9 @@ def fusion_type(hap: Column, mode: str) -> Column:
 
 
 def hap_class(hap: Column) -> Column:
-    """gene1 if both ends are present, gene2 if both are absent, fusion if one is, unknown if an end isn't called."""
+    """gene1 if no end is absent (0), gene2 if both are, fusion if one is; an end that isn't called counts as present."""
     first, last = F.substring(hap, 1, 1), F.substring(hap, -1, 1)
-    return F.when((first == "x") | (last == "x"), "unknown").when((first == "0") & (last == "0"), "gene2").when((first == "0") | (last == "0"), "fusion").otherwise("gene1")
+    return F.when((first == "0") & (last == "0"), "gene2").when((first == "0") | (last == "0"), "fusion").otherwise("gene1")
 
 
 def symmetric_difference(a: Column, b: Column) -> Column:

@@ -44,12 +44,14 @@ def match_reads(reads: DataFrame, haps: DataFrame, keys: list[str]) -> DataFrame
 
 
 def unique_support(matches: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, read, hap where the haplotype is the read's only match, or shares no called site with any other match."""
-    x = matches.select(*keys, "read", "hap").distinct()
-    other = x.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("read").alias("_read"), F.col("hap").alias("other"))
-    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys], (F.col("read") == F.col("_read")) & (F.col("hap") != F.col("other")))
+    """keys, read, hap where the haplotype is the read's only match, or shares no called site with any other match. What a read matches
+    follows from its string, so distinct strings are judged and reads joined back."""
+    x = matches.select(*keys, "read_hap", "hap").distinct()
+    other = x.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("read_hap").alias("_read_hap"), F.col("hap").alias("other"))
+    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys], (F.col("read_hap") == F.col("_read_hap")) & (F.col("hap") != F.col("other")))
     share = F.exists(F.zip_with(F.split("hap", ""), F.split("other", ""), lambda a, b: (a != "x") & (b != "x")), lambda v: v)
-    return x.join(other, on & share, "left_anti")
+    unique = x.join(other, on & share, "left_anti")
+    return matches.join(unique, [*keys, "read_hap", "hap"], "left_semi").select(*keys, "read", "hap").distinct()
 
 
 def shared_reads(matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,25 +59,16 @@ def shared_reads(matches: DataFrame, keys: list[str]) -> DataFrame:
     return matches.groupBy(*keys, "read").agg(F.array_sort(F.collect_set("hap")).alias("haps")).where(F.size("haps") > 1)
 
 
-def low_support(reads: DataFrame, haps: DataFrame, keys: list[str], least: int = 3, rounds: int = 20) -> DataFrame:
-    """haps left after dropping those without unique reads, then, again and again, those with fewer than ``least``
-    unique reads, as their reads may become unique to others. A key is done when a round drops nothing; the
-    loop ends with the last key, or after ``rounds``."""
-    now, floor = haps.select(*keys, "hap").distinct(), 1
-    for _ in range(rounds):
+def low_support(reads: DataFrame, haps: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
+    """haps left after dropping those without unique reads, then those with fewer than ``least``. Whatever is dropped, a read that
+    is unique to a haplotype stays so, hence the second drop leaves none with too few: repeating it would change nothing."""
+    now = haps.select(*keys, "hap").distinct()
+    for floor in (1, least):
         support = unique_support(match_reads(reads, now, keys), keys).groupBy(*keys, "hap").agg(F.count("*").alias("n"))
-        after = support.where(F.col("n") >= floor).select(*keys, "hap").checkpoint() if _has_checkpoints(reads) else support.where(F.col("n") >= floor).select(*keys, "hap").persist()
-        same = floor == least and after.count() == now.count()
-        now, floor = after, least
-        if same:
-            break
+        now = support.where(F.col("n") >= floor).select(*keys, "hap")
     return now
 
 
-def _has_checkpoints(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext.getCheckpointDir() is not None
-
-
 def closest_hap(reads: DataFrame, haps: DataFrame, keys: list[str]) -> DataFrame:
     """For reads: the haplotype with one or two mismatches, if the next has at least two more; keys, read, hap, mismatch."""
     pairs = reads.withColumnRenamed("hap", "read_hap").join(haps.select(*keys, "hap"), keys).withColumn("mismatch", compare_haps(F.col("read_hap"), F.col("hap")).mismatch)

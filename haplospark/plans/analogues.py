@@ -32,16 +32,16 @@ READS = f"""reads AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
 
 
-def haps(spark: SparkSession, sf_dir: str, most: int = 6) -> DataFrame:
-    """region, hap: the most frequent strings with three calls or more."""
+def haps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """region, hap: strings with three calls or more that are supported by 4 reads and by 1 % of the region's reads with so many calls."""
     from pyspark.sql import Window
 
     full = reads(spark, sf_dir).where(F.length(F.replace("hap", F.lit("x"), F.lit(""))) >= 3).groupBy("region", "hap").agg(F.count("*").alias("n"))
-    return full.withColumn("r", F.row_number().over(Window.partitionBy("region").orderBy(F.desc("n"), "hap"))).where(F.col("r") <= most).select("region", "hap")
+    return full.withColumn("all", F.sum("n").over(Window.partitionBy("region"))).where((F.col("n") >= 4) & (100 * F.col("n") >= F.col("all"))).select("region", "hap")
 
 
 HAPS = """haps AS (
-  SELECT region, hap FROM (SELECT region, hap, row_number() OVER (PARTITION BY region ORDER BY count(*) DESC, hap) AS r FROM reads WHERE length(replace(hap, 'x', '')) >= 3 GROUP BY region, hap) WHERE r <= 6)"""
+  SELECT region, hap FROM (SELECT region, hap, count(*) AS n, sum(count(*)) OVER (PARTITION BY region) AS total FROM reads WHERE length(replace(hap, 'x', '')) >= 3 GROUP BY region, hap) WHERE n >= 4 AND 100 * n >= total)"""
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,20 +85,19 @@ def ratio_class(spark, d):
 # Interval joins
 
 
-@query("""SELECT l_orderkey, l_linenumber, pos, min(mapped) AS mapped FROM (SELECT l_orderkey, l_linenumber, l_partkey AS pos FROM lineitem) l
- LEFT JOIN (SELECT p_partkey AS p, p_size AS mapped FROM part WHERE p_partkey % 7 = 0) r ON r.p >= l.pos AND r.p < l.pos + 5
-   AND r.p = (SELECT min(p_partkey) FROM part WHERE p_partkey % 7 = 0 AND p_partkey >= l.pos) GROUP BY 1, 2, 3""")
+@query("""SELECT l_orderkey, l_linenumber, pos, CASE WHEN p < pos + 5 THEN mapped END AS mapped FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey * 5 + l_linenumber AS pos FROM lineitem) l
+ ASOF LEFT JOIN (SELECT p_partkey * 7 AS p, min(p_size) AS mapped FROM part GROUP BY 1) r ON l.pos <= r.p""")
 def as_of_forward(spark, d):
-    left = X.t(spark, d, "lineitem").select(F.lit(0).alias("chrom"), F.col("l_partkey").alias("pos"), "l_orderkey", "l_linenumber").distinct()
-    right = X.t(spark, d, "part").where("p_partkey % 7 = 0").select(F.lit(0).alias("chrom"), F.col("p_partkey").alias("pos"), F.col("p_size").alias("mapped"))
+    left = X.t(spark, d, "lineitem").select(F.lit(0).alias("chrom"), (F.col("l_partkey") * 5 + F.col("l_linenumber")).alias("pos"), "l_orderkey", "l_linenumber").distinct()
+    right = X.t(spark, d, "part").select(F.lit(0).alias("chrom"), (F.col("p_partkey") * 7).alias("pos"), F.col("p_size").alias("mapped"))
     return left.join(I.as_of_forward(left, right, ["chrom"], 5, "mapped"), ["chrom", "pos"]).select("l_orderkey", "l_linenumber", "pos", "mapped")
 
 
-_NOISY = "noisy AS (SELECT s_nationkey % 3 AS region, s_suppkey % 150 AS a, s_suppkey % 150 + 2 AS b FROM supplier WHERE s_suppkey % 5 = 0)"
+_NOISY = "noisy AS (SELECT s_nationkey % 3 AS region, s_suppkey * 4 AS a, s_suppkey * 4 + 2 AS b FROM supplier)"
 
 
 def _noisy(spark, d):
-    return X.t(spark, d, "supplier").where("s_suppkey % 5 = 0").select((F.col("s_nationkey") % 3).alias("region"), (F.col("s_suppkey") % 150).alias("start"), (F.col("s_suppkey") % 150 + 2).alias("end"))
+    return X.t(spark, d, "supplier").select((F.col("s_nationkey") % 3).alias("region"), (F.col("s_suppkey") * 4).alias("start"), (F.col("s_suppkey") * 4 + 2).alias("end"))
 
 
 @query("SELECT region, pos, read FROM tokens x WHERE NOT EXISTS (SELECT 1 FROM noisy n WHERE n.region = x.region AND x.pos BETWEEN n.a AND n.b)", (TOKENS, _NOISY))
@@ -111,12 +110,13 @@ def breakpoint_exclusion(spark, d):
     return I.outside(X.tokens(spark, d), _noisy(spark, d), K, 50, closed=False).select("region", "pos", "read")
 
 
-@query("""SELECT DISTINCT region AS chrom, read, "start", "end" FROM spans s WHERE "end" > "start" AND EXISTS (SELECT 1 FROM (SELECT o_orderpriority AS region, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS a FROM orders WHERE o_orderkey % 97 = 0) r
+@query("""SELECT DISTINCT region AS chrom, read, "start", "end" FROM spans s WHERE "end" > "start" AND EXISTS (SELECT 1 FROM (SELECT CASE s_suppkey % 5 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' ELSE '5-LOW' END AS region, 1830 + s_suppkey * 37 % 2400 AS a FROM supplier) r
  WHERE r.region = s.region AND s."start" < r.a + 3 AND s."end" > r.a)""", (SPANS,))
 def multi_region_extract(spark, d):
     reads = X.spans(spark, d).where(F.col("end") > F.col("start")).withColumnRenamed("region", "chrom")
-    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("long")
-    regions = X.t(spark, d, "orders").where("o_orderkey % 97 = 0").select(F.col("o_orderpriority").alias("chrom"), day.alias("start"), (day + 3).alias("end"))
+    n = F.col("s_suppkey")
+    chrom = F.when(n % 5 == 0, "1-URGENT").when(n % 5 == 1, "2-HIGH").when(n % 5 == 2, "3-MEDIUM").otherwise("5-LOW")
+    regions = X.t(spark, d, "supplier").select(chrom.alias("chrom"), (1830 + n * 37 % 2400).alias("start"), (1833 + n * 37 % 2400).alias("end"))
     return I.overlapping(reads, regions, 400).select("chrom", "read", "start", "end")
 
 
@@ -272,13 +272,13 @@ _ENDS = "ends AS (SELECT region, read, replace(hap, 'x', '0') AS z, hap FROM rea
 
 
 @query("""SELECT region, read, CASE WHEN z[1] = '0' AND z[-1] <> '0' THEN 'duplication' WHEN z[-1] = '0' AND z[1] <> '0' THEN 'deletion' END AS f5, CASE WHEN z[1] = '0' AND z[-1] <> '0' THEN 'deletion' WHEN z[-1] = '0' AND z[1] <> '0' THEN 'duplication' END AS f3,
- CASE WHEN hap[1] = 'x' OR hap[-1] = 'x' THEN 'unknown' WHEN hap[1] = '0' AND hap[-1] = '0' THEN 'gene2' WHEN hap[1] = '0' OR hap[-1] = '0' THEN 'fusion' ELSE 'gene1' END AS cls FROM ends""", (READS, _ENDS))
+ CASE WHEN z[1] = '0' AND z[-1] = '0' THEN 'gene2' WHEN z[1] = '0' OR z[-1] = '0' THEN 'fusion' ELSE 'gene1' END AS cls FROM ends""", (READS, _ENDS))
 def fusion_type_and_class(spark, d):
     x = X.reads(spark, d).withColumn("z", F.replace("hap", F.lit("x"), F.lit("0")))
-    return x.select("region", "read", S.fusion_type(F.col("z"), "5p").alias("f5"), S.fusion_type(F.col("z"), "3p").alias("f3"), S.hap_class(F.col("hap")).alias("cls"))
+    return x.select("region", "read", S.fusion_type(F.col("z"), "5p").alias("f5"), S.fusion_type(F.col("z"), "3p").alias("f3"), S.hap_class(F.col("z")).alias("cls"))
 
 
-@query("""SELECT DISTINCT hap, b, CASE WHEN hap[-1] <> 'x' AND b[1] <> 'x' AND NOT (hap[1] <> 'x' AND b[-1] <> 'x') THEN '1-2' WHEN hap[1] <> 'x' AND b[-1] <> 'x' AND NOT (hap[-1] <> 'x' AND b[1] <> 'x') THEN '2-1' END AS same,
+@query("""SELECT DISTINCT hap, b, CASE WHEN hap[-1] <> 'x' AND b[1] <> 'x' THEN '1-2' WHEN hap[1] <> 'x' AND b[-1] <> 'x' THEN '2-1' END AS same,
  CASE WHEN (hap[1] <> 'x' AND b[1] <> 'x') OR (hap[-1] <> 'x' AND b[-1] <> 'x') THEN '0-0' END AS turned FROM (SELECT a.hap, c.hap AS b FROM reads a JOIN reads c ON a.region = c.region AND c.read = a.read + 1)""", (READS,))
 def link_direction(spark, d):
     x = X.reads(spark, d)
@@ -341,16 +341,25 @@ def low_support_filter(spark, d):
     return H.low_support(X.reads(spark, d), X.haps(spark, d), K, 4)
 
 
+_KNOWN = "known AS (SELECT region, hap FROM (SELECT DISTINCT o_orderpriority AS region FROM orders), (SELECT unnest(['1111111', '2222222', '1212121']) AS hap))"
+
+
+def _known(spark, d):
+    """Three haplotypes of every region, far apart."""
+    return X.t(spark, d, "orders").select(F.col("o_orderpriority").alias("region")).distinct().select("region", F.explode(F.array(*map(F.lit, ("1111111", "2222222", "1212121")))).alias("hap"))
+
+
 @query(f"""SELECT region, read, b AS hap, mismatch FROM (SELECT *, row_number() OVER (PARTITION BY region, read ORDER BY mismatch, b) AS r, lead(mismatch) OVER (PARTITION BY region, read ORDER BY mismatch, b) AS next FROM (
- SELECT r.region, r.read, p.b, p.mismatch FROM reads r JOIN (SELECT region, hap, b, {_MISMATCH} AS mismatch FROM pairs) p ON r.region = p.region AND r.hap = p.hap)) WHERE r = 1 AND mismatch BETWEEN 1 AND 2 AND (next IS NULL OR next >= mismatch + 2)""", (READS, HAPS, _PAIR_SQL))
+ SELECT r.region, r.read, p.b, p.mismatch FROM reads r JOIN (SELECT region, hap, b, {_MISMATCH} AS mismatch FROM pairs) p ON r.region = p.region AND r.hap = p.hap)) WHERE r = 1 AND mismatch BETWEEN 1 AND 2 AND (next IS NULL OR next >= mismatch + 2)""", (READS, _KNOWN, _PAIR_SQL.replace("haps h", "known h")))
 def closest_hap_margin(spark, d):
-    return H.closest_hap(X.reads(spark, d), X.haps(spark, d), K)
+    return H.closest_hap(X.reads(spark, d), _known(spark, d), K)
 
 
-@query("""SELECT region, idx, refs, alts, others, why FROM (SELECT *, CASE WHEN others = 0 AND refs + alts = 0 THEN 'empty' WHEN others = 0 AND refs <= 3 AND alts <= 3 THEN 'rare' WHEN others = 0 AND (refs <= 3 OR alts <= 3) THEN 'one_sided' END AS why FROM (
- SELECT region, idx, count_if(s = '1') AS refs, count_if(s = '2') AS alts, count_if(s NOT IN ('1', '2', 'x', '0')) AS others FROM (SELECT region, i - 1 AS idx, hap[i] AS s FROM (SELECT region, hap, unnest(range(1, 8)) AS i FROM reads WHERE read % 400 = 0)) GROUP BY 1, 2)) WHERE why IS NOT NULL""", (READS,))
+@query("""SELECT sample, idx, refs, alts, others, why FROM (SELECT *, CASE WHEN others = 0 AND refs + alts = 0 THEN 'empty' WHEN others = 0 AND refs <= 3 AND alts <= 3 THEN 'rare' WHEN others = 0 AND (refs <= 3 OR alts <= 3) THEN 'one_sided' END AS why FROM (
+ SELECT sample, idx, count_if(s = '1') AS refs, count_if(s = '2') AS alts, count_if(s NOT IN ('1', '2', 'x', '0')) AS others FROM (SELECT sample, i - 1 AS idx, hap[i] AS s FROM (SELECT o_custkey AS sample, hap, unnest(range(1, 8)) AS i FROM reads JOIN orders ON o_orderkey = read)) GROUP BY 1, 2)) WHERE why IS NOT NULL""", (READS,))
 def remove_sites(spark, d):
-    return H.drop_sites(X.reads(spark, d).where("read % 400 = 0"), K)
+    owners = X.t(spark, d, "orders").select(F.col("o_orderkey").alias("read"), F.col("o_custkey").alias("sample"))
+    return H.drop_sites(X.reads(spark, d).join(owners, "read").select("sample", "read", "hap"), ["sample"])
 
 
 @query("SELECT region, hap, 'gene_hap' || row_number() OVER (PARTITION BY region ORDER BY hap) AS name FROM haps", (READS, HAPS))
@@ -402,9 +411,9 @@ def gap_fill_sites(spark, d):
     return R.gap_fill(_days(spark, d, "o_custkey % 40 = 0"), _days(spark, d, "o_custkey % 40 <> 0"), regions, K, 60, 4)
 
 
-@query("""SELECT region, pos + 30 AS pos FROM (SELECT *, lead(c) OVER (PARTITION BY region ORDER BY pos, c) AS n FROM (SELECT region, pos, true AS c FROM het UNION SELECT region, pos, false FROM hom WHERE pos % 3 = 0)) WHERE c AND n""", (_GAPS,))
+@query("""SELECT region, pos + 30 AS pos FROM (SELECT *, lead(c) OVER (PARTITION BY region ORDER BY pos, c) AS n FROM (SELECT region, pos, true AS c FROM het UNION SELECT region, pos, false FROM hom)) WHERE c AND n""", (_GAPS,))
 def clip_anchor(spark, d):
-    return R.clip_anchors(_days(spark, d, "o_custkey % 40 = 0"), _days(spark, d, "o_custkey % 40 <> 0").where("pos % 3 = 0"), K)
+    return R.clip_anchors(_days(spark, d, "o_custkey % 40 = 0"), _days(spark, d, "o_custkey % 40 <> 0"), K)
 
 
 @query("""SELECT region, read, CASE WHEN b.idx NOT IN (0, 6) THEN b.idx END AS split FROM (SELECT region, read, max({'score': score, 'm': -idx}) AS x, arg_max(idx, score * 100 - idx) AS idx FROM (
@@ -467,13 +476,13 @@ def assemble_haplotypes(spark, d):
 
 # Alleles and copy numbers
 
-_LINK = """segs AS (SELECT DISTINCT o_orderpriority AS region, l_suppkey AS read, l_linenumber AS seq, 'h' || (l_partkey % 9) AS hap FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 3 = l_suppkey % 3 AND l_partkey % 100 < 20),
+_LINK = """segs AS (SELECT DISTINCT o_custkey AS region, l_orderkey AS read, l_linenumber AS seq, 'h' || (l_partkey % 12) AS hap FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 seg_pairs AS (SELECT a.region, a.read, a.hap AS a, b.hap AS b FROM segs a JOIN segs b ON a.region = b.region AND a.read = b.read AND a.seq < b.seq AND a.hap <> b.hap)"""
 
 
 def _segments(spark, d):
-    x = X.t(spark, d, "lineitem").join(X.t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).where("l_partkey % 3 = l_suppkey % 3 AND l_partkey % 100 < 20")
-    return x.select(F.col("o_orderpriority").alias("region"), F.col("l_suppkey").alias("read"), F.col("l_linenumber").alias("seq"), F.concat(F.lit("h"), (F.col("l_partkey") % 9).cast("string")).alias("hap")).distinct()
+    x = X.t(spark, d, "lineitem").join(X.t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return x.select(F.col("o_custkey").alias("region"), F.col("l_orderkey").alias("read"), F.col("l_linenumber").alias("seq"), F.concat(F.lit("h"), (F.col("l_partkey") % 12).cast("string")).alias("hap")).distinct()
 
 
 @query("SELECT region, read, a, b FROM seg_pairs", (_LINK,))
@@ -489,7 +498,7 @@ def hap_links_min2(spark, d):
     return A.hap_links(A.read_pairs(_segments(spark, d), K), K, directed=True)
 
 
-_COMPONENTS = """WITH RECURSIVE segs AS (SELECT DISTINCT o_orderpriority AS region, l_suppkey AS read, l_linenumber AS seq, 'h' || (l_partkey % 9) AS hap FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 3 = l_suppkey % 3 AND l_partkey % 100 < 20),
+_COMPONENTS = """WITH RECURSIVE segs AS (SELECT DISTINCT o_custkey AS region, l_orderkey AS read, l_linenumber AS seq, 'h' || (l_partkey % 12) AS hap FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 seg_pairs AS (SELECT a.region, a.read, a.hap AS a, b.hap AS b FROM segs a JOIN segs b ON a.region = b.region AND a.read = b.read AND a.seq < b.seq AND a.hap <> b.hap),
 links AS (SELECT region, a, b FROM seg_pairs GROUP BY 1, 2, 3 HAVING count(DISTINCT read) >= 2),
 both_ways AS (SELECT region, a, b FROM links UNION SELECT region, b, a FROM links),
@@ -525,10 +534,12 @@ def two_copy_test(spark, d):
     return C.two_copies_by_reads(counts, K, 0.9).withColumn("p1", F.round("p1", 6))
 
 
-@query("""SELECT c, haps, two_copy_haps, CASE WHEN copies > 1 THEN copies END AS copies FROM (SELECT c, haps, two_copy_haps, CASE WHEN haps = 1 THEN 2 ELSE haps + two_copy_haps END AS copies FROM (SELECT o_custkey AS c, count(DISTINCT o_orderpriority) AS haps, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END) AS two_copy_haps FROM orders GROUP BY 1))""")
+@query("""SELECT c, haps, two_copy_haps, CASE WHEN doubled > 1 THEN doubled END AS copies FROM (SELECT *, CASE WHEN copies = 2 AND NOT exempt AND 1 / (1 + exp(depth * ln(2.0::DOUBLE) - 15) + exp(depth * ln(3.0::DOUBLE) - 30) + exp(depth * ln(4.0::DOUBLE) - 45)) < 0.75 THEN 4 ELSE copies END AS doubled FROM (
+ SELECT *, CASE WHEN haps = 1 THEN 2 ELSE haps + two_copy_haps END AS copies FROM (SELECT o_custkey AS c, count(DISTINCT o_orderstatus) AS haps, count(DISTINCT CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' THEN o_orderstatus END) AS two_copy_haps, 2 * count(*) AS depth, bool_or(o_orderstatus = 'P') AS exempt FROM orders GROUP BY 1)))""")
 def copy_number_table(spark, d):
-    x = X.t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c")).agg(F.count_distinct("o_orderpriority").alias("haps"), F.count_distinct(F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))).alias("two_copy_haps"))
-    return C.total_copies(x.withColumns({"depth": F.lit(30), "genome_depth": F.lit(15.0), "exempt": F.lit(True)})).select("c", "haps", "two_copy_haps", "copies")
+    status = F.col("o_orderstatus")
+    x = X.t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c")).agg(F.count_distinct(status).alias("haps"), F.count_distinct(F.when((F.col("o_orderpriority") == "1-URGENT") & (status == "F"), status)).alias("two_copy_haps"), (2 * F.count("*")).alias("depth"), F.bool_or(status == "P").alias("exempt"))
+    return C.total_copies(x.withColumn("genome_depth", F.lit(15.0))).select("c", "haps", "two_copy_haps", "copies")
 
 
 @query("""SELECT o_custkey AS sample, o_orderpriority AS region, CASE WHEN o_orderpriority = '2-HIGH' THEN coalesce(max(CASE WHEN o_orderpriority = '5-LOW' THEN v END) OVER (PARTITION BY o_custkey), v) ELSE v END AS v FROM (SELECT o_custkey, o_orderpriority, count(*) AS v FROM orders GROUP BY 1, 2)""")
@@ -546,11 +557,12 @@ def del_intersect(spark, d):
     return x.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("read")).intersect(x.where("l_returnflag = 'A'").select("l_orderkey"))
 
 
-@query("SELECT a, b, len(list_filter(x, lambda v: NOT list_contains(y, v))) + len(list_filter(y, lambda v: NOT list_contains(x, v))) AS apart, len(list_filter(x, lambda v: NOT list_contains(y, v))) = 0 AS inside FROM (SELECT p.n AS a, q.n AS b, p.v AS x, q.v AS y FROM (SELECT s_nationkey AS n, list(DISTINCT s_suppkey % 20) AS v FROM supplier GROUP BY 1) p JOIN (SELECT s_nationkey AS n, list(DISTINCT s_suppkey % 20) AS v FROM supplier GROUP BY 1) q ON p.n < q.n)")
+@query("SELECT a, b, len(list_filter(x, lambda v: NOT list_contains(y, v))) + len(list_filter(y, lambda v: NOT list_contains(x, v))) AS apart, len(list_filter(x, lambda v: NOT list_contains(y, v))) = 0 AS inside FROM (SELECT * FROM (SELECT p.n AS a, q.n AS b, p.v AS x, q.v AS y FROM (SELECT s_nationkey AS n, list(DISTINCT s_suppkey % 20) AS v FROM supplier GROUP BY 1) p JOIN (SELECT s_nationkey AS n, list(DISTINCT s_suppkey % 20) AS v FROM supplier GROUP BY 1) q ON p.n < q.n) WHERE len(list_intersect(x, y)) > 0)")
 def symmetric_difference(spark, d):
     x = X.t(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("a")).agg(F.collect_set(F.col("s_suppkey") % 20).alias("x"))
-    y = x.withColumnsRenamed({"a": "b", "x": "y"})
-    return x.join(y, F.col("a") < F.col("b")).select("a", "b", S.symmetric_difference(F.col("x"), F.col("y")).alias("apart"), S.contains_all(F.col("y"), F.col("x")).alias("inside"))
+    member = x.withColumn("m", F.explode("x"))
+    both = member.join(member.withColumnsRenamed({"a": "b", "x": "y"}), "m").where("a < b").drop("m").dropDuplicates(["a", "b"])
+    return both.select("a", "b", S.symmetric_difference(F.col("x"), F.col("y")).alias("apart"), S.contains_all(F.col("y"), F.col("x")).alias("inside"))
 
 
 # Output

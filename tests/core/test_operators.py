@@ -42,9 +42,11 @@ def test_hgvs(spark, pos, ref, alt, name):
 def test_bounds_and_ends(spark):
     assert one(spark, strings.hap_bound(lit(10), lit(20), lit(False), lit(True))) == "10-20truncated"
     assert one(spark, strings.fusion_type(lit("012"), "5p")) == "duplication" and one(spark, strings.fusion_type(lit("012"), "3p")) == "deletion"
-    assert one(spark, strings.hap_class(lit("0120"))) == "gene2" and one(spark, strings.hap_class(lit("x12"))) == "unknown"
+    assert one(spark, strings.hap_class(lit("0120"))) == "gene2" and one(spark, strings.hap_class(lit("x12"))) == "gene1"
     assert one(spark, strings.link_direction(lit("x21"), lit("12x"), lit(False))) == "1-2"
     assert one(spark, strings.link_direction(lit("21x"), lit("1xx"), lit(True))) == "0-0"
+    assert one(spark, strings.link_direction(lit("121"), lit("212"), lit(False))) == "1-2"
+    assert [one(spark, strings.hap_class(lit(h))) for h in ("12121212", "01212120", "0121212x", "x1x")] == ["gene1", "gene2", "fusion", "gene1"]
     assert one(spark, strings.nm_adjusted(lit(900), lit("100M400D50M20I"))) == 500
     assert one(spark, strings.clip_size(lit("12S30M"), "left")) == 12 and one(spark, strings.clip_size(lit("12S30M"), "right")) == 0
 
