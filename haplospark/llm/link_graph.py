@@ -9,11 +9,11 @@ seeds against them. A host's seed is the share of its pages that a rule allows
 or blocks. A host is blocked if its distrust exceeds its trust by THRESHOLD.
 
 Scale: links are counted by (host, host) before anything is joined, so a hot
-host is small after the map side; while edges are below a bound, CUT_EVERY
-rounds are one task, else each is a shuffle whose skewed parts Spark splits.
-Rounds go on until the ranks' summed change over CUT_EVERY rounds is below
-TOLERANCE: every rank is then within 0.8 * TOLERANCE of its limit, and the
-number of rounds grows with the logarithm of the seeds' sum. Lineage is cut
+host is small after the map side; while edges are below a bound, they are
+broadcast and CUT_EVERY rounds are one task, else each is a shuffle whose skewed
+parts Spark splits. Rounds go on until the ranks' summed change over CUT_EVERY
+rounds shows every rank to be within TOLERANCE of its limit: the number of
+rounds grows with the logarithm of the seeds' sum. Lineage is cut
 every CUT_EVERY rounds by a written table.
 
 Defined cases: a url that is null or lacks '://' has host and path '' and fits
@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from haplospark.llm.common import drop_staged, staged, table
 
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
-DAMPING, TOLERANCE, CUT_EVERY, THRESHOLD = 0.85, 1e-3, 5, 0.05
-BROADCAST_ROWS = 500_000
+#: In one task, each round holds pages of memory for its sums until the task ends: CUT_EVERY must be small.
+DAMPING, TOLERANCE, CUT_EVERY, THRESHOLD = 0.85, 1e-3, 3, 0.05
+BROADCAST_ROWS = 100_000
 #: (verdict, host, path); a rule's name is host + path.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -86,12 +87,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE,
     few = max(seeds.count(), edges.count()) <= BROADCAST_ROWS
     one = lambda df: df.coalesce(1) if few else df
     base = one(seeds).select("kind", "host", ((1 - damping) * F.col("seed")).alias("r"))
-    edges, last = one(edges), base
+    edges, last = F.broadcast(edges) if few else edges, base
+    left = damping**CUT_EVERY / (1 - damping**CUT_EVERY)  # of a change over so many rounds, at most, still to come
     while True:
         rank = last
         for _ in range(CUT_EVERY):
             known = rank.select(F.col("kind").alias("k"), F.col("host").alias("h"), "r")
-            moved = edges.join(known.hint("shuffle_hash") if few else known, (F.col("kind") == F.col("k")) & (F.col("src") == F.col("h")))
+            moved = known.join(edges, (F.col("kind") == F.col("k")) & (F.col("src") == F.col("h")))
             inflow = moved.select("kind", F.col("dst").alias("host"), (damping * F.col("r") * F.col("share")).alias("r"))
             rank = one(base.unionByName(inflow)).groupBy("kind", "host").agg(F.sum("r").alias("r"))
         both = rank.withColumn("was", F.lit(0.0)).unionByName(last.select("kind", "host", F.lit(0.0).alias("r"), F.col("r").alias("was")))
@@ -100,7 +102,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE,
         if last is not base:
             drop_staged(last)
         last = one(ranks.select("kind", "host", "r"))
-        if change < tolerance:
+        if change * left < tolerance:
             return last
 
 
