@@ -55,7 +55,7 @@ KNOWN = {name: (group, i) for group, names in GIVEN.items() for i, name in enume
 _name = r"[A-ZÀ-ÖØ-ÞΆ-ΫЀ-Я][^\W\d_]+(?:-[^\W\d_]+)*"
 _octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
-    "email": r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+",
+    "email": r"(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)+",
     "access_key": r"\bAKIA[0-9A-Z]{16}\b",
     "secret": r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?)(?P<value>[^\s\"']{5,}[^\s\"'.,;:!?)])",
     "hex": r"\b[0-9a-f]{32,}\b",
@@ -68,7 +68,10 @@ PATTERNS = {
 }
 ENTITY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
 #: A text without a match of this has no entity; checked by Arrow over whole columns.
-MAYBE = r"@|\d[ .\-]?\d[ .\-]?\d|AKIA|[0-9a-f]{32}|(?i:password|passwd|pwd|secret|token|api[_-]?key)|" + "|".join(f"{t}[. ]" for ts in TITLES.values() for t in ts) + "|" + "|".join(f"{g} " for g in KNOWN)
+MAYBE = r"@|[A-Z]{2}\p{Nd}{2}|\p{Nd}[ .\-]?\p{Nd}[ .\-]?\p{Nd}|AKIA|[0-9a-f]{32}|(?i:password|passwd|pwd|secret|token|api[_-]?key)|" + "|".join(f"{t}[. ]" for ts in TITLES.values() for t in ts) + "|" + "|".join(f"{g} " for g in KNOWN)
+
+
+WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:-[^\W\d_]+)*(?!\w)")
 
 
 def permute(x: int, size: int, key: bytes, tweak: str) -> int:
@@ -237,6 +240,15 @@ def entities(text: str) -> Iterator[tuple[str, int, int]]:
             yield kind, *m.span()
 
 
+def mentions(text: str, names: set[str]) -> Iterator[tuple[int, int]]:
+    """Where one of the names stands as a word, or as a part of a hyphenated one that is none itself."""
+    for m in WORD.finditer(text):
+        if m.group() in names:
+            yield m.span()
+        elif "-" in m.group():
+            yield from ((m.start() + p.start(), m.start() + p.end()) for p in re.finditer(r"[^-]+", m.group()) if p.group() in names)
+
+
 def replaced(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with surrogates, and the spans of the entities in the text as it was."""
     found = list(entities(text))
@@ -245,10 +257,10 @@ def replaced(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     names = {x for k, x in forms if k == "name"}
     if names:
         starts, ends = [a for _, a, _ in found], [b for _, _, b in found]
-        for m in re.finditer(rf"\b(?:{'|'.join(map(re.escape, sorted(names)))})\b", text):
-            i = bisect_right(starts, m.start())
-            if not (i and ends[i - 1] > m.start() or i < len(starts) and starts[i] < m.end()):
-                found.append(("name", *m.span()))
+        for a, b in mentions(text, names):
+            i = bisect_right(starts, a)
+            if not (i and ends[i - 1] > a or i < len(starts) and starts[i] < b):
+                found.append(("name", a, b))
         found.sort(key=lambda x: x[1])
     originals, used, chosen = {x for _, x in forms}, set(), {}
     for kind, x in sorted(forms):

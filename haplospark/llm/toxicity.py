@@ -58,8 +58,14 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         total = np.zeros(N_CLASS**3, np.int64)
         for batch in batches:
             for part in text_slices(batch, "text"):
-                c = CLASS[K.texts_of(part.column("text")).data]
-                total += np.bincount((c[:-2] * N_CLASS + c[1:-1]) * N_CLASS + c[2:], minlength=len(total)) if len(c) > 2 else 0
+                texts = K.texts_of(part.column("text"))
+                c = CLASS[texts.data]
+                inside = np.ones(max(len(c) - 2, 0), bool)  # three characters of one text
+                for back in (1, 2):
+                    at = texts.offsets[1:-1] - back
+                    inside[at[(at >= 0) & (at < len(inside))]] = False
+                total += np.bincount(((c[:-2] * N_CLASS + c[1:-1]) * N_CLASS + c[2:])[inside], minlength=len(total)) if len(inside) else 0
+                give_back()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
@@ -112,21 +118,19 @@ class Restorer:
 
 
 def _strip(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds without signs at either end; a word of signs alone becomes empty."""
-    starts, ends = starts.copy(), ends.copy()
-    for _ in range(int((ends - starts).max(initial=0))):
-        tail = np.flatnonzero((ends > starts) & STRIP[data[ends - 1]])
-        ends[tail] -= 1
-        head = np.flatnonzero((ends > starts) & STRIP[data[np.minimum(starts, len(data) - 1)]])
-        starts[head] += 1
-        if not len(tail) and not len(head):
-            break
-    return starts, ends
+    """Bounds without signs at either end; a word of signs alone becomes empty. One pass, however long a run of signs is."""
+    if not len(starts):
+        return starts, ends
+    n, kept = len(data), ~STRIP[data]
+    first = np.minimum.accumulate(np.where(kept, np.arange(n), n)[::-1])[::-1][starts]
+    last = np.maximum.accumulate(np.where(kept, np.arange(n), -1))[ends - 1] + 1
+    some = first < ends
+    return np.where(some, first, starts), np.where(some, last, starts)
 
 
 def _odd(texts: K.Texts, words: K.Words) -> np.ndarray:
     """Words with a letter whose inside holds leet signs or separators, a character three times, or doubles throughout."""
-    data, n = texts.data, len(words.starts)
+    data = texts.data
     starts, ends = _strip(data, words.starts, words.ends)
     total = lambda mask: np.concatenate([[0], np.cumsum(mask)])
     count = lambda t, a, b: t[np.maximum(b, a)] - t[a]
@@ -139,12 +143,10 @@ def _odd(texts: K.Texts, words: K.Words) -> np.ndarray:
     triple[1:] &= double[:-1]
     doubles, triples = total(double), total(triple)
     has = count(letters, words.starts, words.ends) > 0
-    # signs at the very start or end may be letters too, if the next one inside is a letter's neighbour
-    leet_edge = np.zeros(n, bool)
-    at = np.flatnonzero((ends > starts) & (starts > words.starts))
-    leet_edge[at] = SIGN[data[starts[at] - 1]] & (starts[at] - words.starts[at] == 1)
-    at = np.flatnonzero((ends > starts) & (ends < words.ends))
-    leet_edge[at] |= np.isin(data[ends[at]], [ord("@"), ord("$")]) & (words.ends[at] - ends[at] == 1)
+    # signs at the very start or end may be letters too, if no other sign is there
+    signs, like_letters = total(SIGN[data]), total((data == ord("@")) | (data == ord("$")))
+    before, after = starts - words.starts, words.ends - ends
+    leet_edge = (ends > starts) & ((before > 0) & (count(signs, words.starts, starts) == before) | (after > 0) & (count(like_letters, ends, words.ends) == after))
     return has & ((count(inside, starts, ends) > 0) | leet_edge | (count(triples, np.minimum(starts + 2, ends), ends) > 0) | (count(doubles, np.minimum(starts + 1, ends), ends) >= 3))
 
 

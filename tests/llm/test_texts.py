@@ -125,6 +125,55 @@ def test_many_near_copies_make_one_class(spark):
     assert len({found[i] for i in range(300)}) == 1 and found[999] != found[0]
 
 
+def test_classes_have_names_of_their_own(spark):
+    """Ids that repeat or are null do not join unrelated texts."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    data = [(1, one, "en", "s", 1), (1, two, "en", "s", 1), (None, three, "en", "s", 1), (None, "quite another text", "en", "s", 1), (7, three.upper(), "en", "s", 1)]
+    found = near_dedup.NearDuplicates(docs(spark, data)).classes().collect()
+    names = collections.defaultdict(set)
+    for r in found:
+        names[r["class"]].add((r.class_id, r.class_mark))
+    assert len(found) == 5 and len(names) == 4 and all(len(x) == 1 for x in names.values())
+    assert len({x for (x,) in map(tuple, names.values())}) == 4
+    assert {r.class_id for r in found if r.doc_id == 7} == {7} and sum(r.class_size == 2 for r in found) == 2
+
+
+def test_links_are_found_among_many_near_copies(spark):
+    """Of pairs that are 0.8 alike by weight or plainly, by brute force, 0.9 or more end in one class; others only through such links."""
+    rng = np.random.default_rng(4)
+    data = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(90)]
+        for k in range(9):
+            w = list(base)
+            for at in rng.integers(0, 90, rng.integers(0, 3)):
+                w[at] = f"g{g}k{k}e{at}"
+            data.append((len(data), " ".join(w), "en", "s", 1))
+    sets = [collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for _, t, *_ in data)]
+    df = collections.Counter(s for x in {tuple(sorted(x)): x for x in sets}.values() for s in x)
+    n = len({tuple(sorted(x)) for x in sets})
+    weight = {s: round(32 * (1 + math.log1p(n / c) / (2 * math.log1p(n)))) for s, c in df.items()}
+
+    def alike(a, b):
+        both = [s for s in a if s in b]
+        shared, union = sum(min(a[s], b[s]) * weight[s] for s in both), sum(a[s] * weight[s] for s in a) + sum(b[s] * weight[s] for s in b)
+        return max(shared / (union - shared), len(both) / (len(a) + len(b) - len(both))) >= 0.8
+
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if i // 9 == j // 9 and alike(sets[i], sets[j])]
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in pairs:
+        parent[root(i)] = root(j)
+    found = {r.doc_id: r["class"] for r in near_dedup.NearDuplicates(docs(spark, data)).classes().collect()}
+    assert len(pairs) > 100 and np.mean([found[i] == found[j] for i, j in pairs]) >= 0.9
+    assert all(root(i) == root(j) for i, j in itertools.combinations(range(len(sets)), 2) if found[i] == found[j])
+
+
 def test_sampling_estimates_weighted_similarity():
     rng = np.random.default_rng(2)
     keys = rng.integers(1, 2**63, 400, dtype=np.uint64)
