@@ -103,3 +103,11 @@ def map_texts(df: DataFrame, text: str, schema: str, make: Callable[[pa.RecordBa
 
     bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def some_rows(df: DataFrame, columns: list[str], rows: int, of: int) -> DataFrame:
+    """Each row of ``df`` by its own chance, so that repeated and null values are spread: all, or at most ``rows`` of ``of`` (by four deviations)."""
+    if of <= rows:
+        return df
+    hashed = df.withColumn("__salt", F.xxhash64(*columns, F.monotonically_increasing_id()))
+    return hashed.where(F.pmod("__salt", F.lit(1 << 30)) < (rows - 4 * rows**0.5) / of * (1 << 30)).drop("__salt")

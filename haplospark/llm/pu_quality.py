@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haplospark.llm import kernels as K
-from haplospark.llm.common import crc_bucket, map_texts, table
+from haplospark.llm.common import crc_bucket, map_texts, some_rows, table
 
 #: Bounds of the samples that fit the model: trusted positives, and unlabelled texts.
 POSITIVES = UNLABELLED = 15_000
@@ -113,14 +113,6 @@ def _measured(docs: DataFrame) -> np.ndarray:
     return np.array([r["x"] for r in rows], np.float32).reshape(-1, len(MEASURES))
 
 
-def _some(docs: DataFrame, rows: int, of: int) -> DataFrame:
-    """Each row of ``docs`` by its own chance, so that repeated and null ids are spread: all, or at most ``rows`` of ``of`` (by four deviations)."""
-    if of <= rows:
-        return docs
-    hashed = docs.withColumn("__salt", F.xxhash64("doc_id", "text", F.monotonically_increasing_id()))
-    return hashed.where(F.pmod("__salt", F.lit(1 << 30)) < (rows - 4 * rows**0.5) / of * (1 << 30)).drop("__salt")
-
-
 def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str], label: str = "quality", text: str = "text") -> DataFrame:
     """docs' columns ``keep`` and score in 0 to 1. labels(doc_id, label): those to learn from."""
     docs = docs.withColumn("__text", F.col(text).cast("string"))
@@ -130,8 +122,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str], label: s
     prior = n["pos"] / n["all"] if n["all"] else 0.0
     trusted = known.where(F.col("y") == 1).select("doc_id")
     rows = plain.groupBy("doc_id").agg(F.count("*").alias("rows")).join(trusted, "doc_id").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    positive = _measured(_some(plain, POSITIVES, rows).join(trusted, "doc_id"))
-    unlabelled = _measured(_some(plain, UNLABELLED, plain.count()))
+    positive = _measured(some_rows(plain, ["doc_id", "text"], POSITIVES, rows).join(trusted, "doc_id"))
+    unlabelled = _measured(some_rows(plain, ["doc_id", "text"], UNLABELLED, plain.count()))
     net = fit(positive, unlabelled, prior) if len(positive) and len(unlabelled) else None
     scored = docs.select(*keep, "__text")
 

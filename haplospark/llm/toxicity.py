@@ -1,8 +1,11 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A character trigram model of all documents judges what an odd token was meant
-to be: leet signs, repeated letters, separators and spaces between single
-letters form a lattice over each odd token, and Viterbi picks its best path.
+to be: leet signs, repeated letters, separators and spaces between short
+pieces form a lattice over each odd token, and Viterbi picks its best path.
+Odd are words with a repeated letter, a sign or a separator, and runs of two or
+more pieces of at most two characters; what stands there as it is counts too,
+unless signs are inside it.
 The restored words are then scored by a logistic model over words and word
 beginnings, selected and fitted on a bounded sample of labelled rows.
 
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haplospark.llm import kernels as K
-from haplospark.llm.common import crc_bucket, give_back, map_texts, staged, table, text_slices
+from haplospark.llm.common import crc_bucket, give_back, map_texts, some_rows, staged, table, text_slices
 
 #: So many labelled rows of each class fit the model.
 SAMPLE_ROWS = 12_000
@@ -33,7 +36,9 @@ PREFIXES = (3, 4, 5, 6, 7)
 
 # What signs stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
-SEPARATORS = ".-_*~'’,/\\:;^"
+SEPARATORS = ".-_*~'’,/\\:;^=#\"`·•"
+#: Behind a word these end sentences and brackets, whatever they stand for elsewhere.
+ENDS = "!?.,;:|+()[]{}<>\"'’`*~-_…"
 #: Natural log costs of the channel.
 SWAP, DROP_REPEAT, DROP_SEPARATOR, DROP_SPACE, KEEP_SIGN = 1.0, 0.7, 0.7, 0.7, 6.0
 
@@ -103,18 +108,23 @@ class Restorer:
         return out or [(c, 0.0)]
 
     def _restore(self, seen: str) -> str:
-        best = {(0, 0): (0.0, "")}
+        best: dict = {(0, 0): (0.0, None)}  # a path is (what came before, what it puts), so that steps don't copy texts
         for i in range(len(seen)):
             after: dict = {}
             for put, cost in self.options(seen, i):
                 k = int(CLASS[ord(put)]) if put and ord(put) < 128 else 27
-                for (a, b), (total, text) in best.items():
+                for (a, b), (total, path) in best.items():
                     new = (a, b) if not put else (b, k)
                     value = total - cost + (self.model[a][b][k] if put else 0.0)
                     if new not in after or value > after[new][0]:
-                        after[new] = (value, text + put)
+                        after[new] = (value, (path, put) if put else path)
             best = after
-        return max(((v + self.model[a][b][0], t) for (a, b), (v, t) in best.items()))[1]
+        path = max(((v + self.model[a][b][0], -i, p) for i, ((a, b), (v, p)) in enumerate(best.items())), key=lambda x: x[:2])[2]
+        out = []
+        while path:
+            path, put = path
+            out.append(put)
+        return "".join(reversed(out))
 
 
 def _strip(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,26 +138,41 @@ def _strip(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return np.where(some, first, starts), np.where(some, last, starts)
 
 
-def _odd(texts: K.Texts, words: K.Words) -> np.ndarray:
-    """Words with a letter whose inside holds leet signs or separators, a character three times, or doubles throughout."""
+def _odd(texts: K.Texts, words: K.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Words with a letter that hold a leet sign, a separator or a repeated letter, and those of them with signs inside.
+    Of signs behind the last letter only @ and $ count: others end sentences."""
     data = texts.data
     starts, ends = _strip(data, words.starts, words.ends)
     total = lambda mask: np.concatenate([[0], np.cumsum(mask)])
     count = lambda t, a, b: t[np.maximum(b, a)] - t[a]
-    letters = total(LETTER[data])
-    inside = total(SIGN[data] | (STRIP[data] & ~K.SPACE[data]))
     low = K.LOWER[data]
     double = np.zeros(len(data), bool)
-    double[1:] = (low[1:] == low[:-1]) & (data[1:] < 128)
-    triple = double.copy()
-    triple[1:] &= double[:-1]
-    doubles, triples = total(double), total(triple)
-    has = count(letters, words.starts, words.ends) > 0
-    # signs at the very start or end may be letters too, if no other sign is there
+    double[1:] = (low[1:] == low[:-1]) & (data[1:] < 128) & LETTER[data[1:]]
     signs, like_letters = total(SIGN[data]), total((data == ord("@")) | (data == ord("$")))
-    before, after = starts - words.starts, words.ends - ends
-    leet_edge = (ends > starts) & ((before > 0) & (count(signs, words.starts, starts) == before) | (after > 0) & (count(like_letters, ends, words.ends) == after))
-    return has & ((count(inside, starts, ends) > 0) | leet_edge | (count(triples, np.minimum(starts + 2, ends), ends) > 0) | (count(doubles, np.minimum(starts + 1, ends), ends) >= 3))
+    has = (count(total(LETTER[data]), words.starts, words.ends) > 0) & (ends > starts)
+    inside = has & (count(total(SIGN[data] | (STRIP[data] & ~K.SPACE[data])), starts, ends) > 0)
+    edge = (count(signs, words.starts, starts) > 0) | (count(like_letters, ends, words.ends) > 0)
+    return inside | has & (edge | (count(total(double), np.minimum(starts + 1, ends), ends) > 0)), inside
+
+
+def _spaced(texts: K.Texts, words: K.Words) -> tuple[np.ndarray, np.ndarray]:
+    """First word and the one after the last of each run of two or more words of at most two characters, in one text, of which at least
+    one is a letter and three are letters or signs that may stand for one."""
+    if not len(words.starts):
+        return words.starts, words.starts
+    data = texts.data
+    total = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+    first_byte = (data & 0xC0) != 0x80
+    characters, letters, all_of = total(first_byte), total(LETTER[data] & first_byte), total((LETTER | SIGN)[data] & first_byte)
+    short = characters[words.ends] - characters[words.starts] <= 2
+    new_text = words.text[1:] != words.text[:-1]
+    begins, stops = short.copy(), short.copy()
+    begins[1:] &= ~short[:-1] | new_text
+    stops[:-1] &= ~short[1:] | new_text
+    a, b = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    inside = lambda t: t[words.ends[b - 1]] - t[words.starts[a]]
+    real = (b - a >= 2) & (inside(letters) > 0) & (inside(all_of) >= 3)
+    return a[real], b[real]
 
 
 def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -167,9 +192,9 @@ def document_features(column: pa.Array, restorer: Restorer, known: np.ndarray |
     owner = words.text
     _, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
     one = K.Words(words.starts[first], words.ends[first], None, None)
-    odd = _odd(texts, one) if len(first) else np.zeros(0, bool)
+    odd, signs_inside = _odd(texts, one) if len(first) else (np.zeros(0, bool),) * 2
     features = _features(texts.data, one.starts, one.ends)
-    features[:, odd] = 0
+    features[:, signs_inside] = 0
     raw = texts.data.tobytes()
     extra_text, extra_word = [], []
 
@@ -182,17 +207,10 @@ def document_features(column: pa.Array, restorer: Restorer, known: np.ndarray |
     order = at[np.argsort(which[at], kind="stable")]
     for group in np.split(order, np.flatnonzero(np.diff(which[order])) + 1) if len(order) else []:
         word = first[which[group[0]]]
-        put(raw[words.starts[word] : words.ends[word]].decode(), owner[group].tolist())
-    # runs of four or more single characters
-    single = (words.ends - words.starts == 1) & (LETTER | SIGN)[texts.data[words.starts]] if len(words.starts) else np.zeros(0, bool)
-    if single.any():
-        begins = single.copy()
-        begins[1:] &= ~single[:-1] | (owner[1:] != owner[:-1])
-        stops = single.copy()
-        stops[:-1] &= ~single[1:] | (owner[1:] != owner[:-1])
-        for a, b in zip(np.flatnonzero(begins), np.flatnonzero(stops) + 1):
-            if b - a >= 4:
-                put(" ".join(chr(c) for c in texts.data[words.starts[a:b]]), [int(owner[a])])
+        seen = raw[words.starts[word] : words.ends[word]].decode()
+        put(seen.rstrip(ENDS), owner[group].tolist())
+    for a, b in zip(*_spaced(texts, words)):
+        put(" ".join(raw[words.starts[a] : words.ends[b - 1]].decode().split()), [int(owner[a])])
 
     if known is not None:
         features = np.where(K.member(known, features.ravel()).reshape(features.shape), features, 0) if len(known) else np.zeros_like(features)
@@ -213,13 +231,21 @@ def document_features(column: pa.Array, restorer: Restorer, known: np.ndarray |
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """About ``rows`` training rows of each class, by the hash of their id: (text, y). The sample's ids are few, so they are broadcast."""
+    """About ``rows`` training ids of each class, by the hash of the id, and at most twice as many rows where ids repeat: (text, y).
+    The sample's ids are few, so they are broadcast."""
     clean = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     sizes = {r["y"]: r["count"] for r in clean.groupBy("y").count().collect()}  # two classes
     keep = F.lit(False)
     for y, n in sizes.items():
         keep = keep | ((F.col("y") == y) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= min(1.0, rows / n) * (1 << 30)))
-    return docs.select("doc_id", "text").join(F.broadcast(clean.where(keep)), "doc_id").select("text", "y")
+    ids = F.broadcast(clean.where(keep))
+    found = {r["y"]: r["count"] for r in docs.select("doc_id").join(ids, "doc_id").groupBy("y").count().collect()}
+    sample = docs.select("doc_id", "text").join(ids, "doc_id").select("text", "y")
+    parts = [some_rows(sample.where(F.col("y") == y), ["text"], 2 * rows, n) for y, n in found.items() if n > 2 * rows]
+    rest = sample.where(~F.col("y").isin([y for y, n in found.items() if n > 2 * rows])) if parts else sample
+    for part in parts:
+        rest = rest.unionByName(part)
+    return rest
 
 
 def fit(sample: DataFrame, model: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:

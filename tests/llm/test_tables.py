@@ -1,6 +1,7 @@
 """Mixing, decontamination, links, classifiers, surrogates, pipeline."""
 
 import collections
+import itertools
 import re
 
 import duckdb
@@ -241,8 +242,65 @@ def test_letters_count_within_their_text_and_signs_in_one_pass(spark):
 def test_letters_at_the_edges_may_be_signs():
     words = ["a$$", "@$$hole", "$tupid", "plain", "(see", "!stop", "price$", "x.", "...", "id10t"]
     texts = toxicity.K.texts_of(toxicity.pa.array([" ".join(words)]), lower=True)
-    odd = toxicity._odd(texts, toxicity.K.words_of(texts))
+    odd, inside = toxicity._odd(texts, toxicity.K.words_of(texts))
     assert [w for w, o in zip(words, odd) if o] == ["a$$", "@$$hole", "$tupid", "(see", "!stop", "price$", "id10t"]
+    assert [w for w, o in zip(words, inside) if o] == ["id10t"]
+
+
+TALK = "you are an idiot and a moron, so stupid and a loser, ugly and schön. what a clown you are " * 40
+
+
+def test_obfuscations_reach_the_lattice(spark):
+    """Through document_features: a doubled letter, signs and separators with spaces, pieces of two letters, other alphabets."""
+    restorer = toxicity.Restorer(toxicity.character_model(toxicity.trigram_counts(spark.createDataFrame([(TALK,)], "text string"))))
+    features = lambda text: set(toxicity.document_features(toxicity.pa.array([text]), restorer)[1].tolist())
+    plain = {w: toxicity._features(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0][0] for w in ("idiot", "stupid", "loser", "moron", "schön", "ugly")}
+    for seen, meant in {
+        "stuupid": "stupid", "looser": "loser", "mooron": "moron", "$tuupid!": "stupid", "i . d . i . o . t": "idiot", "id io t": "idiot", "so i - d - i - o - t": "idiot",
+        "s c h ö n": "schön", "u g l y": "ugly", "i\td 1 0\nt": "idiot", "u g ly": "ugly",
+    }.items():
+        assert plain[meant] in features(seen), seen
+    assert plain["idiot"] not in features("what a fine day") and plain["loser"] in features("loser")
+
+
+def test_spaced_runs_stay_in_their_text():
+    texts = toxicity.K.texts_of(toxicity.pa.array(["a b c word d e", "f g", None, "", "to be", "1 2 3 4", "x . y . z", "a b"]), lower=True)
+    words = toxicity.K.words_of(texts)
+    runs = [bytes(texts.data[words.starts[a] : words.ends[b - 1]]).decode() for a, b in zip(*toxicity._spaced(texts, words))]
+    assert runs == ["a b c", "to be", "x . y . z"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("a0@l.$ e", min_size=1, max_size=6))
+def test_viterbi_against_all_paths(seen):
+    counts = np.random.default_rng(1).integers(0, 50, toxicity.N_CLASS**3)
+    restorer = toxicity.Restorer(toxicity.character_model(counts))
+    cls = lambda put: int(toxicity.CLASS[ord(put)])
+    totals = {}
+    for path in itertools.product(*[restorer.options(seen, i) for i in range(len(seen))]):
+        a, b, total, text = 0, 0, 0.0, ""
+        for put, cost in path:
+            total -= cost
+            if put:
+                total += restorer.model[a][b][cls(put)]
+                a, b, text = b, cls(put), text + put
+        totals[text] = max(totals.get(text, -1e9), total + restorer.model[a][b][0])
+    assert totals[restorer.restore(seen)] >= max(totals.values()) - 1e-9
+
+
+def test_toxicity_sample_is_bounded_in_rows(spark):
+    """One labelled id holds half of the rows."""
+    x = spark.createDataFrame([(0 if i % 2 else i, f"word {i}") for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 4 // 2) for i in range(4000)], "doc_id long, toxic int")
+    assert toxicity.labelled_sample(x, labels, "toxic", 3000).count() <= 4000
+    found = collections.Counter(r.y for r in toxicity.labelled_sample(x, labels, "toxic", 500).collect())
+    assert set(found) <= {0, 1} and all(n <= 1000 for n in found.values())
+
+
+def test_a_very_long_odd_word(spark):
+    restorer = toxicity.Restorer(toxicity.character_model(np.ones(toxicity.N_CLASS**3)))
+    for text in ("ab-" * 20_000, "a b " * 10_000, "=" * 50_000 + "x"):
+        assert len(toxicity.document_features(toxicity.pa.array([text]), restorer)[0])
 
 
 @settings(max_examples=300, deadline=None)
