@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from haplospark.plans import calls  # noqa: F401
 from haplospark.plans.queries import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "depth_summary_p80"
