@@ -2,13 +2,14 @@
 
 Trusted positives (labelled 1) and unlabelled web text fit a small network by
 the non-negative unbiased risk: pi * E+[l(f)] + max(0, Eu[l(-f)] - pi * E+[l(-f)]).
-The class prior pi is the share of positives among the training labels. Inputs are dense
-measures of the text's form, made in numpy on Arrow batches; scoring is one
-pass without a shuffle.
+The class prior pi is estimated from positives and unlabelled text alone; no
+negative label is read. Inputs are dense measures of the text's form, made in
+numpy on Arrow batches; scoring is one pass without a shuffle.
 
 Defined cases: null and empty texts have all measures 0 and get a score like
 any other; rows that repeat are scored alike; null labels are ignored; without
-positives all scores are 0, without unlabelled text they are the prior.
+positives all scores are 0; without documents there are no rows. Very long texts
+are read whole; equal scores need no order.
 """
 
 from __future__ import annotations
@@ -75,9 +76,12 @@ class Network:
         return np.tanh(np.clip((x - self.mean) / self.scale, -6, 6) @ w1 + b1) @ w2 + b2
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 1500, rate: float = 0.01, seed: int = 7) -> Network:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, inside: float | None = None, hidden: int = 24, steps: int = 1500, rate: float = 0.01, seed: int = 7) -> Network:
     """Full-batch Adam on the non-negative risk with the logistic loss. Where the
-    negative part of the risk falls below 0, its gradient is turned round."""
+    negative part of the risk falls below 0, its gradient is turned round.
+    ``inside``: the share of positives taken out of the unlabelled, ``prior`` if not given; with 0 it
+    tells positives from unlabelled."""
+    inside = prior if inside is None else inside
     both = np.concatenate([positive, unlabelled])
     net = Network(both.mean(0), both.std(0) + 1e-3, [])
     rng = np.random.default_rng(seed)
@@ -90,10 +94,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
         h = np.tanh(x @ p[0] + p[1])
         s = 1 / (1 + np.exp(-(h @ p[2] + p[3])))
         loss_negative = -np.log(np.maximum(1 - s, 1e-7))
-        gap = loss_negative[n:].mean() - prior * loss_negative[:n].mean()
+        gap = loss_negative[n:].mean() - inside * loss_negative[:n].mean()
         sign = 1.0 if gap >= 0 else -1.0
         dz = np.empty(len(x), np.float32)
-        dz[:n] = (prior * (s[:n] - 1) if gap >= 0 else 0) / n - sign * prior * s[:n] / n
+        dz[:n] = (prior * (s[:n] - 1) if gap >= 0 else 0) / n - sign * inside * s[:n] / n
         dz[n:] = sign * s[n:] / (len(x) - n)
         dh = np.outer(dz, p[2]) * (1 - h * h)
         for i, g in enumerate((x.T @ dh + 1e-5 * p[0], dh.sum(0), h.T @ dz + 1e-5 * p[2], dz.sum(keepdims=True))):
@@ -102,6 +106,22 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
     return net
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.9) -> float:
+    """Share of positives among the unlabelled. One half of both tells them apart; on the other, where scores are high,
+    hardly any but positives are left, so there the unlabelled share over the positive one comes down to the prior. Taken
+    at the threshold whose ratio, with its margin of ``confidence``, is least; within 0.01 to 0.99."""
+    parts = lambda x: (x[::2], x[1::2]) if len(x) > 1 else (x, x)
+    (p, p_held), (u, u_held) = parts(positive), parts(unlabelled)
+    net = fit(p, u, 1.0, inside=0.0, steps=400)
+    p_scores, u_scores = np.sort(net.logits(p_held)), np.sort(net.logits(u_held))
+    at = np.unique(p_scores)
+    above = lambda scores: 1 - np.searchsorted(scores, at, "left") / len(scores)
+    margin = sum(np.sqrt(np.log(4 / (1 - confidence)) / (2 * len(s))) for s in (p_scores, u_scores))
+    p_above, u_above = above(p_scores), above(u_scores)
+    best = np.argmin((u_above + margin) / p_above)
+    return float(np.clip(u_above[best] / p_above[best], 0.01, 0.99))
+
+
 def _measured(docs: DataFrame) -> np.ndarray:
     """docs: a bounded sample."""
 
@@ -118,18 +138,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str], label: s
     docs = docs.withColumn("__text", F.col(text).cast("string"))
     plain = docs.select("doc_id", F.col("__text").alias("text"))
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
-    n = known.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("pos"), F.count("*").alias("all")).first()
-    prior = n["pos"] / n["all"] if n["all"] else 0.0
     trusted = known.where(F.col("y") == 1).select("doc_id")
     rows = plain.groupBy("doc_id").agg(F.count("*").alias("rows")).join(trusted, "doc_id").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     positive = _measured(some_rows(plain, ["doc_id", "text"], POSITIVES, rows).join(trusted, "doc_id"))
     unlabelled = _measured(some_rows(plain, ["doc_id", "text"], UNLABELLED, plain.count()))
-    net = fit(positive, unlabelled, prior) if len(positive) and len(unlabelled) else None
+    net = fit(positive, unlabelled, class_prior(positive, unlabelled)) if len(positive) and len(unlabelled) else None
     scored = docs.select(*keep, "__text")
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        z = net.logits(measures(batch.column("__text"))) if net else np.full(batch.num_rows, np.log(prior / (1 - prior)) if 0 < prior < 1 else 40.0 * (2 * prior - 1))
-        return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40).astype(float))))], names=[*keep, "score"])
+        z = net.logits(measures(batch.column("__text"))) if net else np.full(batch.num_rows, -np.inf)
+        return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(1 / (1 + np.exp(-z.astype(float))))], names=[*keep, "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema if f.name != "__text"), "score double"])
     return map_texts(scored, "__text", schema, make)

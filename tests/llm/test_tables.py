@@ -142,6 +142,15 @@ def test_quality_classifier_on_held_out_rows(spark):
     accuracy(spark, pu_quality.op6_pu_quality, "quality", 0.95)
 
 
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_class_prior_from_positives_and_unlabelled(share):
+    rng = np.random.default_rng(5)
+    of = lambda n, at: rng.normal(at, 1, (n, 3)).astype(np.float32)
+    unlabelled = rng.permutation(np.concatenate([of(int(4000 * share), 2), of(4000 - int(4000 * share), -1)]))
+    assert abs(pu_quality.class_prior(of(2000, 2), unlabelled) - share) < 0.07
+    assert 0.01 <= pu_quality.class_prior(of(1, 2), of(1, 2)) <= 0.99  # one row of each
+
+
 def test_quality_samples_are_bounded_in_rows(spark, monkeypatch):
     """A third of the rows without an id and a third with one id, which is a trusted one."""
     sizes, measured = [], pu_quality._measured
