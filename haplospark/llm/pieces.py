@@ -8,9 +8,9 @@ tokens. Neighbours that are compatible make the whole encoding, so following the
 table backwards from the end gives the ids. Time is linear in the text, however
 long its words are.
 
-No piece has a space behind another sign, so texts are cut before runs of
-spaces, and each distinct unit is encoded once for as long as a bounded memory
-holds it. Pieces of spaces alone are merged last of all (their pair has the
+No piece has a space behind another sign, nor (read from the model) a letter
+next to another sign than a leading space, so texts are cut there, and each
+distinct unit is encoded once for as long as a bounded memory holds it. Pieces of spaces alone are merged last of all (their pair has the
 least score), so a run of spaces is encoded after the word behind it has taken
 its own. Characters that no piece holds become their bytes' pieces.
 
@@ -29,8 +29,9 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable
+from functools import cache, lru_cache
+from math import inf
 
 import ahocorasick
 import numpy as np
@@ -44,12 +45,11 @@ from haplospark.llm.common import map_texts, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-UNIT = re.compile(" +[^ ]*")
 UNIT_START = re.compile("(?<! ) ")
 #: Characters of a text that are cut into units at once; more if a unit is longer.
 SEGMENT = 1 << 20
-#: Units and pairs that a worker remembers; longer units are not remembered.
-MEMORY, MEMORY_CHARS = 1 << 18, 64
+#: Units that a worker remembers, and last tokens before a piece; longer units are not remembered.
+MEMORY, MEMORY_CHARS, MEMORY_BEFORE = 1 << 19, 64, 1 << 12
 
 
 class Remembered(dict):
@@ -68,6 +68,32 @@ class Remembered(dict):
         return made
 
 
+class Behind(dict):
+    """A piece, and before which last tokens it may stand: '' is the beginning; a character without a piece merges with nothing."""
+
+    def __init__(self, piece: str, model: PieceModel):
+        super().__init__()
+        self.piece, self.size, self.model = piece, len(piece), model
+
+    def __missing__(self, before: str) -> bool:
+        if len(self) >= MEMORY_BEFORE:
+            self.clear()
+        whole = self.model.edges(self.piece) is not None or self.model.merged(self.piece)[0] == [self.piece]
+        self[before] = whole and (before not in self.model.score or self.model.compatible(before, self.piece))
+        return self[before]
+
+
+def units(pieces: Iterable[str]) -> str:
+    """A pattern of the units that no piece leaves: spaces with letters or with other signs behind them. Letters that stand next to another
+    sign in some piece count as such."""
+    signs, letter = "", re.compile(r"[^\W\d_]")
+    pairs = {(a, b) for p in pieces for a, b in zip(p, p[1:]) if a != SPACE}
+    while crossing := {a if letter.match(a) and a not in signs else b for a, b in pairs if bool(letter.match(a) and a not in signs) != bool(letter.match(b) and b not in signs)}:
+        signs += "".join(sorted(crossing))
+    kept = re.escape(signs)
+    return rf" *[^\W\d_{kept}]+| *(?:[\d_{kept}]|[^\w ])+| +"
+
+
 class PieceModel:
     """A merge-type model read from its file: pieces, their scores, bytes and control ids."""
 
@@ -89,22 +115,22 @@ class PieceModel:
         if any(p.strip(SPACE) for p in runs) or (runs and self.score.get(SPACE * 2, 1.0) > min(s for p, s in self.score.items() if len(p) > 1)):
             raise ValueError("only models can be read whose spaces stand first in a piece, or alone and merged last")
         self.packed = Remembered(lambda t: np.array([self.id_of[t]] if t in self.id_of else [of_byte[b] for b in t.encode()], "<u4").tobytes())
-        self.compatible = Remembered(lambda pair: self.merged(pair[0] + pair[1]) == list(pair))
-        self.whole = Remembered(lambda piece: self.merged(piece) == [piece])
-        self.spaces = Remembered(lambda run: b"".join(self.packed[t] for t in self.merged(run)))
+        self.spaces = Remembered(lambda run: b"".join(self.packed[t] for t in self.merged(run)[0]))
         self.units = Remembered(self.unit)
+        self.cut = re.compile(units(self.score))
         self.automaton = ahocorasick.Automaton()
         for p in self.score:
             if p not in runs:
-                self.automaton.add_word(p, p)
+                self.automaton.add_word(p, Behind(p, self))
         self.automaton.make_automaton()
         self.text = {i: p.replace(SPACE, " ").encode() for p, i in self.id_of.items()} | {i: bytes([b]) for i, b in self.bytes.items()} | {i: b"" for i in self.control} | {self.unknown: " ⁇ ".encode()}
 
-    def merged(self, text: str) -> list[str]:
-        """The tokens of a short text or of a run of one sign, merge by merge: the best pair first, of equals the leftmost."""
+    def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The tokens of a short text or of a run of one sign, merge by merge: the best pair first, of equals the leftmost; and the last merge."""
         parts: list[str | None] = list(text)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap: list[tuple[float, int, str]] = []
+        latest = None
 
         def offer(i: int) -> None:
             if i >= 0 and after[i] < len(parts) and (score := self.score.get(parts[i] + parts[after[i]])) is not None:
@@ -117,26 +143,58 @@ class PieceModel:
             j = after[i]
             if parts[i] is None or j >= len(parts) or parts[i] + parts[j] != piece:
                 continue  # one of the two has been merged since
+            latest = parts[i], parts[j]
             parts[i], parts[j], after[i] = piece, None, after[j]
             if after[i] < len(parts):
                 before[after[i]] = i
             offer(i)
             offer(before[i])
-        return [p for p in parts if p is not None]
+        return [p for p in parts if p is not None], latest
+
+    @cache
+    def edges(self, piece: str) -> tuple[list[tuple[str, float]], list[tuple[str, float]]] | None:
+        """What stands at the piece's left and right end while it is merged, each with the score of the merge that takes it in; None if the text of
+        the piece is not encoded as the piece, or scores do not fall from merge to merge."""
+        if len(piece) == 1:
+            return [(piece, -inf)], [(piece, -inf)]
+        parts, latest = self.merged(piece)
+        if parts != [piece] or latest is None or not all(len(p) == 1 or self.score[p] > self.score[piece] for p in latest):
+            return None
+        left, right = (self.edges(p) for p in latest)
+        if left is None or right is None:
+            return None
+        into = lambda edge: [*edge[:-1], (edge[-1][0], self.score[piece]), (piece, -inf)]
+        return into(left[0]), into(right[1])
+
+    def compatible(self, a: str, b: str) -> bool:
+        """Whether the texts of both, joined, are encoded as the two: no merge over the border comes before those at its two sides."""
+        mine, other = self.edges(a), self.edges(b)
+        if mine is None or other is None:
+            return self.merged(a + b)[0] == [a, b]
+        i = j = 0
+        while True:
+            (left, left_goes), (right, right_goes) = mine[1][i], other[0][j]
+            over = self.score.get(left + right)
+            if over is not None and over > left_goes and over >= right_goes:  # of equal merges the left one comes first
+                return False
+            if left_goes == right_goes == -inf:
+                return True
+            if left_goes >= right_goes:
+                i += 1
+            else:
+                j += 1
 
     def prefix_table(self, word: str) -> list[str]:
         """The last token of each prefix, the empty one first; a character without a piece is a token of its own."""
-        last, end, compatible, whole = [""], 0, self.compatible, self.whole
-        for at, piece in self.automaton.iter(word):
+        last, end = [""], 0
+        for at, behind in self.automaton.iter(word):
             if at < end:
                 continue  # this prefix has its token
             while end < at:  # nothing ends here but a character without a piece
                 last.append(word[end])
                 end += 1
-            start = at + 1 - len(piece)
-            before = last[start]
-            if whole[piece] and (not before or before not in self.score or compatible[before, piece]):
-                last.append(piece)
+            if behind[last[at + 1 - behind.size]]:
+                last.append(behind.piece)
                 end = at + 1
         while end < len(word):
             last.append(word[end])
@@ -157,6 +215,8 @@ class PieceModel:
         spaces = len(unit) - len(word)
         if not word:
             return self.spaces[SPACE * spaces]
+        if not spaces:
+            return b"".join(map(self.packed.__getitem__, self.word(word)))
         first, *rest = self.word(SPACE + word)
         run = self.spaces[SPACE * (spaces - (first != SPACE))] if spaces > 1 or first == SPACE else b""
         return run + b"".join(map(self.packed.__getitem__, rest if first == SPACE else [first, *rest]))
@@ -169,7 +229,7 @@ class PieceModel:
             while at < len(text):
                 cut = UNIT_START.search(text, at + SEGMENT) if len(text) - at > SEGMENT else None
                 end = cut.start() if cut else len(text)
-                parts += map(self.units.__getitem__, UNIT.findall(text, at, end))
+                parts += map(self.units.__getitem__, self.cut.findall(text, at, end))
                 at = end
         parts.append(np.uint32(self.eos).tobytes())
         return b"".join(parts)
