@@ -1,14 +1,15 @@
-"""The graph over sites: nodes are (idx, symbol), edges count reads with two neighbouring symbols."""
+"""The graph over sites: nodes are (idx, symbol), edges count reads with two neighbouring symbols; haplotypes are assembled from it by joins."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haplospark.functions.stats import edge_threshold
+from haplospark.operators import blocks as B
+from haplospark.operators.haplotypes import explode_haps, low_support
+from haplospark.operators.rounds import written
+from haplospark.operators.runs import segments
 
 
 def edge_counts(haps: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,15 +42,15 @@ def mask_reads(haps: DataFrame, pruned: DataFrame, keys: list[str]) -> DataFrame
     return out.where(F.length(F.regexp_replace("hap", "x", "")) > 1)
 
 
-def classify_gaps(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+def classify_gaps(edges: DataFrame, nodes: DataFrame, keys: list[str], pivot: int = -1) -> DataFrame:
     """kept edges and nodes(keys, idx, symbol) -> keys, idx, cls: -1 if weak (all edges of 2 reads or less, or one of fewer than 2, or
-    nodes without an edge), 2 if each source has one target, else 10."""
+    nodes without an edge), 2 if each source has one target, else 10; the gap before the ``pivot`` site is no 2, so that the graph breaks there."""
     e = edges.groupBy(*keys, "idx").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count_distinct("src").alias("srcs"), F.count_distinct("dst").alias("dsts"), F.count("*").alias("edges"))
     here = nodes.groupBy(*keys, "idx").agg(F.count_distinct("symbol").alias("here"))
     after = here.select(*keys, (F.col("idx") - 1).alias("idx"), F.col("here").alias("there"))
     x = here.join(after, [*keys, "idx"]).join(e, [*keys, "idx"], "left")
     weak = F.col("edges").isNull() | (F.col("least") < 2) | (F.col("most") <= 2) | (F.col("srcs") != F.col("here")) | (F.col("dsts") != F.col("there"))
-    return x.select(*keys, "idx", F.when(weak, -1).when(F.col("edges") == F.col("srcs"), 2).otherwise(10).alias("cls"))
+    return x.select(*keys, "idx", F.when(weak, -1).when((F.col("edges") == F.col("srcs")) & (F.col("idx") != pivot - 1), 2).otherwise(10).alias("cls"))
 
 
 def paths(edges: DataFrame, keys: list[str], first: int, last: int) -> DataFrame:
@@ -61,91 +62,64 @@ def paths(edges: DataFrame, keys: list[str], first: int, last: int) -> DataFrame
     return now.select(*keys, "path").distinct()
 
 
-def assemble(haps: DataFrame, keys: list[str], least: int = 4) -> DataFrame:
-    """haps(keys, read, hap) -> keys, hap, reads: haplotypes of each region.
-
-    Distinct strings and their counts go to one task for each key: a region has thousands of reads at most, so the
-    group is small; regions are many. Blocks of sites grow by merging the neighbours that most reads span, keeping joined
-    strings that at least two reads support (one, if a side has no other), as long as every side keeps a partner."""
-    counted = haps.groupBy(*keys, "hap").agg(F.count("*").alias("reads"))
-    schema = ", ".join([*(f"`{k}` {counted.schema[k].dataType.simpleString()}" for k in keys), "hap string", "reads long"])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        strings = dict(zip(group["hap"], group["reads"].astype(int)))
-        found = assembled(strings, least)
-        out = pd.DataFrame({"hap": list(found), "reads": list(found.values())}).astype({"hap": str, "reads": "int64"})
-        for k in reversed(keys):
-            out.insert(0, k, group[k].iloc[0])
-        return out
-
-    return counted.groupBy(*keys).applyInPandas(run, schema)
-
-
-def _agree(read: str, hap: str, start: int) -> int:
-    """Sites that agree, or -1 if any differs."""
-    n = 0
-    for a, b in zip(read[start : start + len(hap)], hap):
-        if a != "x" and b != "x":
-            if a != b:
-                return -1
-            n += 1
-    return n
-
-
-def _support(strings: dict[str, int], left: list[str], right: list[str], start: int) -> Iterator[tuple[str, str, int]]:
-    """Pairs of a left and a right string joined by reads that fit one of each alone."""
-    size = len(left[0])
-    found: dict[tuple[str, str], int] = {}
-    for read, n in strings.items():
-        a = [h for h in left if _agree(read, h, start) > 0]
-        b = [h for h in right if _agree(read, h, start + size) > 0]
-        if len(a) == 1 and len(b) == 1:
-            found[a[0], b[0]] = found.get((a[0], b[0]), 0) + n
-    return ((a, b, n) for (a, b), n in found.items())
-
-
-def assembled(strings: dict[str, int], least: int) -> dict[str, int]:
-    """Blocks start as single sites and merge while reads link them."""
-    if not strings:
-        return {}
-    width = len(next(iter(strings)))
-    blocks: list[tuple[int, list[str]]] = []
-    for i in range(width):
-        counts: dict[str, int] = {}
-        for s, n in strings.items():
-            if s[i] != "x":
-                counts[s[i]] = counts.get(s[i], 0) + n
-        kept = sorted(c for c, n in counts.items() if n > 1) or sorted(counts)
-        blocks.append((i, kept or ["x"]))
-    blocked: set[int] = set()
-    while True:
-        choices = []
-        for k in range(len(blocks) - 1):
-            if blocks[k][0] not in blocked:
-                joins = list(_support(strings, blocks[k][1], blocks[k + 1][1], blocks[k][0]))
-                choices.append((sum(n for *_, n in joins), -k, joins))
-        if not choices:
-            break
-        _, k, joins = max(choices, key=lambda c: c[:2])
-        k = -k
-        start, left, right = *blocks[k], blocks[k + 1][1]
-        strong = [(a, b) for a, b, n in joins if n >= 2]
-        for side, mine in ((0, left), (1, right)):  # the only join of a string counts with one read
-            for h in mine:
-                if not any(p[side] == h for p in strong):
-                    strong += [(a, b) for a, b, _ in joins if (a, b)[side] == h]
-        strong = sorted(set(strong))
-        if {a for a, _ in strong} >= set(left) and {b for _, b in strong} >= set(right):
-            blocks[k : k + 2] = [(start, [a + b for a, b in strong])]
-            blocked = {b for b in blocked if b != start}
-        else:
-            blocked.add(start)
-    out: dict[str, int] = {}
-    for start, haps in blocks:
-        for h in haps:
-            if set(h) != {"x"}:
-                full = "x" * start + h + "x" * (width - start - len(h))
-                fits = sum(n for s, n in strings.items() if _agree(s, full, 0) > 0)
-                if fits >= least:
-                    out[full] = fits
-    return out
+def initial_nodes(edges: DataFrame, reads: DataFrame, keys: list[str]) -> DataFrame:
+    """kept edges, reads(keys, read, hap) -> keys, pos, hap of one symbol: ends of edges, and symbols that two reads hold; at a site with neither, those of one."""
+    ends = edges.select(*keys, F.col("idx").alias("pos"), F.col("src").alias("hap")).unionByName(edges.select(*keys, (F.col("idx") + 1).alias("pos"), F.col("dst").alias("hap"))).distinct()
+    held = explode_haps(reads, [*keys, "read"]).where("symbol IN ('0', '1', '2', '3', '4')").groupBy(*keys, F.col("idx").alias("pos"), F.col("symbol").alias("hap")).agg(F.count("*").alias("n"))
+    x = held.join(ends.withColumn("end", F.lit(True)), [*keys, "pos", "hap"], "full")
+    good = F.col("end").isNotNull() | (F.col("n") > 1)
+    some = F.max(good.cast("int")).over(Window.partitionBy(*keys, "pos"))
+    return x.withColumn("some", some).where(good | (F.col("some") == 0)).select(*keys, "pos", "hap")
+
+
+def assemble(reads: DataFrame, keys: list[str], least: int = 4, pivot: int = -1) -> DataFrame:
+    """reads(keys, read, hap), equally long in a region of two sites or more -> keys, hap, extended: haplotypes with ``least`` reads of their
+    own, and how far linked candidates extend each.
+
+    Every step is a join over all regions: weak edges go and reads are masked; runs of sites in which each symbol has one successor become blocks by paths,
+    branching ones by the reads that span them; then blocks are scanned from the left, merged by size, and at last joined with
+    x where nothing links them. A region of one such run is its paths alone. Only the count of rounds depends on the data: by the number of sites."""
+    keys_of = lambda df: df.select(*keys).distinct()
+    widths = written(reads.groupBy(*keys).agg(F.max(F.length("hap")).alias("width")).where("width > 1"), "widths")
+    pruned = written(prune_edges(edge_counts(reads, keys), keys), "edges")
+    kept = pruned.where("NOT weak").drop("weak")
+    masked = written(mask_reads(reads, pruned, keys).select(*keys, "read", "hap"), "masked")
+    nodes = written(initial_nodes(kept, reads, keys), "nodes")
+    edges = kept.select(*keys, F.col("idx").alias("pos"), "src", (F.col("idx") + 1).alias("dst_pos"), "dst", "n")
+    known = classify_gaps(kept, nodes.select(*keys, F.col("pos").alias("idx"), F.col("hap").alias("symbol")), keys, pivot)
+    counts = kept.groupBy(*keys, "idx").agg(F.min("n").alias("least"))
+    every = widths.select(*keys, F.explode(F.sequence(F.lit(0), F.col("width") - 2)).alias("idx"))
+    gaps = written(every.join(known, [*keys, "idx"], "left").join(counts, [*keys, "idx"], "left").fillna(-1, ["cls"]).fillna(0, ["least"]), "gaps")
+
+    order = Window.partitionBy(*keys)
+    parts = segments(gaps.select(*keys, F.col("idx").alias("pos"), "cls"), keys).withColumn("end", F.col("last") - 1).drop("last")
+    parts = parts.withColumn("i", F.row_number().over(order.orderBy("first"))).withColumn("parts", F.count("*").over(order))
+    parts = written(parts.join(widths, keys), "segments")
+    simple = parts.where("parts = 1 AND cls = 2").select(*keys, F.lit(0).alias("start"), (F.col("width") - 1).alias("stop"))
+    walked = B.span_paths(edges, simple, keys).select(*keys, "hap")
+    rest = parts.join(keys_of(simple), keys, "left_anti")
+    alone = rest.where("cls = 2").select(*keys, (F.col("first") + F.when((F.col("i") == 1) | (F.col("i") == F.col("parts")), 0).otherwise(1)).alias("start"), (F.col("end") + F.when(F.col("end") == F.col("width") - 2, 1).otherwise(0)).alias("last")).where("last > start")
+    open_nodes, open_edges = (x.join(keys_of(rest), keys, "left_semi") for x in (nodes, edges))
+    by_path = B.span_paths(edges, alone.withColumnRenamed("last", "stop"), keys)
+    nodes, edges = (written(x, "graph") for x in B.contract(open_nodes, open_edges, alone, by_path, keys))
+
+    branching = rest.where("cls > 2").select(*keys, F.col("first").alias("start"), (F.col("end") + 1).alias("stop"))
+    state, _ = B.join_blocks(masked, nodes, branching, keys)
+    whole = state.where("ok AND at = stop")
+    nodes, edges = (written(x, "graph") for x in B.contract(nodes, edges, whole.select(*keys, "start", F.col("stop").alias("last")).distinct(), whole.select(*keys, "start", "hap"), keys))
+
+    now = written(nodes.groupBy(*keys).agg(F.min("pos").alias("start"), F.max("pos").alias("stop")).where("start < stop - 1"), "scan")
+    while now.limit(1).count():  # what joins from the left on becomes a block; the scan goes on behind it
+        state, _ = B.join_blocks(masked, nodes, now, keys)
+        grown = state.where("at > start")
+        nodes, edges = (written(x, "graph") for x in B.contract(nodes, edges, grown.select(*keys, "start", F.col("at").alias("last")).distinct(), grown.select(*keys, "start", "hap"), keys))
+        behind = state.where("NOT ok").groupBy(*keys, "stop").agg(F.max(F.col("start") + F.length("hap")).alias("start"))
+        now = written(behind.where("start < stop - 1").select(*keys, "start", "stop"), "scan")
+
+    nodes, edges = B.merge_by_size(masked, nodes, edges, keys)
+    spans = nodes.groupBy(*keys).agg(F.min("pos").alias("start"), F.max("pos").alias("stop"))
+    state, _ = B.join_blocks(masked, nodes, spans, keys, gaps, allow_x=True)
+    found = written(state.join(widths, keys).where(F.length("hap") == F.col("width")).select(*keys, "hap").unionByName(walked).distinct(), "haplotypes")
+    good = written(low_support(reads, found, keys, least), "supported")
+    grown = B.extended(good, masked, nodes, gaps, keys)
+    return good.join(grown, [*keys, "hap"], "left").select(*keys, "hap", F.coalesce("extended", "hap").alias("extended"))

@@ -33,15 +33,12 @@ READS = f"""reads AS (
 
 
 def haps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """region, hap: strings with three calls or more that are supported by 2 reads and by 1 in 240 of the region's reads with so many calls."""
-    from pyspark.sql import Window
+    """region, hap: strings with five calls or more that two reads hold."""
+    full = reads(spark, sf_dir).where(F.length(F.replace("hap", F.lit("x"), F.lit(""))) >= 5)
+    return full.groupBy("region", "hap").agg(F.count("*").alias("n")).where("n >= 2").select("region", "hap")
 
-    full = reads(spark, sf_dir).where(F.length(F.replace("hap", F.lit("x"), F.lit(""))) >= 3).groupBy("region", "hap").agg(F.count("*").alias("n"))
-    return full.withColumn("all", F.sum("n").over(Window.partitionBy("region"))).where((F.col("n") >= 2) & (240 * F.col("n") >= F.col("all"))).select("region", "hap")
 
-
-HAPS = """haps AS (
-  SELECT region, hap FROM (SELECT region, hap, count(*) AS n, sum(count(*)) OVER (PARTITION BY region) AS total FROM reads WHERE length(replace(hap, 'x', '')) >= 3 GROUP BY region, hap) WHERE n >= 2 AND 240 * n >= total)"""
+HAPS = "haps AS (SELECT region, hap FROM reads WHERE length(replace(hap, 'x', '')) >= 5 GROUP BY region, hap HAVING count(*) >= 2)"
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:

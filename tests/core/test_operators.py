@@ -134,7 +134,18 @@ def test_assembly(spark):
     strings_ = ["11xx"] * 6 + ["x11x"] * 6 + ["xx12"] * 6 + ["22xx"] * 6 + ["x22x"] * 6 + ["xx21"] * 6
     reads = haps_of(spark, strings_).unionByName(haps_of(spark, ["12"] * 5).withColumn("r", F.lit("q")))
     assert {(x.r, x.hap) for x in graph.assemble(reads, ["r"]).collect()} == {("r", "1112"), ("r", "2221"), ("q", "12")}
-    assert graph.assembled({}, 4) == {}
+    assert graph.assemble(reads.limit(0), ["r"]).collect() == []
+
+
+def test_assembly_of_branches(spark):
+    """Three haplotypes that share stretches: reads of four sites tell which ends belong together; a fourth region has too few reads to join its halves."""
+    true = ["1112211", "1122112", "2211222"]
+    windows = [h for t in true for i in range(4) for h in ["x" * i + t[i : i + 4] + "x" * (3 - i)] * 5]
+    halves = [h for a, b in [("111", "222"), ("222", "111"), ("112", "221")] for h in [a + "xxx"] * 6 + ["xxx" + b] * 6]
+    reads = haps_of(spark, windows).unionByName(haps_of(spark, halves).withColumn("r", F.lit("s")))
+    found = {(x.r, x.hap) for x in graph.assemble(reads, ["r"]).collect()}
+    assert {h for r, h in found if r == "r"} == set(true)
+    assert {h for r, h in found if r == "s"} == {"111xxx", "222xxx", "112xxx", "xxx222", "xxx111", "xxx221"}
 
 
 def test_alleles(spark):
