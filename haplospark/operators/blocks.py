@@ -184,14 +184,14 @@ def merge_by_size(reads: DataFrame, nodes: DataFrame, edges: DataFrame, keys: li
         nodes, edges = (written(x, "graph") for x in contract(nodes, edges, best, state.join(best, [*keys, "start"], "left_semi").select(*keys, "start", "hap"), keys))
 
 
-def neighbour_links(reads: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, left_pos, right_pos, a, b: linked candidates of each two neighbouring blocks; blocks of one candidate have none."""
+def neighbour_links(strings: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """strings(keys, read_hap, n) -> keys, left_pos, right_pos, a, b: linked candidates of each two neighbouring blocks; blocks of one candidate have none."""
     sized = nodes.select(*keys, "pos", "hap").distinct().withColumn("n", F.count("*").over(Window.partitionBy(*keys, "pos")))
     order = sized.select(*keys, "pos", "n").distinct().withColumns({"next": F.lead("pos").over(Window.partitionBy(*keys).orderBy("pos")), "after": F.lead("n").over(Window.partitionBy(*keys).orderBy("pos"))})
     both = order.where("n > 1 AND after > 1").select(*keys, F.col("pos").alias("left_pos"), F.col("next").alias("right_pos"))
     left = both.join(nodes.withColumnRenamed("pos", "left_pos"), [*keys, "left_pos"]).select(*keys, "left_pos", "right_pos", F.col("left_pos").alias("pos"), "hap")
     right = both.join(nodes.withColumnRenamed("pos", "right_pos"), [*keys, "right_pos"]).select(*keys, "left_pos", "right_pos", F.col("right_pos").alias("pos"), "hap")
-    return block_links(distinct_strings(reads, keys), left, right, keys, ("left_pos", "right_pos")).drop("reads")
+    return block_links(strings, left, right, keys, ("left_pos", "right_pos")).drop("reads")
 
 
 def _agreed(candidates: DataFrame, keys: list[str], back: bool) -> DataFrame:
@@ -209,9 +209,10 @@ def extended(haps: DataFrame, reads: DataFrame, nodes: DataFrame, gaps: DataFram
     second, and the gap there has a class and 2 reads for each edge, the candidates that reads link to its outer block extend it as far as they
     agree; of several, reads that match the haplotype too may first choose one (``reduce_candidates``)."""
     n = F.length("hap")
+    strings, nodes = written(distinct_strings(reads, keys), "strings"), written(nodes.select(*keys, "pos", "hap"), "nodes")
     ends = haps.select(*keys, "hap").distinct().withColumn("e", start_end(F.col("hap"))).select("*", F.col("e.first").alias("first"), F.col("e.last").alias("last")).drop("e")
     open_ = ends.where(F.contains("hap", F.lit("x")) & (F.col("first") <= F.col("last")))
-    good, links = gaps.where("cls <> -1 AND least >= 2").select(*keys, "idx"), neighbour_links(reads, nodes, keys)
+    good, links = gaps.where("cls <> -1 AND least >= 2").select(*keys, "idx"), neighbour_links(strings, nodes, keys)
     right = open_.where(F.col("last") < n - 2).join(good.withColumnRenamed("idx", "last"), [*keys, "last"]).join(links, keys)
     right = right.where((F.col("left_pos") <= F.col("last")) & (F.col("right_pos") > F.col("last")) & (F.substr("hap", F.col("left_pos") + 1, F.col("last") - F.col("left_pos") + 1) == F.col("a")))
     right = right.select(*keys, "hap", F.col("b").alias("candidate"), F.concat(F.repeat(F.lit("x"), F.col("last") + 1), "b", F.repeat(F.lit("x"), F.greatest(F.lit(0), n - F.col("last") - 1 - F.length("b")))).alias("placed"), F.lit(False).alias("back"))
@@ -220,11 +221,10 @@ def extended(haps: DataFrame, reads: DataFrame, nodes: DataFrame, gaps: DataFram
     left = left.select(*keys, "hap", F.col("a").alias("candidate"), F.concat(F.repeat(F.lit("x"), F.greatest(F.lit(0), F.col("first") - F.length("a"))), "a", F.repeat(F.lit("x"), n - F.col("first"))).alias("placed"), F.lit(True).alias("back"))
     by = [*keys, "hap", "back"]
     all_ = written(left.unionByName(right), "candidates").withColumn("of", F.count("*").over(Window.partitionBy(*by)))
-    strings = distinct_strings(reads, keys)
     c1, c2 = compare_haps(F.col("hap"), F.col("read_hap")), compare_haps(F.col("placed"), F.col("read_hap"))
     seen = all_.where("of > 1").join(strings, keys).withColumns({"c1": c1, "c2": c2}).where("c1.mismatch = 0 AND c2.mismatch = 0 AND c1.match > 0 AND c2.match > 0")
     support = seen.select(*by, "candidate", F.least("c1.match", "c2.match").alias("matches"), F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int")))).drop("col")
-    chosen = reduce_candidates(all_.where("of > 1"), support, by).unionByName(all_.where("of = 1").select(*by, "candidate"))
+    chosen = written(reduce_candidates(all_.where("of > 1"), support, by).unionByName(all_.where("of = 1").select(*by, "candidate")), "chosen")
     grown = lambda back: _agreed(chosen.where(F.col("back") == back), keys, back).withColumnRenamed("bases", "before" if back else "after")
     x = ends.join(grown(True), [*keys, "hap"], "left").join(grown(False), [*keys, "hap"], "left").fillna("", ["before", "after"])
     size = lambda c: F.greatest(F.lit(0), c)

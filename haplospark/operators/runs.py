@@ -27,16 +27,6 @@ def letter_runs(text: Column, letters: str, least: int = 5) -> Column:
     return F.concat(*each)
 
 
-def homopolymer_masks(bases: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
-    """bases(keys, pos, base) -> keys, pos, mask: positions in a run of one base; the one after gets base,1 and the one before the base."""
-    runs = islands(bases, keys, "pos", "base").where(F.col("size") >= least)
-    inside = runs.select(*keys, F.explode(F.sequence("first", "last")).alias("pos"), F.col("base").alias("mask"), F.lit(0).alias("rank"))
-    after = runs.select(*keys, (F.col("last") + 1).alias("pos"), F.concat("base", F.lit(",1")).alias("mask"), F.lit(1).alias("rank"))
-    before = runs.select(*keys, (F.col("first") - 1).alias("pos"), F.col("base").alias("mask"), F.lit(2).alias("rank"))
-    both = inside.unionByName(after).unionByName(before)
-    return both.groupBy(*keys, "pos").agg(F.min(F.struct("rank", "mask")).alias("m")).select(*keys, "pos", F.col("m.mask").alias("mask"))
-
-
 def gap_fill(het: DataFrame, hom: DataFrame, regions: DataFrame, keys: list[str], gap: int = 10_000, most: int = 10) -> DataFrame:
     """het and hom(keys, pos), regions(keys, start, end) -> hom sites to add: those in a gap wider than ``gap`` between het sites or
     the region's ends, thinned by a stride to ``most`` a gap."""

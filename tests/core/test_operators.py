@@ -163,8 +163,6 @@ def test_runs(spark):
     assert [tuple(x)[1:] for x in runs.segments(cls([10, 2, 10]), ["r"]).collect()] == [(0, 3, 10)]
     split = lambda s: runs.breakpoint(spark.createDataFrame([("r", i, c) for i, c in enumerate(s)], "r string, idx int, symbol string"), ["r"], "1", "2").first().split
     assert split("1112222") == 3 and split("2222111") is None
-    masks = runs.homopolymer_masks(spark.createDataFrame([("r", i, b) for i, b in enumerate("CAAAAAG")], "r string, pos int, base string"), ["r"])
-    assert {x.pos: x.mask for x in masks.collect()} == {0: "A", **{i: "A" for i in range(1, 6)}, 6: "A,1"}
 
 
 def test_copy_numbers(spark):
