@@ -14,15 +14,18 @@ surrogate in all documents; where one had to be, only within its document.
 
 Defined cases: a null text stays null and has no entities; an empty one is
 itself; rows that repeat get equal results; texts of any length are one row's
-work; columns other than ``keep`` and the text are not read.
+work; columns other than ``keep`` and the text are not read; kept columns of
+the output's names are not kept. Digits and letters of every script are changed
+within their script; a letter that has no other near it in its alphabet stays.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain, count, product
 
@@ -31,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplospark.llm.common import table, text_slices
+from haplospark.llm.common import fresh, table, text_slices
 
 KEY = b"change this key per corpus"
 ROUNDS = 8
@@ -49,10 +52,42 @@ TITLES = {"f": "Mrs Ms Miss Frau Señora Doña Madame Mme Mlle Г-жа Κυρί
 #: Letters that take each other's place, by script; other letters stay.
 LETTERS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "àáâäèéêëìíîïòóôöùúûü", "çñ", "аеёиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ"]
 PLACE = {c: (letters, i) for letters in [*LETTERS, "0123456789"] for i, c in enumerate(letters)}
+#: Letters of other scripts and marks take the place of letters of the same kind in their row of so many code points.
+ROW = 128
+
+
+class Places(dict):
+    """PLACE, and by rule what it lacks: decimal digits of every script among themselves, other letters in their row."""
+
+    def __missing__(self, c: str) -> tuple[str, int] | None:
+        self[c] = None
+        if c.isdecimal():
+            zero = ord(c) - int(c)
+            self[c] = ("".join(chr(zero + d) for d in range(10)), int(c))
+        elif c.isalpha() and c == c.lower():
+            first, kind = ord(c) // ROW * ROW, unicodedata.category(c)
+            row = "".join(x for x in map(chr, range(first, first + ROW)) if x not in PLACE and unicodedata.category(x) == kind and x == x.lower() and (kind != "Ll" or len(x.upper()) == 1 and x.upper().lower() == x))
+            self[c] = (row, row.index(c)) if c in row and len(row) > 1 else None
+        return self[c]
+
+
+PLACES = Places(PLACE)
 HEX = {c: ("0123456789abcdef", i) for i, c in enumerate("0123456789abcdef")}
+def ranges(test: Callable[[str], bool]) -> list[tuple[int, int]]:
+    """Runs of code points whose characters pass the test."""
+    found: list[tuple[int, int]] = []
+    for i in range(0x30000):
+        if test(chr(i)):
+            found[-1:] = [(found[-1][0], i)] if found and found[-1][1] == i - 1 else [*found[-1:], (i, i)]
+    return found
+
+
 KNOWN = {name: (group, i) for group, names in GIVEN.items() for i, name in enumerate(names)}
 
-_name = r"[A-ZÀ-ÖØ-ÞΆ-ΫЀ-Я][^\W\d_]+(?:-[^\W\d_]+)*"
+#: A name's first letter: any capital, or a letter of a script without case; the latter may be a name alone.
+_first = "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges(lambda c: c.isalpha() and (c.isupper() or unicodedata.category(c) == "Lo")))
+_alone = "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges(lambda c: unicodedata.category(c) == "Lo"))
+_name = rf"(?:[{_first}][^\W\d_]+|[{_alone}])(?:-[^\W\d_]+)*"
 _octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)+",
@@ -61,14 +96,15 @@ PATTERNS = {
     "hex": r"\b[0-9a-f]{32,}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": rf"(?<![\d.]){_octet}(?:\.{_octet}){{3}}(?![\d.]*\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
+    "ipv6": r"(?i:(?<![\w:])(?:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|(?=[0-9a-f:]*[0-9a-f]{2}[0-9a-f:]*::|[0-9a-f:]*::[0-9a-f:]*[0-9a-f]{2})[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,5}::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,5})?)(?![\w:]))",
+    "phone": r"(?<![\w.,-])0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}(?![\d-])|(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
     "national_id": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
     "person": rf"\b(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.? (?P<names>{_name}(?: {_name})?)|\b(?P<given>{'|'.join(KNOWN)}) (?P<family>{_name})",
 }
 ENTITY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
 #: A text without a match of this has no entity; checked by Arrow over whole columns.
-MAYBE = r"@|[A-Z]{2}\p{Nd}{2}|\p{Nd}[ .\-]?\p{Nd}[ .\-]?\p{Nd}|AKIA|[0-9a-f]{32}|(?i:password|passwd|pwd|secret|token|api[_-]?key)|" + "|".join(f"{t}[. ]" for ts in TITLES.values() for t in ts) + "|" + "|".join(f"{g} " for g in KNOWN)
+MAYBE = r"@|[0-9a-fA-F]{1,4}:[0-9a-fA-F]{0,4}:|[A-Z]{2}\p{Nd}{2}|\p{Nd}[ .\-]?\p{Nd}[ .\-]?\p{Nd}|AKIA|[0-9a-f]{32}|(?i:password|passwd|pwd|secret|token|api[_-]?key)|" + "|".join(f"{t}[. ]" for ts in TITLES.values() for t in ts) + "|" + "|".join(f"{g} " for g in KNOWN)
 
 
 WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:-[^\W\d_]+)*(?!\w)")
@@ -92,9 +128,9 @@ def permute(x: int, size: int, key: bytes, tweak: str) -> int:
             return x
 
 
-def same_form(text: str, key: bytes, tweak: str, place: dict = PLACE) -> str:
+def same_form(text: str, key: bytes, tweak: str, place: dict = PLACES) -> str:
     """Every letter and digit of ``place`` changed within its group; all else stays."""
-    value, size, at = 0, 1, [place.get(c) for c in text]
+    value, size, at = 0, 1, [place[c] if place is PLACES else place.get(c) for c in text]
     for p in at:
         if p:
             value, size = value * len(p[0]) + p[1], size * len(p[0])
@@ -111,7 +147,8 @@ def same_form(text: str, key: bytes, tweak: str, place: dict = PLACE) -> str:
 def in_format(like: str, canonical: str) -> str:
     """Letters and digits of ``canonical`` in the places and cases of ``like``."""
     left = iter(canonical)
-    return "".join((d.upper() if c.isupper() and not d.isupper() else d) if c.isalnum() and (d := next(left, c)) else c for c in like)
+    script = lambda c, d: chr(ord(c) - int(c) + int(d)) if c.isdecimal() and d.isdecimal() else d
+    return "".join((d.upper() if c.isupper() and not d.isupper() else script(c, d)) if c.isalnum() and (d := next(left, c)) else c for c in like)
 
 
 def luhn(digits: str) -> int:
@@ -139,8 +176,8 @@ def script_of(name: str) -> str:
 
 def canonical(kind: str, text: str) -> str:
     if kind in ("phone", "card", "national_id", "iban"):
-        return "".join(c for c in text if c.isalnum())
-    return text.lower() if kind == "email" else text
+        return "".join(str(int(c)) if c.isdecimal() else c for c in text if c.isalnum())
+    return text.lower() if kind in ("email", "ipv6") else ".".join(str(int(o)) for o in text.split(".")) if kind == "ip" else text
 
 
 def name_surrogate(name: str, key: bytes, tweak: str) -> str:
@@ -165,6 +202,9 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int) -> str:
         return same_form(text, key, tweak, HEX)
     if kind == "secret":
         return in_format(text, "".join(c for c in same_form(text.lower(), key, tweak) if c.isalnum()))
+    if kind == "ipv6":  # the first group tells local from public addresses
+        head, tail = text.split(":", 1)
+        return f"{head}:{same_form(tail, key, tweak + head, HEX)}"
     if kind == "ip":
         octets = [int(o) for o in text.split(".")]
         first = x = int.from_bytes(bytes(octets), "big")
@@ -181,7 +221,7 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int) -> str:
         valid = iban_check(text[:2], text[4:]) == text[2:4]
         return text[:2] + (iban_check(text[:2], rest) if valid else text[2:4]) + rest
     if kind == "phone":
-        keep = 1 if text.startswith("1") and len(text) == 11 else 2 if len(text) > 10 else 0
+        keep = 1 if text.startswith("0") or text.startswith("1") and len(text) == 11 else 2 if len(text) > 10 else 0
         fixed = text[:keep]
         if len(text) - keep == 10:  # area and exchange codes begin with 2 to 9
             rest, out = text[keep:], ""
@@ -283,13 +323,15 @@ def in_case(like: str, text: str) -> str:
 
 def with_surrogates(docs: DataFrame, keep: list[str], key: bytes = KEY, text: str = "text") -> DataFrame:
     """keep, text, entities array<struct<kind, start, end>> (in the text as it was)."""
-    rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    keep = [c for c in keep if c.lower() not in (text.lower(), "entities")]
+    whole, new_text, found_in = (fresh(docs, c) for c in ("whole_text", "new_text", "found_in"))
+    rows = docs.select(*keep, F.col(text).cast("string").alias(whole))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "__text"):
-                column = part.column("__text")
+            for part in text_slices(batch, whole):
+                column = part.column(whole)
                 maybe = pc.fill_null(pc.match_substring_regex(column, MAYBE), False)
                 new, spans = iter([replaced(t, key) for t in column.filter(maybe).to_pylist()]), []
                 texts = []
@@ -298,10 +340,10 @@ def with_surrogates(docs: DataFrame, keep: list[str], key: bytes = KEY, text: st
                     texts.append(changed)
                     spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
                 out = pc.if_else(maybe, pa.array(texts, pa.string()), column)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), out, pa.array(spans, span)], names=[*keep, "__new", "__entities"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), out, pa.array(spans, span)], names=[*keep, new_text, found_in])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"), "__new string", "__entities array<struct<kind:string,start:int,end:int>>"])
-    return rows.mapInArrow(run, schema).select(*keep, F.col("__new").alias(text), F.col("__entities").alias("entities"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != whole), f"`{new_text}` string", f"`{found_in}` array<struct<kind:string,start:int,end:int>>"])
+    return rows.mapInArrow(run, schema).select(*keep, F.col(new_text).alias(text), F.col(found_in).alias("entities"))
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
