@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haplospark.llm import kernels as K
-from haplospark.llm.common import crc_bucket, map_texts, some_rows, table
+from haplospark.llm.common import crc_bucket, fresh, map_texts, some_rows, table
 
 #: Bounds of the samples that fit the model: trusted positives, and unlabelled texts.
 POSITIVES = UNLABELLED = 15_000
@@ -134,23 +134,25 @@ def _measured(docs: DataFrame) -> np.ndarray:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str], label: str = "quality", text: str = "text") -> DataFrame:
-    """docs' columns ``keep`` and score in 0 to 1. labels(doc_id, label): those to learn from."""
-    docs = docs.withColumn("__text", F.col(text).cast("string"))
-    plain = docs.select("doc_id", F.col("__text").alias("text"))
+    """docs' columns ``keep`` and score in 0 to 1; a column of that name isn't kept. labels(doc_id, label): those to learn from."""
+    keep = [c for c in keep if c.lower() != "score"]
+    whole = fresh(docs, "whole_text")
+    docs = docs.withColumn(whole, F.col(text).cast("string"))
+    plain = docs.select("doc_id", F.col(whole).alias("text"))
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     trusted = known.where(F.col("y") == 1).select("doc_id")
     rows = plain.groupBy("doc_id").agg(F.count("*").alias("rows")).join(trusted, "doc_id").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     positive = _measured(some_rows(plain, ["doc_id", "text"], POSITIVES, rows).join(trusted, "doc_id"))
     unlabelled = _measured(some_rows(plain, ["doc_id", "text"], UNLABELLED, plain.count()))
     net = fit(positive, unlabelled, class_prior(positive, unlabelled)) if len(positive) and len(unlabelled) else None
-    scored = docs.select(*keep, "__text")
+    scored = docs.select(*keep, whole)
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        z = net.logits(measures(batch.column("__text"))) if net else np.full(batch.num_rows, -np.inf)
+        z = net.logits(measures(batch.column(whole))) if net else np.full(batch.num_rows, -np.inf)
         return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(1 / (1 + np.exp(-z.astype(float))))], names=[*keep, "score"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema if f.name != "__text"), "score double"])
-    return map_texts(scored, "__text", schema, make)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema if f.name != whole), "score double"])
+    return map_texts(scored, whole, schema, make)
 
 
 def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

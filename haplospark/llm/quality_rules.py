@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haplospark.llm import kernels as K
-from haplospark.llm.common import map_texts, table
+from haplospark.llm.common import fresh, map_texts, table
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -82,14 +82,15 @@ def repetition(column: pa.Array) -> dict[str, np.ndarray]:
 
 def repetition_counts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` and one long column for each of COUNTS. Input columns that share a name with one of COUNTS are not kept."""
-    kept = df.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text"), *(f"{c} long" for c in COUNTS)])
+    whole = fresh(df, "whole_text")
+    kept = df.select(*keep, F.col(text).cast("string").alias(whole))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != whole), *(f"{c} long" for c in COUNTS)])
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = repetition(batch.column("__text"))
+        counts = repetition(batch.column(whole))
         return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(counts[c], pa.int64()) for c in COUNTS], names=[*keep, *COUNTS])
 
-    return map_texts(kept, "__text", schema, make)
+    return map_texts(kept, whole, schema, make)
 
 
 def verdicts(counts: DataFrame) -> DataFrame:

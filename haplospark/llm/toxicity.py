@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haplospark.llm import kernels as K
-from haplospark.llm.common import crc_bucket, give_back, map_texts, some_rows, staged, table, text_slices
+from haplospark.llm.common import crc_bucket, fresh, give_back, map_texts, some_rows, staged, table, text_slices
 
 #: So many labelled rows of each class fit the model.
 SAMPLE_ROWS = 12_000
@@ -298,24 +298,25 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float, steps: int
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: list[str], label: str = "toxic", text: str = "text", out: str = "score") -> DataFrame:
     """docs' columns ``keep`` and ``out``, a name not among them. labels(doc_id, label): those to learn from."""
-    docs = docs.withColumn("__text", F.col(text).cast("string"))
-    plain = docs.select("doc_id", F.col("__text").alias("text"))
+    whole = fresh(docs, "whole_text")
+    docs = docs.withColumn(whole, F.col(text).cast("string"))
+    plain = docs.select("doc_id", F.col(whole).alias("text"))
     model = character_model(trigram_counts(plain))
     known, weight, bias = fit(labelled_sample(plain, labels, label, SAMPLE_ROWS), model)
-    scored = docs.select(*keep, "__text")
+    scored = docs.select(*keep, whole)
     restorers: list[Restorer] = []
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not restorers:
             restorers.append(Restorer(model))
-        owner, feature = document_features(batch.column("__text"), restorers[0], known)
+        owner, feature = document_features(batch.column(whole), restorers[0], known)
         z = np.full(batch.num_rows, bias)
         if len(known):
             z += np.bincount(owner, weight[np.searchsorted(known, feature)], minlength=batch.num_rows)
         return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=[*keep, out])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema if f.name in keep), f"`{out}` double"])
-    return map_texts(scored, "__text", schema, make)
+    return map_texts(scored, whole, schema, make)
 
 
 HOLD_OUT, HELD, REJECT = 3, 1, 0.7
