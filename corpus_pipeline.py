@@ -42,7 +42,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target takes them: none to three times. A null source is a source; null and empty texts have
-    no size and follow their source's threshold; rows of equal id are taken equally often."""
+    no size and follow their source's boundary; rows equal in id and text may differ by one in how often they are taken."""
     return mixed_rows(docs)
 
 
