@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 #: Bytes of text that one numpy pass takes; a longer text is a pass of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -48,7 +49,7 @@ def drop_staged(df: DataFrame) -> None:
 
 
 #: Bytes of rows that Spark hands to a Python worker at once; a longer row goes alone.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -100,6 +101,7 @@ def map_texts(df: DataFrame, text: str, schema: str, make: Callable[[pa.RecordBa
             for part in text_slices(batch, text, most):
                 yield make(part)
                 give_back()
+        gc.collect()  # what a task made in cycles, as memories of words, must not wait for the next
 
     bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
