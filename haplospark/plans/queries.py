@@ -336,7 +336,11 @@ def nonunique_reads(spark, d):
     return H.shared_reads(_matches(spark, d), K).withColumn("haps", F.array_join("haps", ","))
 
 
-@query()
+_LONE = lambda hits: f"NOT EXISTS (SELECT 1 FROM {hits} y WHERE y.region = x.region AND y.read = x.read AND y.hap <> x.hap AND ({_SHARE}))"
+
+
+@query(f"SELECT region, hap FROM second x WHERE {_LONE('second')} GROUP BY 1, 2 HAVING count(DISTINCT read) >= 4",
+    (READS, HAPS, _PAIR_SQL, _HITS, "first AS (SELECT * FROM hits WHERE match >= 1)", f"second AS (SELECT f.* FROM first f JOIN (SELECT DISTINCT region, hap FROM first x WHERE {_LONE('first')}) USING (region, hap))"))
 def low_support_filter(spark, d):
     return H.low_support(X.reads(spark, d), X.haps(spark, d), K, 4)
 
@@ -464,7 +468,8 @@ def path_enumeration(spark, d):
     return G.paths(_edges(spark, d), K, 1, 5)
 
 
-@query()
+@query("""SELECT * FROM (SELECT r.region, read, array_to_string(list_transform(range(1, 8), lambda i: CASE WHEN (i < 7 AND list_contains(coalesce(gone, []), (i - 1) || hap[i] || hap[i + 1])) OR (i > 1 AND list_contains(coalesce(gone, []), (i - 2) || hap[i - 1] || hap[i])) THEN 'x' ELSE hap[i] END), '') AS hap
+ FROM reads r LEFT JOIN (SELECT region, list(idx || src || dst) AS gone FROM pruned WHERE weak GROUP BY 1) g ON g.region = r.region) WHERE length(replace(hap, 'x', '')) > 1""", (READS, _EDGES, _PRUNED))
 def mask_weak_reads(spark, d):
     return G.mask_reads(X.reads(spark, d), G.prune_edges(_edges(spark, d), K), K)
 
