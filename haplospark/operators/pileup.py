@@ -73,11 +73,12 @@ def split_homopolymer_sites(sites: DataFrame, masks: DataFrame, keys: list[str])
 
 
 def genotype_in_haps(support: DataFrame, keys: list[str]) -> DataFrame:
-    """support(keys, hap, site, token, unique_reads, shared_reads) -> keys, hap, site, token or null: unique reads, with shared ones
-    where fewer than 3 are unique; 3 are needed, and the runner-up may have min(15 % of the top, 2) at most."""
+    """support(keys, hap, site, call, unique_reads, shared_reads), call ref, alt or other -> keys, hap, site, genotype: 1 where most reads have alt, 0 where most have
+    ref, else ``.``. Unique reads count, with shared ones where fewer than 3 are unique; 3 are needed, and the runner-up may have 15 % of the
+    top and 2 at most."""
     at = Window.partitionBy(*keys, "hap", "site")
     n = F.when(F.sum("unique_reads").over(at) < 3, F.col("unique_reads") + F.col("shared_reads")).otherwise(F.col("unique_reads"))
-    order = at.orderBy(F.desc("n"), "token")
+    order = at.orderBy(F.desc("n"), "call")
     x = support.withColumn("n", n).withColumn("rank", F.row_number().over(order)).withColumn("total", F.sum("n").over(at)).withColumn("second", F.coalesce(F.lead("n").over(order), F.lit(0)))
     sure = (F.col("total") >= 3) & (F.col("second") <= F.least(0.15 * F.col("n"), F.lit(2)))
-    return x.where("rank = 1").select(*keys, "hap", "site", F.when(sure, F.col("token")).alias("token"))
+    return x.where("rank = 1").select(*keys, "hap", "site", F.when(sure & (F.col("call") == "alt"), "1").when(sure & (F.col("call") == "ref"), "0").otherwise(".").alias("genotype"))

@@ -1,4 +1,4 @@
-"""Queries of directed links, phased alleles and haplogroups, with their SQL."""
+"""Queries of genotypes, directed links, phased alleles and haplogroups, with their SQL."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from haplospark.operators import alleles as A
 from haplospark.operators import haplogroups as N
+from haplospark.operators import pileup as P
 from haplospark.plans import analogues as X
 from haplospark.plans.queries import K, query
 
@@ -81,3 +82,16 @@ def haplogroup_distances(spark, d):
  SELECT *, row_number() OVER (PARTITION BY hap ORDER BY d0, haplogroup) AS place, lead(d0) OVER (PARTITION BY hap ORDER BY d0, haplogroup) AS next FROM (SELECT hap, haplogroup, list_sort(list(distance))[1] AS d0, list_sort(list(distance))[2] AS d1 FROM distances GROUP BY 1, 2)) WHERE place = 1""", (_DISTANCES,))
 def best_haplogroup(spark, d):
     return N.best_haplogroup(N.haplogroup_distances(*_variants(spark, d)), 40)
+
+
+@query("""SELECT region, hap, site, CASE WHEN total >= 3 AND second <= least(0.15 * n, 2) AND call <> 'other' THEN CASE call WHEN 'alt' THEN '1' ELSE '0' END ELSE '.' END AS genotype FROM (
+ SELECT *, row_number() OVER o AS place, coalesce(lead(n) OVER o, 0) AS second, sum(n) OVER (PARTITION BY region, hap, site) AS total FROM (
+  SELECT region, hap, site, call, CASE WHEN sum(alone) OVER (PARTITION BY region, hap, site) < 3 THEN alone + shared ELSE alone END AS n FROM (
+   SELECT l_linestatus AS region, l_partkey AS hap, l_linenumber AS site, CASE WHEN l_quantity::INT % 8 = 0 THEN 'other' WHEN (l_partkey % 2 = 0) = (l_quantity::INT % 5 <> 0) THEN 'alt' ELSE 'ref' END AS call,
+    count(*) FILTER (l_suppkey % 2 = 0) AS alone, count(*) FILTER (l_suppkey % 2 = 1) AS shared FROM lineitem GROUP BY ALL)) WINDOW o AS (PARTITION BY region, hap, site ORDER BY n DESC, call)) WHERE place = 1""")
+def genotypes_in_haps(spark, d):
+    """A part is a haplotype; lines of suppliers with an even number match it alone."""
+    q = F.col("l_quantity").cast("int")
+    call = F.when(q % 8 == 0, "other").when((F.col("l_partkey") % 2 == 0) == (q % 5 != 0), "alt").otherwise("ref")
+    x = X.t(spark, d, "lineitem").select(F.col("l_linestatus").alias("region"), F.col("l_partkey").alias("hap"), F.col("l_linenumber").alias("site"), call.alias("call"), (F.col("l_suppkey") % 2 == 0).alias("alone"))
+    return P.genotype_in_haps(x.groupBy("region", "hap", "site", "call").agg(F.count_if("alone").alias("unique_reads"), F.count_if(~F.col("alone")).alias("shared_reads")), K)

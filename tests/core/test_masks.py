@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from haplospark.operators import alleles as A
 from haplospark.operators import haplogroups as N
 from haplospark.operators import masks as M
+from haplospark.operators import pileup as P
 
 
 def bases(spark, **texts):
@@ -108,3 +109,13 @@ def test_haplogroups(spark):
     assert [tuple(x) for x in N.best_haplogroup(found.where("haplogroup = 'S1'")).collect()] == [("q", None)]  # nothing to compare with
     near = found.withColumn("distance", F.when(F.col("name") == "k3", 2).otherwise(F.col("distance")))
     assert [tuple(x) for x in N.best_haplogroup(near).collect()] == [("q", None)]
+
+
+def test_genotypes_in_haps(spark):
+    rows = [
+        ("a", "alt", 3, 0), ("b", "ref", 20, 0), ("b", "alt", 2, 9), ("c", "ref", 12, 0), ("c", "alt", 2, 0), ("d", "alt", 2, 0), ("e", "alt", 2, 1), ("e", "ref", 0, 0),
+        ("f", "other", 9, 0), ("f", "alt", 1, 0), ("g", "alt", 2, 5), ("g", "ref", 0, 5),
+    ]
+    x = spark.createDataFrame([("r", h, 1, c, u, s) for h, c, u, s in rows], "region string, hap string, site int, call string, unique_reads long, shared_reads long")
+    # c: two of twelve are more than 15 %; d: too few; e: with its shared read; f: the winner is neither; g: shared reads divide it
+    assert {v.hap: v.genotype for v in P.genotype_in_haps(x, ["region"]).collect()} == {"a": "1", "b": "0", "c": ".", "d": ".", "e": "1", "f": ".", "g": "."}
