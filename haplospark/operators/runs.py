@@ -40,10 +40,10 @@ def gap_fill(het: DataFrame, hom: DataFrame, regions: DataFrame, keys: list[str]
 
 
 def clip_anchors(clips: DataFrame, sites: DataFrame, keys: list[str], shift: int = 30) -> DataFrame:
-    """clips and sites(keys, pos) -> keys, pos: clip + shift for each clip with no site before the next clip."""
+    """clips and sites(keys, pos) -> keys, pos: clip + shift for each clip with no site before the next clip; for the last clip, with none behind it."""
     rows = clips.select(*keys, "pos", F.lit(True).alias("is_clip")).unionByName(sites.select(*keys, "pos", F.lit(False).alias("is_clip"))).distinct()
     w = Window.partitionBy(*keys).orderBy("pos", F.col("is_clip"))
-    return rows.withColumn("next_is_clip", F.lead("is_clip").over(w)).where(F.col("is_clip") & F.col("next_is_clip")).select(*keys, (F.col("pos") + shift).alias("pos"))
+    return rows.withColumn("next_is_clip", F.coalesce(F.lead("is_clip").over(w), F.lit(True))).where(F.col("is_clip") & F.col("next_is_clip")).select(*keys, (F.col("pos") + shift).alias("pos"))
 
 
 def breakpoint(symbols: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:

@@ -415,7 +415,7 @@ def gap_fill_sites(spark, d):
     return R.gap_fill(_days(spark, d, "o_custkey % 40 = 0"), _days(spark, d, "o_custkey % 40 <> 0"), regions, K, 60, 4)
 
 
-@query("""SELECT region, pos + 30 AS pos FROM (SELECT *, lead(c) OVER (PARTITION BY region ORDER BY pos, c) AS n FROM (SELECT region, pos, true AS c FROM het UNION SELECT region, pos, false FROM hom)) WHERE c AND n""", (_GAPS,))
+@query("""SELECT region, pos + 30 AS pos FROM (SELECT *, lead(c) OVER (PARTITION BY region ORDER BY pos, c) AS n FROM (SELECT region, pos, true AS c FROM het UNION SELECT region, pos, false FROM hom)) WHERE c AND coalesce(n, true)""", (_GAPS,))
 def clip_anchor(spark, d):
     return R.clip_anchors(_days(spark, d, "o_custkey % 40 = 0"), _days(spark, d, "o_custkey % 40 <> 0"), K)
 
