@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haplospark.operators import alleles as A
+from haplospark.operators import copies as O
 from haplospark.operators import haplogroups as N
 from haplospark.operators import pileup as P
 from haplospark.plans import analogues as X
@@ -95,3 +96,32 @@ def genotypes_in_haps(spark, d):
     call = F.when(q % 8 == 0, "other").when((F.col("l_partkey") % 2 == 0) == (q % 5 != 0), "alt").otherwise("ref")
     x = X.t(spark, d, "lineitem").select(F.col("l_linestatus").alias("region"), F.col("l_partkey").alias("hap"), F.col("l_linenumber").alias("site"), call.alias("call"), (F.col("l_suppkey") % 2 == 0).alias("alone"))
     return P.genotype_in_haps(x.groupBy("region", "hap", "site", "call").agg(F.count_if("alone").alias("unique_reads"), F.count_if(~F.col("alone")).alias("shared_reads")), K)
+
+
+_COPIES = """lines AS (SELECT l_orderkey AS region, 'h' || l_linenumber AS hap, l_returnflag = 'R' AS is_last, l_quantity < 10 AS is_middle, l_partkey AS p, l_suppkey AS s, l_quantity::INT AS q, l_discount AS c, l_linestatus AS t FROM lineitem),
+every AS (SELECT region, hap, bool_or(is_last) AS is_last, bool_or(is_middle) AS is_middle FROM lines GROUP BY 1, 2), firsts AS (SELECT region, min(hap) AS first FROM every GROUP BY 1),
+links AS (SELECT DISTINCT region, hap AS a, 'h' || (s % 4 + 1) AS b FROM lines WHERE c > 0.03), directed AS (SELECT DISTINCT region, hap AS a, 'h' || (p % 5 + 1) AS b FROM lines),
+loose AS (SELECT DISTINCT region, 'h' || (s % 3 + 1) AS a, hap AS b FROM lines WHERE q % 6 >= 3), placed AS (SELECT DISTINCT region, t AS allele, hap FROM lines WHERE p % 3 = 0),
+places AS (SELECT f.region, first, (SELECT list(hap ORDER BY hap) FROM every e WHERE e.region = f.region AND hap <> first) AS others, coalesce((SELECT list(hap ORDER BY hap) FROM every e WHERE e.region = f.region AND is_last), []) AS lasts,
+ (SELECT list(hap) FROM every e WHERE e.region = f.region AND is_middle AND hap <> first) AS middles, (SELECT list(DISTINCT hap) FROM placed p WHERE p.region = f.region) AS onset, (SELECT count(DISTINCT allele) FROM placed p WHERE p.region = f.region) AS sets,
+ coalesce((SELECT list(a || '-' || b) FROM directed d WHERE d.region = f.region), []) AS ways, (SELECT list(b) FROM loose l WHERE l.region = f.region AND a = first) AS after FROM firsts f),
+sided AS (SELECT *, list_filter(others, lambda h: NOT list_contains(lasts, h)) AS inner_ones, (SELECT list(b) FROM links l WHERE l.region = places.region AND l.a = lasts[1]) AS before, list_filter(coalesce(after, []), lambda h: NOT list_contains(lasts, h)) AS next FROM places WHERE others IS NOT NULL),
+freed AS (SELECT *, list_filter(inner_ones, lambda h: NOT list_contains(coalesce(before, []), h)) AS bare, list_filter(inner_ones, lambda h: NOT list_contains(coalesce(onset, []), h)) AS free, sets = 1 AND len(lasts) > 0 AND list_contains(onset, lasts[1]) AS ends FROM sided),
+led AS (SELECT *, CASE WHEN list_contains(ways, inner_ones[1] || '-' || inner_ones[2]) <> list_contains(ways, inner_ones[2] || '-' || inner_ones[1]) THEN CASE WHEN list_contains(ways, inner_ones[1] || '-' || inner_ones[2]) THEN inner_ones[1] ELSE inner_ones[2] END END AS lead1,
+ CASE WHEN list_contains(ways, free[1] || '-' || free[2]) <> list_contains(ways, free[2] || '-' || free[1]) THEN CASE WHEN list_contains(ways, free[1] || '-' || free[2]) THEN free[1] ELSE free[2] END END AS lead2 FROM freed),
+ruled AS (SELECT *, CASE WHEN len(others) = 1 THEN 'only' WHEN len(inner_ones) = 1 THEN 'inner' WHEN len(others) = 2 AND len(middles) = 1 THEN 'middle' WHEN len(lasts) = 1 AND len(before) = 1 AND len(bare) = 1 THEN 'before_last' WHEN len(inner_ones) = 2 AND lead1 IS NOT NULL THEN 'order'
+ WHEN ends AND len(free) = 1 THEN 'unplaced' WHEN ends AND len(free) = 2 AND lead2 IS NOT NULL THEN 'unplaced_order' WHEN len(next) = 1 AND list_contains(others, next[1]) THEN 'loose' END AS rule FROM led)"""
+
+
+@query("""SELECT f.region, f.first, CASE rule WHEN 'only' THEN others[1] WHEN 'inner' THEN inner_ones[1] WHEN 'middle' THEN middles[1] WHEN 'before_last' THEN bare[1] WHEN 'order' THEN lead1 WHEN 'unplaced' THEN free[1] WHEN 'unplaced_order' THEN lead2 WHEN 'loose' THEN next[1] END AS second, rule
+ FROM firsts f LEFT JOIN ruled r ON r.region = f.region""", (_COPIES,))
+def second_copies(spark, d):
+    """An order is an allele, its line numbers are copies, the least one comes first."""
+    h = lambda c: F.concat(F.lit("h"), c.cast("string"))
+    lines = X.t(spark, d, "lineitem").withColumns({"region": F.col("l_orderkey"), "hap": h(F.col("l_linenumber"))})
+    haps = lines.select("region", "hap", (F.col("l_returnflag") == "R").alias("is_last"), (F.col("l_quantity") < 10).alias("is_middle"))
+    links = lines.where("l_discount > 0.03").select("region", F.col("hap").alias("a"), h(F.col("l_suppkey") % 4 + 1).alias("b"))
+    directed = lines.select("region", F.col("hap").alias("a"), h(F.col("l_partkey") % 5 + 1).alias("b"))
+    loose = lines.select("region", h(F.col("l_suppkey") % 3 + 1).alias("a"), F.col("hap").alias("b"), (F.col("l_quantity").cast("int") % 6).alias("n"))
+    placed = lines.where("l_partkey % 3 = 0").select("region", F.col("l_linestatus").alias("allele"), "hap")
+    return O.second_copy(haps, haps.groupBy("region").agg(F.min("hap").alias("hap")), links, directed, loose, placed, K)
