@@ -78,12 +78,12 @@ def pivot_tokens(spark, d):
     return N.pivot_tokens(x, ["pos"], "G", "G-2NN")
 
 
-@query("""SELECT s_suppkey AS sample, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2, coalesce(n1, 0) >= 2 AS has1, coalesce(n2, 0) + s_nationkey % 3 >= 2 AS has2 FROM supplier LEFT JOIN (
- SELECT l_suppkey, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_orderkey END) AS n1, count(DISTINCT CASE WHEN l_returnflag = 'A' AND l_linenumber % 2 = 0 THEN l_orderkey END) AS n2 FROM lineitem WHERE l_discount > 0.09 GROUP BY 1) ON l_suppkey = s_suppkey""")
+@query("""SELECT o_orderkey AS sample, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2, coalesce(n1, 0) >= 2 AS has1, coalesce(n2, 0) + o_custkey % 3 >= 2 AS has2 FROM orders LEFT JOIN (
+ SELECT l_orderkey, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_linenumber END) AS n1, count(DISTINCT CASE WHEN l_returnflag = 'A' AND l_partkey % 2 = 0 THEN l_linenumber END) AS n2 FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def splice_presence(spark, d):
-    flag, line = F.col("l_returnflag"), F.col("l_linenumber")
-    bases = X.t(spark, d, "lineitem").where("l_discount > 0.09").select(F.col("l_suppkey").alias("sample"), F.col("l_orderkey").alias("read"), F.when(flag == "R", "c").when(flag == "A", "T").otherwise("A").alias("base"), F.when(line % 2 == 1, "C").when(line % 4 == 0, "G").alias("next"))
-    gone = X.t(spark, d, "supplier").select(F.col("s_suppkey").alias("sample"), (F.col("s_nationkey") % 3).cast("long").alias("n"))
+    flag, part = F.col("l_returnflag"), F.col("l_partkey")
+    bases = X.t(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample"), F.col("l_linenumber").alias("read"), F.when(flag == "R", "c").when(flag == "A", "T").otherwise("A").alias("base"), F.when(part % 2 == 1, "C").when(part % 4 == 0, "G").alias("next"))
+    gone = X.t(spark, d, "orders").select(F.col("o_orderkey").alias("sample"), (F.col("o_custkey") % 3).cast("long").alias("n"))
     return N.splice_presence(bases, gone, ["sample"])
 
 

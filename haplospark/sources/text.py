@@ -25,7 +25,7 @@ def tag(rest: Column, name: str) -> Column:
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """Alignments: read, flag, chrom, start (0-based), end, mapq, cigar, seq, qual, nm, aligned, ref_length, sample-independent. Header lines are left out."""
     lines = spark.read.text(path).where(~F.col("value").startswith("@")).select("value", F.split("value", "\t").alias("f"))
-    rest = F.array_join(F.slice("f", 12, 1000), "\t")
+    rest = F.array_join(F.slice("f", 12, F.size("f")), "\t")
     x = lines.select(
         F.col("f")[0].alias("read"), F.col("f")[1].cast("int").alias("flag"), F.col("f")[2].alias("chrom"), (F.col("f")[3].cast("long") - 1).alias("start"), F.col("f")[4].cast("int").alias("mapq"),
         F.col("f")[5].alias("cigar"), F.col("f")[9].alias("seq"), F.col("f")[10].alias("qual"), tag(rest, "NM").cast("int").alias("nm"), tag(rest, "SA").alias("sa"), tag(rest, "rq").cast("double").alias("rq"),
@@ -66,13 +66,13 @@ def reference_slice(sequences: DataFrame, name: str, start: int, end: int) -> Da
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """chrom, pos, ref, alt, filter, hap, gt of PASS rows without symbolic alternatives; columns 10 and on are haplotypes, named by the header."""
-    lines = spark.read.text(path)
-    header = lines.where(F.col("value").startswith("#CHROM")).select(F.slice(F.split("value", "\t"), 10, 10_000).alias("names")).limit(1)
+    """chrom, pos, ref, alt, filter, hap, gt of PASS rows without symbolic alternatives; columns 10 and on are haplotypes, named by the header of the
+    row's own file (null without one). Files meet their headers by name; a header is one row a file."""
     f = F.split("value", "\t")
-    rows = lines.where(~F.col("value").startswith("#")).select(f.alias("f")).where((F.col("f")[6] == "PASS") & ~F.col("f")[4].startswith("<"))
-    x = rows.join(F.broadcast(header))  # one header row
-    each = x.select("f", "names", F.posexplode(F.slice("f", 10, 10_000)).alias("i", "call"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    headers = lines.where(F.col("value").startswith("#CHROM")).select("file", F.slice(f, 10, F.size(f)).alias("names")).groupBy("file").agg(F.min("names").alias("names"))
+    rows = lines.where(~F.col("value").startswith("#")).select("file", f.alias("f")).where((F.col("f")[6] == "PASS") & ~F.col("f")[4].startswith("<"))
+    each = rows.join(headers, "file", "left").select("f", "names", F.posexplode(F.slice("f", 10, F.size("f"))).alias("i", "call"))
     return each.select(F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("pos"), F.col("f")[3].alias("ref"), F.col("f")[4].alias("alt"), F.col("f")[6].alias("filter"), F.get("names", F.col("i")).alias("hap"), F.split("call", ":")[0].alias("gt"))
 
 
