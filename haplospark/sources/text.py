@@ -85,6 +85,12 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return x.withColumn("__n", F.row_number().over(Window.partitionBy("gene").orderBy(order))).where("__n = 1").drop("__n")
 
 
+def read_known_variants(spark: SparkSession, path: str) -> DataFrame:
+    """code (position_ref_alt of the second to fourth column) and label, the last column; columns are parted by white space, shorter lines left out."""
+    f = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).where(F.size(f) >= 4).select(F.concat_ws("_", f[1], f[2], f[3]).alias("code"), F.element_at(f, -1).alias("label"))
+
+
 def read_depth_file(spark: SparkSession, path: str) -> DataFrame:
     """sample, depth: first and last column."""
     f = F.split(F.trim("value"), r"\s+")
