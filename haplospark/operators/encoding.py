@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haplospark.operators.rounds import written
 from haplospark.operators.runs import clip_anchors
 
 SITE = ["pos", "ref", "alt"]
@@ -75,7 +76,7 @@ def strings(symbols: DataFrame, sites: DataFrame, keys: list[str]) -> DataFrame:
 def encode_twice(calls: DataFrame, reads: DataFrame, sites: DataFrame, keys: list[str], *, clips: DataFrame, bases: DataFrame, kept: DataFrame, homs: DataFrame, added: DataFrame, also_ref: DataFrame | None = None, buffer: int = 20, least_clip: int = 50, shift: int = 30) -> tuple[DataFrame, DataFrame]:
     """-> (keys, read, hap; the sites of its symbols keys, pos, ref, alt, absent). The first round judges the sites; the second encodes the reads over those
     that stay, ``added`` ones and anchors around clips. 0 stands wherever a clip makes a read absent, whatever base it has there; a hom site's absent
-    symbol is x. Reads with neither a call at a site nor a clip have no row, nor do reads of a key whose sites all go; empty tables give no rows."""
+    symbol is x. The judged sites are written in ``spark.checkpoint.dir``. Reads with neither a call at a site nor a clip have no row, nor do reads of a key whose sites all go; empty tables give no rows."""
 
     def absent(at: DataFrame) -> DataFrame:
         return clipped_symbols(reads, clips, at, keys, buffer, least_clip).withColumn("zero", F.lit(True)).distinct()
@@ -84,7 +85,8 @@ def encode_twice(calls: DataFrame, reads: DataFrame, sites: DataFrame, keys: lis
         both = site_symbols(calls, at, keys, also_ref).join(absent(at), [*keys, "read", *SITE], "full")
         return both.select(*keys, "read", *SITE, F.when(F.col("zero"), "0").otherwise(F.col("symbol")).alias("symbol"))
 
-    judged = judged_sites(over(sites), sites, keys, kept, homs).where("keep").select(*keys, *SITE, "absent")
+    # written, as all that follows reads the judged sites several times, and would count all calls anew each time
+    judged = written(judged_sites(over(sites), sites, keys, kept, homs).where("keep").select(*keys, *SITE, "absent"), "judged-sites")
     more = added.select(*keys, *SITE).distinct().join(judged, [*keys, *SITE], "left_anti")
     stay = judged.unionByName(more.withColumn("absent", F.lit(None).cast("string")))
     around = anchor_sites(stay, clips, bases, keys, shift).join(stay, [*keys, *SITE], "left_anti")
