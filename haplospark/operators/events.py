@@ -27,13 +27,15 @@ def cigar_blocks(cigar: Column, start: Column) -> Column:
 
 def clip_sites(alignments: DataFrame, regions: DataFrame, known: DataFrame, keys: list[str], clip: int = 800, least: int = 6, inside: int = 1000, near: int = 100) -> DataFrame:
     """alignments(keys, start, end, cigar), regions(keys, left, right), known(keys, side, first, last) -> keys, side, pos, n: positions where ``least``
-    reads or more are clipped by ``clip`` bases, ``inside`` the region, off the known spans, and more than ``near`` behind the last one kept."""
+    reads or more are clipped by ``clip`` bases, ``inside`` the region, off the known spans (met by bins), and more than ``near`` behind the last one kept."""
     left = alignments.where(clip_size(F.col("cigar"), "left") >= clip).select(*keys, F.lit("5p").alias("side"), F.col("start").alias("pos"))
     right = alignments.where(clip_size(F.col("cigar"), "right") >= clip).select(*keys, F.lit("3p").alias("side"), F.col("end").alias("pos"))
     counted = left.unionByName(right).groupBy(*keys, "side", "pos").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     within = counted.join(regions, keys).where((F.col("pos") > F.col("left") + inside) & (F.col("pos") < F.col("right") - inside))
-    spans = known.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("side").alias("_side"), "first", "last")
-    on = [F.col(k) == F.col(f"_{k}") for k in [*keys, "side"]] + [F.col("last") >= F.col("pos") - near, F.col("first") < F.col("pos") + near]
+    wide = 10 * near + 1
+    bins = F.explode(F.sequence(F.floor((F.col("first") - near) / wide), F.floor((F.col("last") + near) / wide)))
+    spans = known.where(F.col("first") <= F.col("last")).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("side").alias("_side"), "first", "last", bins.alias("_bin"))
+    on = [F.col(k) == F.col(f"_{k}") for k in [*keys, "side"]] + [F.floor(F.col("pos") / wide) == F.col("_bin"), F.col("last") >= F.col("pos") - near, F.col("first") < F.col("pos") + near]
     free = within.join(spans, on, "left_anti").select(*keys, "side", "pos", "n")
     sites = free.groupBy(*keys, "side").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("s"))  # recurrent positions of a region alone
     apart = lambda kept, x: F.when((F.size(kept) == 0) | (x["pos"] - F.element_at(kept, -1)["pos"] > near), F.concat(kept, F.array(x))).otherwise(kept)
@@ -101,14 +103,16 @@ def without_spurious(haps: DataFrame, flanks: DataFrame, keys: list[str], matche
     return haps.join(drop, [*keys, "hap"], "left_anti").select(*keys, "hap", "n")
 
 
-def variants_of_haps(haps: DataFrame, sites: list[tuple[int, str]], homs: DataFrame, keys: list[str], left: int, right: int) -> DataFrame:
+def variants_of_haps(haps: DataFrame, sites: list[tuple[int, str]], homs: DataFrame, keys: list[str], left: int, right: int, width: int = 10_000) -> DataFrame:
     """haps(keys, hap), sites (position, code) of its symbols, homs(keys, pos, code) -> keys, hap, first, last, variants: codes of the sites where it has
-    2 and of the hom sites within the range that it may span, by position."""
+    2 and of the hom sites within the range that it may span, by position. Hom sites meet ranges by bins of ``width``."""
     at = hap_range(F.col("hap"), F.array(*[F.lit(p) for p, _ in sites]), F.lit(left), F.lit(right))
     ranged = haps.select(*keys, "hap").distinct().withColumn("r", at).select(*keys, "hap", "r.first", "r.last")
     named = F.create_map(*[F.lit(v) for i, (p, c) in enumerate(sites) for v in (i, c)])
     placed = F.create_map(*[F.lit(v) for i, (p, c) in enumerate(sites) for v in (i, p)])
     own = explode_haps(ranged.select(*keys, "hap"), keys).where("symbol = '2'").select(*keys, "hap", placed[F.col("idx")].cast("long").alias("pos"), named[F.col("idx")].alias("code"))
-    shared = ranged.join(homs, keys).where(F.col("pos").between(F.col("first"), F.col("last"))).select(*keys, "hap", F.col("pos").cast("long").alias("pos"), "code")
+    bins = F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width)))
+    met = ranged.where(F.col("first") <= F.col("last")).withColumn("bin", bins).join(homs.withColumn("bin", F.floor(F.col("pos") / width)), [*keys, "bin"])
+    shared = met.where(F.col("pos").between(F.col("first"), F.col("last"))).select(*keys, "hap", F.col("pos").cast("long").alias("pos"), "code")
     listed = own.unionByName(shared).distinct().groupBy(*keys, "hap").agg(F.array_sort(F.collect_list(F.struct("pos", "code"))).code.alias("variants"))
     return ranged.join(listed, [*keys, "hap"], "left").select(*keys, "hap", "first", "last", F.coalesce("variants", F.array().cast("array<string>")).alias("variants"))

@@ -29,11 +29,13 @@ def letter_runs(text: Column, letters: str, least: int = 5) -> Column:
 
 def gap_fill(het: DataFrame, hom: DataFrame, regions: DataFrame, keys: list[str], gap: int = 10_000, most: int = 10) -> DataFrame:
     """het and hom(keys, pos), regions(keys, start, end) -> hom sites to add: those in a gap wider than ``gap`` between het sites or
-    the region's ends, thinned by a stride to ``most`` a gap."""
+    the region's ends, thinned by a stride to ``most`` a gap. Sites meet gaps by bins as wide as ``gap``."""
     ends = regions.select(*keys, F.explode(F.array("start", "end")).alias("pos"))
     w = Window.partitionBy(*keys).orderBy("pos")
     gaps = het.select(*keys, "pos").unionByName(ends).distinct().withColumn("next", F.lead("pos").over(w)).where(F.col("next") - F.col("pos") > gap).select(*keys, F.col("pos").alias("gap_start"), F.col("next").alias("gap_end"))
-    inside = hom.join(gaps, keys).where((F.col("pos") > F.col("gap_start")) & (F.col("pos") < F.col("gap_end")))
+    binned = gaps.withColumn("bin", F.explode(F.sequence(F.floor(F.col("gap_start") / gap), F.floor(F.col("gap_end") / gap))))
+    met = hom.withColumn("bin", F.floor(F.col("pos") / gap)).join(binned, [*keys, "bin"])
+    inside = met.where((F.col("pos") > F.col("gap_start")) & (F.col("pos") < F.col("gap_end"))).drop("bin")
     at = Window.partitionBy(*keys, "gap_start")
     x = inside.withColumn("i", F.row_number().over(at.orderBy("pos")) - 1).withColumn("stride", F.ceil(F.count("*").over(at) / most))
     return x.where(F.col("i") % F.col("stride") == 0).select(*keys, "pos", "gap_start", "gap_end")
