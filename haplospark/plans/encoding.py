@@ -8,6 +8,7 @@ from haplospark.operators import encoding as E
 from haplospark.plans import analogues as X
 from haplospark.plans.analogues import READS, SITES
 from haplospark.plans.queries import K, query
+from haplospark.plans.regions import clip_of
 
 _SITE = lambda s: F.struct(F.lit(s).alias("pos"), F.lit("A").alias("ref"), F.lit("C").alias("alt"))
 
@@ -61,3 +62,14 @@ def deletions_marked(spark, d):
     site = lambda s: F.struct(F.lit(10 * s).alias("pos"), F.lit(f"{10 * s}_A_C").alias("code"))
     sites = orders.select(F.col("o_orderpriority").alias("region")).distinct().select("region", F.inline(F.array(*map(site, SITES))))
     return E.mark_deletions(X.reads(spark, d), sites, deletions, evidence, K)[0]
+
+
+@query("""SELECT region, hap, coalesce(clip, CASE WHEN NOT absent THEN 0 END) AS clip FROM (SELECT region, hap, bool_or(s = '0') AS absent FROM called GROUP BY 1, 2) LEFT JOIN found USING (region, hap)""", (READS,
+    "called AS (SELECT *, lead(s) OVER w AS \"then\", lead(pos) OVER w AS next_pos FROM (SELECT region, hap, 10 * i AS pos, replace(hap[i], '2', '0') AS s FROM (SELECT DISTINCT region, hap FROM reads), (SELECT unnest(range(1, 8)) AS i)) WHERE s <> 'x' WINDOW w AS (PARTITION BY region, hap ORDER BY pos))",
+    "found AS (SELECT region, hap, min(clip) AS clip FROM called, (VALUES (15), (35), (55)) c(clip) WHERE s = '0' AND \"then\" <> '0' AND clip BETWEEN pos AND next_pos AND next_pos - pos <= 20 GROUP BY 1, 2)"))
+def clips_of_haps(spark, d):
+    """Distinct strings of reads are haplotypes, 2 stands for absence; each region has three clips."""
+    reads = X.reads(spark, d).select("region", "hap").distinct()
+    at = reads.select("region", "hap", F.posexplode(F.split(F.replace("hap", F.lit("2"), F.lit("0")), "")).alias("i", "symbol")).select("region", "hap", ((F.col("i") + 1) * 10).alias("pos"), "symbol")
+    clips = reads.select("region").distinct().select("region", F.explode(F.array(F.lit(15), F.lit(35), F.lit(55))).alias("clip"))
+    return clip_of(at, K, clips, "5p", 10)

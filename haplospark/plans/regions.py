@@ -103,14 +103,16 @@ def best_group(distances: DataFrame, keys: list[str], most: int = 15, close: int
 
 def clip_of(hap_sites: DataFrame, keys: list[str], clips: DataFrame, side: str, within: int = 5000) -> DataFrame:
     """hap_sites(keys, hap, pos, symbol), clips(keys, clip) -> keys, hap, clip: the position where the string turns from absent (0) to called
-    (side 5p) or from called to absent (3p); x between is passed over if the clip is within reach; 0 if all is called; else null."""
+    (side 5p) or from called to absent (3p); x between is passed over if the clip is within reach; 0 if all is called; else null. Turns meet clips by bins."""
     called = hap_sites.where("symbol <> 'x'")
     w = Window.partitionBy(*keys, "hap").orderBy("pos")
     x = called.withColumn("next", F.lead("symbol").over(w)).withColumn("next_pos", F.lead("pos").over(w))
     turn = (F.col("symbol") == "0") & (F.col("next") != "0") if side == "5p" else (F.col("symbol") != "0") & (F.col("next") == "0")
     turns = x.where(turn).select(*keys, "hap", "pos", "next_pos")
-    right = clips.select(*keys, "clip")
-    at = turns.join(right, keys).where((F.col("clip") >= F.col("pos")) & (F.col("clip") <= F.col("next_pos")) & (F.col("next_pos") - F.col("pos") <= 2 * within))
+    wide = 2 * within
+    bins = F.explode(F.sequence(F.floor(F.col("pos") / wide), F.floor(F.col("next_pos") / wide)))
+    near = turns.where(F.col("next_pos") - F.col("pos") <= wide).withColumn("bin", bins)
+    at = near.join(clips.select(*keys, "clip", F.floor(F.col("clip") / wide).alias("bin")), [*keys, "bin"]).where((F.col("clip") >= F.col("pos")) & (F.col("clip") <= F.col("next_pos")))
     found = at.groupBy(*keys, "hap").agg(F.min("clip").alias("clip"))
     through = called.groupBy(*keys, "hap").agg(F.max(F.col("symbol") == "0").alias("absent"))
     return through.join(found, [*keys, "hap"], "left").select(*keys, "hap", F.coalesce("clip", F.when(~F.col("absent"), 0)).alias("clip"))
