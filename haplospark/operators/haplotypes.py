@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haplospark.functions.strings import compare_haps
+from haplospark.operators.rounds import written
+
+#: Room for a symbol's code point beside its site.
+_SITE = 1 << 21
 
 
 def encode_reads(symbols: DataFrame, keys: list[str], sites: list, least: int = 0) -> DataFrame:
@@ -34,47 +35,79 @@ def drop_sites(haps: DataFrame, keys: list[str]) -> DataFrame:
     return each.withColumn("why", why).where(F.col("why").isNotNull())
 
 
+def _calls(hap: Column) -> Column:
+    """The called sites of a string as numbers that hold site and symbol."""
+    return F.filter(F.transform(F.split(hap, ""), lambda c, i: F.when(c != "x", i.cast("long") * _SITE + F.ascii(c))), lambda c: c.isNotNull())
+
+
+def compared(reads: DataFrame, haps: DataFrame, keys: list[str]) -> DataFrame:
+    """reads(keys, hap), haps(keys, hap) -> keys, read_hap, hap, match, mismatch of each distinct read string and haplotype of its key. How many pairs there are follows from
+    the strings, not from the reads; calls are made once a string, a pair costs two intersections of numbers."""
+    sites = lambda calls: F.transform(calls, lambda c: F.shiftright(c, 21))
+    one = lambda rows, name, side: rows.select(*keys, F.col("hap").alias(name), _calls(F.col("hap")).alias(f"_{side}")).withColumn(f"_{side}_sites", sites(F.col(f"_{side}")))
+    pairs = one(reads.select(*keys, "hap").distinct(), "read_hap", "a").join(one(haps, "hap", "b"), keys)
+    x = pairs.select(*keys, "read_hap", "hap", F.size(F.array_intersect("_a", "_b")).alias("match"), F.size(F.array_intersect("_a_sites", "_b_sites")).alias("both"))
+    return x.select(*keys, "read_hap", "hap", "match", (F.col("both") - F.col("match")).alias("mismatch"))
+
+
+def string_matches(reads: DataFrame, haps: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, read_hap, hap, match: distinct read strings and haplotypes without a mismatch and with a match."""
+    return compared(reads, haps.select(*keys, "hap").distinct(), keys).where("mismatch = 0 AND match >= 1").drop("mismatch")
+
+
+def of_reads(reads: DataFrame, strings: DataFrame, keys: list[str]) -> DataFrame:
+    """reads(keys, read, hap) with what strings(keys, read_hap, ...) say of their strings."""
+    return reads.withColumnRenamed("hap", "read_hap").join(strings, [*keys, "read_hap"])
+
+
 def match_reads(reads: DataFrame, haps: DataFrame, keys: list[str]) -> DataFrame:
     """reads(keys, read, hap), haps(keys, hap) -> keys, read, read_hap, hap, match: pairs without a mismatch and with a match.
-    Distinct read strings meet the haplotypes of their own key, which are few; reads are joined back."""
-    strings = reads.select(*keys, F.col("hap").alias("read_hap")).distinct()
-    pairs = strings.join(haps.select(*keys, "hap"), keys).withColumn("c", compare_haps(F.col("read_hap"), F.col("hap")))
-    hits = pairs.where((F.col("c.mismatch") == 0) & (F.col("c.match") >= 1)).select(*keys, "read_hap", "hap", F.col("c.match").alias("match"))
-    return reads.withColumnRenamed("hap", "read_hap").join(hits, [*keys, "read_hap"])
+    Distinct read strings meet the haplotypes of their own key; reads are joined back."""
+    return of_reads(reads, string_matches(reads, haps, keys), keys)
+
+
+def sole_matches(matches: DataFrame, keys: list[str]) -> DataFrame:
+    """matches(keys, read_hap, hap), each once -> keys, read_hap, hap where the haplotype is the string's only match, or shares no called site with any other:
+    as many sites where it alone is called as it has calls."""
+    each = matches.select(*keys, "read_hap", "hap", F.posexplode(F.split("hap", ""))).where("col <> 'x'")
+    alone = each.groupBy(*keys, "read_hap", "pos").agg(F.count("*").alias("n"), F.min("hap").alias("hap")).where("n = 1")
+    calls = F.length(F.replace("hap", F.lit("x"), F.lit("")))
+    return alone.groupBy(*keys, "read_hap", "hap").agg(F.count("*").alias("n")).where(F.col("n") == calls).drop("n")
 
 
 def unique_support(matches: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, read, hap where the haplotype is the read's only match, or shares no called site with any other match. What a read matches
-    follows from its string, so distinct strings are judged and reads joined back."""
-    x = matches.select(*keys, "read_hap", "hap").distinct()
-    other = x.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("read_hap").alias("_read_hap"), F.col("hap").alias("other"))
-    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys], (F.col("read_hap") == F.col("_read_hap")) & (F.col("hap") != F.col("other")))
-    share = F.exists(F.zip_with(F.split("hap", ""), F.split("other", ""), lambda a, b: (a != "x") & (b != "x")), lambda v: v)
-    unique = x.join(other, on & share, "left_anti")
+    """matches(keys, read, read_hap, hap) -> keys, read, hap where the haplotype is the read's only match, or shares no called site with any other match. What a
+    read matches follows from its string; ``sole_matches`` and ``of_reads`` do the same without the matches of all reads."""
+    unique = sole_matches(matches.select(*keys, "read_hap", "hap").distinct(), keys)
     return matches.join(unique, [*keys, "read_hap", "hap"], "left_semi").select(*keys, "read", "hap").distinct()
 
 
-def shared_reads(matches: DataFrame, keys: list[str]) -> DataFrame:
-    """Reads with more than one match, and what they match."""
-    return matches.groupBy(*keys, "read").agg(F.array_sort(F.collect_set("hap")).alias("haps")).where(F.size("haps") > 1)
+def shared_reads(matches: DataFrame, keys: list[str], of: str = "read") -> DataFrame:
+    """Reads with more than one match, and what they match; with ``of`` read_hap, strings."""
+    return matches.groupBy(*keys, of).agg(F.array_sort(F.collect_set("hap")).alias("haps")).where(F.size("haps") > 1)
 
 
 def low_support(reads: DataFrame, haps: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
-    """haps left after dropping those without unique reads, then those with fewer than ``least``. Whatever is dropped, a read that
+    """haps left after dropping those without unique reads, then those with fewer than ``least``; a read has one row. Whatever is dropped, a read that
     is unique to a haplotype stays so, hence the second drop leaves none with too few: repeating it would change nothing."""
-    now = haps.select(*keys, "hap").distinct()
+    counts = written(reads.groupBy(*keys, "hap").agg(F.count("*").alias("n")), "strings")
+    strings, now = counts.withColumnRenamed("hap", "read_hap"), haps
     for floor in (1, least):
-        support = unique_support(match_reads(reads, now, keys), keys).groupBy(*keys, "hap").agg(F.count("*").alias("n"))
+        support = sole_matches(string_matches(counts, now, keys), keys).join(strings, [*keys, "read_hap"]).groupBy(*keys, "hap").agg(F.sum("n").alias("n"))
         now = support.where(F.col("n") >= floor).select(*keys, "hap")
     return now
 
 
+def closest_strings(reads: DataFrame, haps: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, read_hap, hap, mismatch: of distinct read strings, the haplotype with one or two mismatches, if the next has at least two more."""
+    least = compared(reads, haps, keys).groupBy(*keys, "read_hap").agg(F.min(F.struct("mismatch", "hap")).alias("m"), *[F.count_if(F.col("mismatch") <= k).alias(f"to{k}") for k in (2, 3)])
+    alone = F.when(F.col("m.mismatch") == 1, F.col("to2") == 1).when(F.col("m.mismatch") == 2, F.col("to3") == 1)
+    return least.where(alone).select(*keys, "read_hap", "m.hap", "m.mismatch")
+
+
 def closest_hap(reads: DataFrame, haps: DataFrame, keys: list[str]) -> DataFrame:
     """For reads: the haplotype with one or two mismatches, if the next has at least two more; keys, read, hap, mismatch."""
-    pairs = reads.withColumnRenamed("hap", "read_hap").join(haps.select(*keys, "hap"), keys).withColumn("mismatch", compare_haps(F.col("read_hap"), F.col("hap")).mismatch)
-    order = Window.partitionBy(*keys, "read").orderBy("mismatch", "hap")
-    x = pairs.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("mismatch").over(order))
-    return x.where((F.col("rank") == 1) & F.col("mismatch").between(1, 2) & (F.col("next").isNull() | (F.col("next") >= F.col("mismatch") + 2))).select(*keys, "read", "hap", "mismatch")
+    return of_reads(reads, closest_strings(reads, haps, keys), keys).select(*keys, "read", "hap", "mismatch")
 
 
 def covered_stretch(depths: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
@@ -91,9 +124,12 @@ def name_haps(haps: DataFrame, keys: list[str], prefix: Column) -> DataFrame:
     return haps.withColumn("name", F.concat(prefix, F.lit("_hap"), F.row_number().over(order).cast("string")))
 
 
-def tag_reads(reads: DataFrame, unique: DataFrame, closest: DataFrame, shared: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, read, tag: the unique haplotype, else the closest, else one of those it matches by the read's hash, else Unassigned."""
+def tag_reads(reads: DataFrame, unique: DataFrame, closest: DataFrame, shared: DataFrame, keys: list[str], of: str = "read") -> DataFrame:
+    """keys, read, tag: the unique haplotype, else the closest, else one of those it matches by the read's hash, else Unassigned. ``of`` read_hap: reads(keys, read, hap), and
+    the other three have a row a string; they are joined first, so that reads are joined once."""
     pick = F.element_at("haps", (F.pmod(F.xxhash64("read"), F.size("haps")) + 1).cast("int"))
-    one = unique.groupBy(*keys, "read").agg(F.min("hap").alias("u"))
-    x = reads.select(*keys, "read").join(one, [*keys, "read"], "left").join(closest.select(*keys, "read", F.col("hap").alias("c")), [*keys, "read"], "left").join(shared, [*keys, "read"], "left")
+    on = [*keys, of]
+    one = unique.groupBy(*on).agg(F.min("hap").alias("u"))
+    known = one.join(closest.select(*on, F.col("hap").alias("c")), on, "full").join(shared, on, "full")
+    x = (reads.select(*keys, "read") if of == "read" else reads.select(*keys, "read", F.col("hap").alias(of))).join(known, on, "left")
     return x.select(*keys, "read", F.coalesce("u", "c", pick, F.lit("Unassigned")).alias("tag"))

@@ -16,6 +16,7 @@ from haplospark.operators import intervals as I
 from haplospark.operators import pileup as P
 from haplospark.operators import runs as R
 from haplospark.operators import variants as V
+from haplospark.operators.rounds import written
 from haplospark.plans import analogues as X
 from haplospark.plans.analogues import CONTROLS, DEPTHS, HAPS, HISTOGRAM, READS, SPANS, TOKENS
 
@@ -328,12 +329,15 @@ _SHARE = " OR ".join(f"(x.hap[{i}] <> 'x' AND y.hap[{i}] <> 'x')" for i in range
 
 @query(f"SELECT region, read, hap FROM hits x WHERE match >= 1 AND NOT EXISTS (SELECT 1 FROM hits y WHERE y.match >= 1 AND y.region = x.region AND y.read = x.read AND y.hap <> x.hap AND ({_SHARE}))", (READS, HAPS, _PAIR_SQL, _HITS))
 def unique_support(spark, d):
-    return H.unique_support(_matches(spark, d), K)
+    reads = X.reads(spark, d)
+    return H.of_reads(reads, H.sole_matches(H.string_matches(reads, X.haps(spark, d), K), K), K).select("region", "read", "hap")
 
 
 @query("SELECT region, read, array_to_string(list(hap ORDER BY hap), ',') AS haps FROM hits WHERE match >= 1 GROUP BY 1, 2 HAVING count(*) > 1", (READS, HAPS, _PAIR_SQL, _HITS))
 def nonunique_reads(spark, d):
-    return H.shared_reads(_matches(spark, d), K).withColumn("haps", F.array_join("haps", ","))
+    reads = X.reads(spark, d)
+    shared = H.shared_reads(H.string_matches(reads, X.haps(spark, d), K), K, "read_hap").withColumn("haps", F.array_join("haps", ","))
+    return H.of_reads(reads, shared, K).select("region", "read", "haps")
 
 
 _LONE = lambda hits: f"NOT EXISTS (SELECT 1 FROM {hits} y WHERE y.region = x.region AND y.read = x.read AND y.hap <> x.hap AND ({_SHARE}))"
@@ -373,8 +377,9 @@ def hap_naming(spark, d):
 
 @query()
 def tag_hash_assign(spark, d):
-    reads, haps, m = X.reads(spark, d), X.haps(spark, d), _matches(spark, d)
-    return H.tag_reads(reads, H.unique_support(m, K), H.closest_hap(reads, haps, K), H.shared_reads(m, K), K)
+    reads, haps = X.reads(spark, d), X.haps(spark, d)
+    m = written(H.string_matches(reads, haps, K), "matches")
+    return H.tag_reads(reads, H.sole_matches(m, K), H.closest_strings(reads, haps, K), H.shared_reads(m, K, "read_hap"), K, "read_hap")
 
 
 # Windows
