@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from haplospark.operators.rounds import written
+
+#: Known variants up to which they are broadcast.
+BROADCAST_ROWS = 300_000
+
 
 def _meeting(start: Column, end: Column, overlap: int) -> Column:
     """Multiples of ``overlap`` in a span: two spans that share so many positions share one."""
@@ -16,16 +21,18 @@ def haplogroup_distances(queries: DataFrame, known: DataFrame, query_variants: D
     """queries(hap, start, end), known(name, haplogroup, start, end), query_variants(hap, pos, variant), known_variants(name, pos, variant) -> hap, name, haplogroup,
     distance: for spans that share ``overlap`` positions, variants in the shared stretch that one has and the other lacks.
 
-    Pairs of spans meet at a multiple of ``overlap`` inside both, shared variants by an index of variants; the distance is what each has
-    there, less twice what they share. No pair is compared that does not overlap."""
+    Pairs of spans meet at a multiple of ``overlap`` inside both; the distance is what each has there, counted once a stretch, less twice what they share. A query's variants in
+    a stretch are looked up in the known ones and counted in the same stage, so that they are not shuffled where the known ones can be broadcast. No pair is compared that
+    does not overlap."""
     x = queries.select("hap", F.col("start").alias("s1"), F.col("end").alias("e1"), F.explode(_meeting(F.col("start"), F.col("end"), overlap)).alias("at"))
     y = known.select("name", "haplogroup", F.col("start").alias("s2"), F.col("end").alias("e2"), F.explode(_meeting(F.col("start"), F.col("end"), overlap)).alias("at"))
     pairs = x.join(y, "at").select("hap", "name", "haplogroup", F.greatest("s1", "s2").alias("first"), F.least("e1", "e2").alias("last")).where(F.col("last") - F.col("first") >= overlap).distinct()
-    own, other = query_variants.select("hap", "pos", "variant").distinct(), known_variants.select("name", "pos", "variant").distinct()
+    own, other = query_variants.select("hap", "pos", "variant").distinct(), written(known_variants.select("name", "pos", "variant").distinct(), "known")
     inside = F.col("pos").between(F.col("first"), F.col("last"))
-    count = lambda side, key, name: pairs.join(side, key).where(inside).groupBy("hap", "name").agg(F.count("*").alias(name))
-    shared = own.join(other, ["pos", "variant"]).join(pairs, ["hap", "name"]).where(inside).groupBy("hap", "name").agg(F.count("*").alias("both"))
-    both = pairs.join(count(own, "hap", "n1"), ["hap", "name"], "left").join(count(other, "name", "n2"), ["hap", "name"], "left").join(shared, ["hap", "name"], "left").fillna(0, ["n1", "n2", "both"])
+    stretch = lambda side, key, name: pairs.select(key, "first", "last").distinct().join(side, key).where(inside).groupBy(key, "first", "last").agg(F.count("*").alias(name))
+    index = F.broadcast(other) if other.count() <= BROADCAST_ROWS else other
+    shared = pairs.select("hap", "name", "first", "last").join(own, "hap").where(inside).join(index, ["name", "pos", "variant"]).groupBy("hap", "name").agg(F.count("*").alias("both"))
+    both = pairs.join(stretch(own, "hap", "n1"), ["hap", "first", "last"], "left").join(stretch(other, "name", "n2"), ["name", "first", "last"], "left").join(shared, ["hap", "name"], "left").fillna(0, ["n1", "n2", "both"])
     return both.select("hap", "name", "haplogroup", (F.col("n1") + F.col("n2") - 2 * F.col("both")).alias("distance"))
 
 
