@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from haplospark.operators.rounds import written
 
-#: Room for a symbol's code point beside its site.
-_SITE = 1 << 21
+#: Parts of a key's strings.
+SALTS = 16
 
 
 def encode_reads(symbols: DataFrame, keys: list[str], sites: list, least: int = 0) -> DataFrame:
@@ -35,19 +35,27 @@ def drop_sites(haps: DataFrame, keys: list[str]) -> DataFrame:
     return each.withColumn("why", why).where(F.col("why").isNotNull())
 
 
-def _calls(hap: Column) -> Column:
-    """The called sites of a string as numbers that hold site and symbol."""
-    return F.filter(F.transform(F.split(hap, ""), lambda c, i: F.when(c != "x", i.cast("long") * _SITE + F.ascii(c))), lambda c: c.isNotNull())
+def _calls(hap: str, first: int) -> Column:
+    """The symbols of seven sites from ``first`` on as the bytes of a number, 0 for x and behind the end."""
+    return F.conv(F.hex(F.rpad(F.substring(hap, first + 1, 7), 7, "x")), 16, 10).cast("long").bitwiseXOR(F.lit(0x78787878787878))
 
 
 def compared(reads: DataFrame, haps: DataFrame, keys: list[str]) -> DataFrame:
-    """reads(keys, hap), haps(keys, hap) -> keys, read_hap, hap, match, mismatch of each distinct read string and haplotype of its key. How many pairs there are follows from
-    the strings, not from the reads; calls are made once a string, a pair costs two intersections of numbers."""
-    sites = lambda calls: F.transform(calls, lambda c: F.shiftright(c, 21))
-    one = lambda rows, name, side: rows.select(*keys, F.col("hap").alias(name), _calls(F.col("hap")).alias(f"_{side}")).withColumn(f"_{side}_sites", sites(F.col(f"_{side}")))
-    pairs = one(reads.select(*keys, "hap").distinct(), "read_hap", "a").join(one(haps, "hap", "b"), keys)
-    x = pairs.select(*keys, "read_hap", "hap", F.size(F.array_intersect("_a", "_b")).alias("match"), F.size(F.array_intersect("_a_sites", "_b_sites")).alias("both"))
-    return x.select(*keys, "read_hap", "hap", "match", (F.col("both") - F.col("match")).alias("mismatch"))
+    """reads(keys, hap), haps(keys, hap), strings of one length and of ASCII symbols -> keys, read_hap, hap, match, mismatch of each distinct read string and haplotype of its
+    key. How many pairs there are follows from the strings, not from the reads; a pair costs a few operations on bits for seven sites. Strings are few bytes and many pairs:
+    they are dealt by salt and keep all partitions."""
+    strings = written(reads.select(*keys, F.col("hap").alias("read_hap")).distinct(), "strings")
+    starts = range(0, strings.agg(F.max(F.length("read_hap"))).first()[0] or 0, 7)
+    one = lambda rows, hap, side: rows.select(*keys, hap, *[_calls(hap, i).alias(f"_{side}{i}") for i in starts])
+    left = one(strings, "read_hap", "a").withColumn("_salt", F.pmod(F.hash("read_hap"), F.lit(SALTS)))
+    right = one(haps, "hap", "b").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = left.repartition(int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_salt").join(right, [*keys, "_salt"])
+    high, low = F.lit(0x80808080808080), F.lit(0x7F7F7F7F7F7F7F)
+    some = lambda v: (v + low).bitwiseAND(high)  # noqa: E731  the high bit of each byte that isn't 0
+    both = [some(F.col(f"_a{i}")).bitwiseAND(some(F.col(f"_b{i}"))) for i in starts]
+    apart = [m.bitwiseAND(some(F.col(f"_a{i}").bitwiseXOR(F.col(f"_b{i}")))) for i, m in zip(starts, both)]
+    total = lambda bits: sum((F.bit_count(v) for v in bits), F.lit(0))
+    return pairs.select(*keys, "read_hap", "hap", (total(both) - total(apart)).alias("match"), total(apart).alias("mismatch"))
 
 
 def string_matches(reads: DataFrame, haps: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,7 +92,7 @@ def unique_support(matches: DataFrame, keys: list[str]) -> DataFrame:
 
 def shared_reads(matches: DataFrame, keys: list[str], of: str = "read") -> DataFrame:
     """Reads with more than one match, and what they match; with ``of`` read_hap, strings."""
-    return matches.groupBy(*keys, of).agg(F.array_sort(F.collect_set("hap")).alias("haps")).where(F.size("haps") > 1)
+    return matches.groupBy(*keys, of).agg(F.sort_array(F.collect_set("hap")).alias("haps")).where(F.size("haps") > 1)
 
 
 def low_support(reads: DataFrame, haps: DataFrame, keys: list[str], least: int = 3) -> DataFrame:

@@ -32,13 +32,14 @@ READS = f"""reads AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
 
 
-def haps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """region, hap: strings with five calls or more that two reads hold."""
-    full = reads(spark, sf_dir).where(F.length(F.replace("hap", F.lit("x"), F.lit(""))) >= 5)
+def haps(spark: SparkSession, sf_dir: str, calls: int = 3) -> DataFrame:
+    """region, hap: strings with ``calls`` calls or more that two reads hold."""
+    full = reads(spark, sf_dir).where(F.length(F.replace("hap", F.lit("x"), F.lit(""))) >= calls)
     return full.groupBy("region", "hap").agg(F.count("*").alias("n")).where("n >= 2").select("region", "hap")
 
 
-HAPS = "haps AS (SELECT region, hap FROM reads WHERE length(replace(hap, 'x', '')) >= 5 GROUP BY region, hap HAVING count(*) >= 2)"
+_haps = lambda calls: f"haps AS (SELECT region, hap FROM reads WHERE length(replace(hap, 'x', '')) >= {calls} GROUP BY region, hap HAVING count(*) >= 2)"
+HAPS, LONG_HAPS = _haps(3), _haps(5)
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from haplospark.operators import events as E
 from haplospark.operators.haplotypes import explode_haps
 from haplospark.plans import analogues as X
-from haplospark.plans.analogues import HAPS, READS, SITES, SPANS, TOKENS
+from haplospark.plans.analogues import LONG_HAPS, READS, SITES, SPANS, TOKENS
 from haplospark.plans.queries import K, query
 
 
@@ -94,8 +94,8 @@ listed AS (SELECT region, hap, 10 * i AS pos, concat(10 * i, '_A_C') AS code FRO
  UNION ALL SELECT region, hap, 10 * i + 5, concat(10 * i + 5, '_G_T') FROM ranged, (SELECT unnest(range(1, 7)) AS i) WHERE 10 * i + 5 BETWEEN first AND last)"""
 
 
-@query("SELECT region, hap, first, last, coalesce((SELECT string_agg(code, ',' ORDER BY pos) FROM listed l WHERE l.region = r.region AND l.hap = r.hap), '') AS variants FROM ranged r", (READS, HAPS, _SPANNED))
+@query("SELECT region, hap, first, last, coalesce((SELECT string_agg(code, ',' ORDER BY pos) FROM listed l WHERE l.region = r.region AND l.hap = r.hap), '') AS variants FROM ranged r", (READS, LONG_HAPS, _SPANNED))
 def variants_of_haps(spark, d):
     homs = X.t(spark, d, "orders").select(F.col("o_orderpriority").alias("region")).distinct().select("region", F.explode(F.array(*[F.lit(10 * i + 5) for i in range(1, 7)])).alias("pos"))
     homs = homs.withColumn("code", F.concat(F.col("pos").cast("string"), F.lit("_G_T")))
-    return E.variants_of_haps(X.haps(spark, d), [(10 * s, f"{10 * s}_A_C") for s in SITES], homs, K, 5, 75).withColumn("variants", F.array_join("variants", ","))
+    return E.variants_of_haps(X.haps(spark, d, 5), [(10 * s, f"{10 * s}_A_C") for s in SITES], homs, K, 5, 75).withColumn("variants", F.array_join("variants", ","))

@@ -16,9 +16,8 @@ from haplospark.operators import intervals as I
 from haplospark.operators import pileup as P
 from haplospark.operators import runs as R
 from haplospark.operators import variants as V
-from haplospark.operators.rounds import written
 from haplospark.plans import analogues as X
-from haplospark.plans.analogues import CONTROLS, DEPTHS, HAPS, HISTOGRAM, READS, SPANS, TOKENS
+from haplospark.plans.analogues import CONTROLS, DEPTHS, HAPS, HISTOGRAM, LONG_HAPS, READS, SPANS, TOKENS
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -327,10 +326,10 @@ def hap_match(spark, d):
 _SHARE = " OR ".join(f"(x.hap[{i}] <> 'x' AND y.hap[{i}] <> 'x')" for i in range(1, 8))
 
 
-@query(f"SELECT region, read, hap FROM hits x WHERE match >= 1 AND NOT EXISTS (SELECT 1 FROM hits y WHERE y.match >= 1 AND y.region = x.region AND y.read = x.read AND y.hap <> x.hap AND ({_SHARE}))", (READS, HAPS, _PAIR_SQL, _HITS))
+@query(f"SELECT region, read, hap FROM hits x WHERE match >= 1 AND NOT EXISTS (SELECT 1 FROM hits y WHERE y.match >= 1 AND y.region = x.region AND y.read = x.read AND y.hap <> x.hap AND ({_SHARE}))", (READS, LONG_HAPS, _PAIR_SQL, _HITS))
 def unique_support(spark, d):
     reads = X.reads(spark, d)
-    return H.of_reads(reads, H.sole_matches(H.string_matches(reads, X.haps(spark, d), K), K), K).select("region", "read", "hap")
+    return H.of_reads(reads, H.sole_matches(H.string_matches(reads, X.haps(spark, d, 5), K), K), K).select("region", "read", "hap")
 
 
 @query("SELECT region, read, array_to_string(list(hap ORDER BY hap), ',') AS haps FROM hits WHERE match >= 1 GROUP BY 1, 2 HAVING count(*) > 1", (READS, HAPS, _PAIR_SQL, _HITS))
@@ -344,9 +343,9 @@ _LONE = lambda hits: f"NOT EXISTS (SELECT 1 FROM {hits} y WHERE y.region = x.reg
 
 
 @query(f"SELECT region, hap FROM second x WHERE {_LONE('second')} GROUP BY 1, 2 HAVING count(DISTINCT read) >= 4",
-    (READS, HAPS, _PAIR_SQL, _HITS, "first AS (SELECT * FROM hits WHERE match >= 1)", f"second AS (SELECT f.* FROM first f JOIN (SELECT DISTINCT region, hap FROM first x WHERE {_LONE('first')}) USING (region, hap))"))
+    (READS, LONG_HAPS, _PAIR_SQL, _HITS, "first AS (SELECT * FROM hits WHERE match >= 1)", f"second AS (SELECT f.* FROM first f JOIN (SELECT DISTINCT region, hap FROM first x WHERE {_LONE('first')}) USING (region, hap))"))
 def low_support_filter(spark, d):
-    return H.low_support(X.reads(spark, d), X.haps(spark, d), K, 4)
+    return H.low_support(X.reads(spark, d), X.haps(spark, d, 5), K, 4)
 
 
 _KNOWN = "known AS (SELECT region, hap FROM (SELECT DISTINCT o_orderpriority AS region FROM orders), (SELECT unnest(['1111111', '2222222', '1212121']) AS hap))"
@@ -378,7 +377,7 @@ def hap_naming(spark, d):
 @query()
 def tag_hash_assign(spark, d):
     reads, haps = X.reads(spark, d), X.haps(spark, d)
-    m = written(H.string_matches(reads, haps, K), "matches")
+    m = H.string_matches(reads, haps, K)
     return H.tag_reads(reads, H.sole_matches(m, K), H.closest_strings(reads, haps, K), H.shared_reads(m, K, "read_hap"), K, "read_hap")
 
 

@@ -111,6 +111,29 @@ def test_matching(spark):
     assert {x.read: x.tag for x in tags.collect()}[1] in ("111", "121")
 
 
+def test_matches_by_string(spark):
+    """Nine sites are two numbers; what follows from the strings is what follows from the reads, and no pair of haplotypes is made."""
+    reads = haps_of(spark, ["12xxxxxx1", "12xxxxxx1", "xxxxxxxx2", "xxxxxxxxx", "2xxxxxxx1"])
+    haps = haps_of(spark, ["121111111", "12xxxxxx2", "xxxx11xx1", "2xxxxxxxx", "11xxxxxx2"], "id")
+    found = {(x.read_hap, x.hap): (x.match, x.mismatch) for x in haplotypes.compared(reads, haps, ["r"]).collect()}
+    assert len(found) == 4 * 5 and found["12xxxxxx1", "121111111"] == (3, 0) and found["12xxxxxx1", "11xxxxxx2"] == (1, 2) and found["xxxxxxxxx", "2xxxxxxxx"] == (0, 0)
+    m = haplotypes.string_matches(reads, haps, ["r"])
+    sole = haplotypes.of_reads(reads, haplotypes.sole_matches(m, ["r"]), ["r"])
+    assert {(x.read, x.hap) for x in sole.collect()} == {(4, "xxxx11xx1"), (4, "2xxxxxxxx")}
+    old = haplotypes.unique_support(haplotypes.match_reads(reads, haps, ["r"]), ["r"])
+    assert {(x.read, x.hap) for x in old.collect()} == {(x.read, x.hap) for x in sole.collect()}
+    shared = haplotypes.shared_reads(m, ["r"], "read_hap")
+    tags = haplotypes.tag_reads(reads, haplotypes.sole_matches(m, ["r"]), haplotypes.closest_strings(reads, haps, ["r"]), shared, ["r"], "read_hap")
+    assert {x.read: x.tag for x in tags.collect()}[3] == "Unassigned"
+
+
+def test_haps_of_the_tables_have_three_calls(spark):
+    from haplospark.plans import analogues
+
+    found = [x.hap for x in analogues.haps(spark, "/root/testdata/sf0.01").collect()]
+    assert min(7 - h.count("x") for h in found) == 3
+
+
 def test_low_support(spark):
     reads = haps_of(spark, ["11"] * 5 + ["22"] * 2 + ["12"])
     assert {x.hap for x in haplotypes.low_support(reads, haps_of(spark, ["11", "22", "12", "21"], "id"), ["r"], 3).collect()} == {"11"}
