@@ -23,6 +23,8 @@ table gives an empty file.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -43,6 +45,9 @@ LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 SIGN = np.zeros(256, bool)
 SIGN[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'|"]] = True
+#: What this tokenizer's cut makes of lower-case ASCII and Latin letters without combining marks; PLAIN are texts of these alone.
+_LATIN = "a-z\u00e0-\u00f6\u00f8-\u00ff"
+PLAIN, PARTS = re.compile(f"[!-~{_LATIN}]+"), re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LATIN}]+|[0-9]|[^{_LATIN}0-9]+")
 
 
 def pieces(column: pa.Array) -> tuple[K.Texts, K.Words]:
@@ -63,7 +68,10 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -83,18 +91,30 @@ class WordIds:
         new = np.flatnonzero(~K.member(self.keys, distinct)) if len(self.keys) else np.arange(len(distinct))
         if len(new):
             data, s, e = texts.data.tobytes(), words.starts[first[new]].tolist(), words.ends[first[new]].tolist()
-            found: list[list[int]] = []
-            for i in range(0, len(s), AT_ONCE):
-                found += [x.ids for x in self.tokenizer.encode_batch_fast([data[a:b].decode() for a, b in zip(s[i : i + AT_ONCE], e[i : i + AT_ONCE])], add_special_tokens=False)]
-            length = np.fromiter(map(len, found), np.int64, len(found))
+            found = [self.encoded([data[a:b].decode() for a, b in zip(s[i : i + AT_ONCE], e[i : i + AT_ONCE])]) for i in range(0, len(s), AT_ONCE)]
+            length = np.concatenate([x[1] for x in found])
             start = len(self.flat) + np.cumsum(length) - length
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))])
-            keys = np.concatenate([self.keys, distinct[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.start, self.length = keys[order], np.concatenate([self.start, start])[order], np.concatenate([self.length, length])[order]
+            self.flat = np.concatenate([self.flat, *(x[0] for x in found)])
+            at = np.searchsorted(self.keys, distinct[new])
+            self.keys, self.start, self.length = np.insert(self.keys, at, distinct[new]), np.insert(self.start, at, start), np.insert(self.length, at, length)
         at = np.searchsorted(self.keys, distinct)
         return self.start[at], self.length[at], which
 
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words end to end, and how many each has. Plain words go as one text: each of a word's parts ends in an id for the end of a part."""
+        parts = [len(PARTS.findall(w)) if PLAIN.fullmatch(w) and "<|" not in w else 0 for w in words]
+        together = [w for w, n in zip(words, parts) if n]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(together)], add_special_tokens=False)[0].ids, np.uint32)
+        ends, until = np.flatnonzero(self.last[ids]) + 1, np.cumsum([n for n in parts if n], dtype=np.int64)
+        if len(ends) != (until[-1] if len(until) else 0) or len(ids) != (ends[-1] if len(ends) else 0):  # no such tokenizer
+            parts, ids, ends, until = [0] * len(words), ids[:0], ends[:0], until[:0]
+        alone = [x.ids for x in self.tokenizer.encode_batch_fast([w for w, n in zip(words, parts) if not n], add_special_tokens=False)]
+        length, plain = np.zeros(len(words), np.int64), np.array(parts) > 0
+        length[plain], length[~plain] = np.diff(ends[until - 1], prepend=0), [len(x) for x in alone]
+        out, of = np.empty(int(length.sum()), np.uint32), np.repeat(plain, length)
+        out[of], out[~of] = ids, np.fromiter(chain.from_iterable(alone), np.uint32)
+        return out, length
+
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end ids, and where each document begins."""
         texts, words = pieces(column)

@@ -247,3 +247,26 @@ def test_token_files_take_ids_of_other_types(spark, kind):
     found = sorted(((str(r.doc_id), r.start, r.n_tokens) for r in token_files.token_digests(x).collect()), key=lambda r: r[1])
     assert [r[0] for r in found] == ["None", "1", "2", "2"] and found[0][1:] == (0, 1)
     assert all(a[1] + a[2] == b[1] for a, b in zip(found, found[1:])) and found[2][2] == found[3][2]
+
+
+def test_plain_words_are_encoded_together():
+    """One call for all plain words of a batch; ids and lengths as of each word alone."""
+    calls, ids = [], token_files.WordIds(token_files.tokenizer_file()[0])
+    one = ids.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            calls.append(len(texts))
+            return one.encode_batch_fast(texts, **how)
+
+    ids.tokenizer = Counted()
+    plain = ["don't", "é'll", "''t", "ab12c", "a_b", "x.", "'", "ÿ÷"[:1], "zyzzyvas", "|"]
+    odd = ["²x", "ıß", "<|endoftext|>", "x<|y", "İ", "中文", "\x85", "É"]
+    for given_words in (plain + odd, plain, odd, odd[::-1] + plain):
+        calls.clear()
+        flat, length = ids.encoded(given_words)
+        assert sum(calls) == 1 + len([w for w in given_words if w in odd])
+        at = np.r_[0, np.cumsum(length)]
+        assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [one.encode(w, add_special_tokens=False).ids for w in given_words]
+    ids.last[:] = False  # a tokenizer without ids for the end of a part
+    assert ids.encoded(plain)[0].tolist() == [i for w in plain for i in one.encode(w, add_special_tokens=False).ids]
