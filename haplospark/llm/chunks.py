@@ -15,11 +15,13 @@ bounded by the keys themselves.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from haplospark.llm import kernels as K
 from haplospark.llm.common import bound_batches, give_back, staged, text_slices
 
-CHUNK_BYTES = 4 << 20
+#: Bytes of a chunk's text, about, and what a row counts beside its text, so that a chunk of short texts has an end too.
+CHUNK_BYTES, ROW_BYTES = 4 << 20, 16
 #: Keys that one shard takes, about.
 SHARD_KEYS = 1 << 19
 
@@ -62,27 +65,39 @@ class Chunk:
         return self.words[self.stream]
 
 
-def chunked(docs: DataFrame, name: str, describe: Callable[[Chunk], list[np.ndarray]] = lambda chunk: [], columns: tuple[str, ...] = ()) -> DataFrame:
+def chunked(docs: DataFrame, name: str, describe: Callable[[Chunk], list[np.ndarray]] = lambda chunk: [], columns: tuple[str, ...] = (), most: int = CHUNK_BYTES) -> DataFrame:
     """docs(doc_id, text, role int, mark long) -> written chunks: chunk, role, doc_ids, marks, counts, words, stream, and
-    ``columns``, arrays with a long for each document as ``describe`` gives them. A chunk has one role. A-Z count as a-z.
+    ``columns``, arrays with a long for each document as ``describe`` gives them. A chunk has one role and is filled with about
+    ``most`` bytes from as many batches as that takes: fewer chunks repeat fewer keys. A-Z count as a-z.
     A chunk's number has 43 bits: 23 of the partition, 20 within it."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     bound_batches(docs.sparkSession)
 
+    def chunk(number: int, role: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        found = K.words_of(K.texts_of(rows.column("text"), lower=True))
+        words, stream = np.unique(found.hashes, return_inverse=True)
+        more = describe(Chunk(words, stream, found.offsets)) if columns else []
+        row = [pa.array([number], pa.int64()), pa.array([role], pa.int32()), pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column("doc_id")), pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column("mark")), pa.array([found.counts], pa.list_(pa.int64())), pa.array([words.tobytes()], pa.binary()), pa.array([pack(stream.astype(np.uint32))], pa.binary())]
+        return pa.RecordBatch.from_arrays([*row, *(pa.array([x], pa.list_(pa.int64())) for x in more)], names=["chunk", "role", "doc_ids", "marks", "counts", "words", "stream", *columns])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 20
+        number, waiting, size = TaskContext.get().partitionId() << 20, defaultdict(list), defaultdict(int)
         for batch in batches:
             roles = batch.column("role").to_numpy(zero_copy_only=False)
-            for role in np.unique(roles):
-                own = batch.filter(pa.array(roles == role))
-                for part in text_slices(own, "text", CHUNK_BYTES):
-                    found = K.words_of(K.texts_of(part.column("text"), lower=True))
-                    words, stream = np.unique(found.hashes, return_inverse=True)
-                    more = describe(Chunk(words, stream, found.offsets)) if columns else []
-                    row = [pa.array([number], pa.int64()), pa.array([int(role)], pa.int32()), pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc_id")), pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("mark")), pa.array([found.counts], pa.list_(pa.int64())), pa.array([words.tobytes()], pa.binary()), pa.array([pack(stream.astype(np.uint32))], pa.binary())]
-                    yield pa.RecordBatch.from_arrays([*row, *(pa.array([x], pa.list_(pa.int64())) for x in more)], names=["chunk", "role", "doc_ids", "marks", "counts", "words", "stream", *columns])
-                    number += 1
-                    give_back()
+            for role in np.unique(roles).tolist():
+                for part in text_slices(batch.filter(pa.array(roles == role)), "text", most):
+                    more = (pc.sum(pc.binary_length(part.column("text"))).as_py() or 0) + ROW_BYTES * part.num_rows
+                    if waiting[role] and size[role] + more > most:
+                        yield chunk(number, role, waiting.pop(role))
+                        number, size[role] = number + 1, 0
+                        give_back()
+                    waiting[role].append(part)
+                    size[role] += more
+        for role, parts in waiting.items():
+            yield chunk(number, role, parts)
+            number += 1
+            give_back()
 
     return staged(docs.select("doc_id", "text", "role", "mark").mapInArrow(run, f"chunk long, role int, doc_ids array<{kind}>, marks array<long>, counts array<long>, words binary, stream binary" + "".join(f", {c} array<long>" for c in columns)), name)
 

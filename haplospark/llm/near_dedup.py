@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haplospark.llm import kernels as K
-from haplospark.llm.chunks import chunk_of, chunked, count_everywhere, counts_in_order, pack, unpack
+from haplospark.llm.chunks import CHUNK_BYTES, chunk_of, chunked, count_everywhere, counts_in_order, pack, unpack
 from haplospark.llm.common import drop_staged, fresh, give_back, staged, table
 from haplospark.llm.components import components
 
@@ -185,7 +185,7 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame):
         """docs(doc_id, text)."""
-        self.chunks = chunked(docs.select("doc_id", "text", F.lit(0).alias("role"), F.xxhash64("text").alias("mark")), "dedup-chunks", lambda chunk: [h.view(np.int64) for h in text_hashes(chunk)], ("h1s", "h2s"))
+        self.chunks = chunked(docs.select("doc_id", "text", F.lit(0).alias("role"), F.xxhash64("text").alias("mark")), "dedup-chunks", lambda chunk: [h.view(np.int64) for h in text_hashes(chunk)], ("h1s", "h2s"), CHUNK_BYTES // 2)
         each = self.chunks.select("chunk", F.posexplode(F.arrays_zip("doc_ids", "marks", "h1s", "h2s")).alias("place", "d"))
         #: rid (chunk and place), doc_id, mark (hash of the text as it is), h1, h2 for each row
         self.members = each.select((F.shiftleft("chunk", IDS_BITS) + F.col("place")).alias("rid"), F.col("d.doc_ids").alias("doc_id"), F.col("d.marks").alias("mark"), F.col("d.h1s").alias("h1"), F.col("d.h2s").alias("h2"))

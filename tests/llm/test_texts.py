@@ -270,3 +270,20 @@ def test_plain_words_are_encoded_together():
         assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [one.encode(w, add_special_tokens=False).ids for w in given_words]
     ids.last[:] = False  # a tokenizer without ids for the end of a part
     assert ids.encoded(plain)[0].tolist() == [i for w in plain for i in one.encode(w, add_special_tokens=False).ids]
+
+
+def test_chunks_are_filled_over_batches(spark):
+    """Chunks of a role don't end with a batch, and have an end however short their texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        x = spark.range(200).coalesce(1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 9 > 0, F.concat(F.lit("Ab c"), F.col("id").cast("string"))).alias("text"), (F.col("id") % 3).cast("int").alias("role"), F.lit(1).cast("long").alias("mark"))
+        whole = chunks.chunked(x, "test-chunks").collect()
+        small = chunks.chunked(x, "test-chunks", most=400).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r.role for r in whole) == [0, 1, 2]
+    for made in (whole, small):
+        assert len({r.chunk for r in made}) == len(made)
+        assert sorted((i, r.role) for r in made for i in r.doc_ids) == [(i, i % 3) for i in range(200)]
+        assert all(c == (2 if i % 9 else 0) for r in made for i, c in zip(r.doc_ids, r.counts))
+    assert len(small) > 3 and all(16 * len(r.doc_ids) <= 400 for r in small)
