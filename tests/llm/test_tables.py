@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from haplospark.llm import decontaminate, link_graph, mixing, pu_quality, surrogates, toxicity
+from haplospark.llm import components, decontaminate, link_graph, mixing, pu_quality, surrogates, toxicity
 from haplospark.llm.entry import ORACLE_SQL, QUERIES
 from tests.llm.tools import docs, rows, write
 
@@ -364,3 +364,23 @@ def test_pipeline(spark, tmp_path):
 
 def test_registered_queries():
     assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_components_make_no_edge_twice(spark):
+    """In one task: both directions of each edge are made once a step."""
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (205, 200), (200, 205)]
+    made = spark.sparkContext.accumulator(0)
+    seen = components.staged
+
+    def counted(df, name, *more):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        made.add(plan.count("Generate explode(") > 2)
+        return seen(df, name, *more)
+
+    components.staged = counted
+    try:
+        found = {(r.node, r.component) for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    finally:
+        components.staged = seen
+    assert found == {(i, 0) for i in range(41)} | {(i, 100) for i in range(100, 160)} | {(200, 200), (205, 200)}
+    assert not made.value
