@@ -119,3 +119,21 @@ def test_genotypes_in_haps(spark):
     x = spark.createDataFrame([("r", h, 1, c, u, s) for h, c, u, s in rows], "region string, hap string, site int, call string, unique_reads long, shared_reads long")
     # c: two of twelve are more than 15 %; d: too few; e: with its shared read; f: the winner is neither; g: shared reads divide it
     assert {v.hap: v.genotype for v in P.genotype_in_haps(x, ["region"]).collect()} == {"a": "1", "b": "0", "c": ".", "d": ".", "e": "1", "f": ".", "g": "."}
+
+
+def test_growth_broadcasts_no_more_than_its_bound(spark, monkeypatch):
+    """Joins of the growth shuffle beyond BROADCAST_ROWS, however small the files are, with the same rows."""
+    rows = bases(spark, r="GCAAAAAGTACACACACTTAAAACCAAAAGAAAAATCACACACGGCACATT", s="ACACACACACTTCACACGACAC")
+    expect = [sorted(map(tuple, f(rows, ["region"]).collect())) for f in (M.homopolymers, M.dinucleotides, M.sequence_masks)]
+    plans, seen = [], M.written
+
+    def kept(df, name):
+        plans.append((name, df._jdf.queryExecution().sparkPlan().toString()))
+        return seen(df, name)
+
+    monkeypatch.setattr(M, "written", kept)
+    monkeypatch.setattr(M, "BROADCAST_ROWS", 0)
+    found = [sorted(map(tuple, f(rows, ["region"]).collect())) for f in (M.homopolymers, M.dinucleotides, M.sequence_masks)]
+    assert found == expect and all(map(len, found))
+    assert any(name == "reached" for name, _ in plans)
+    assert not [name for name, plan in plans if name in ("marks", "reached") and "Broadcast" in plan]
