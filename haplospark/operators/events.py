@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from haplospark.functions.calls import hap_range
 from haplospark.functions.strings import clip_size, compare_haps, indel_encode
 from haplospark.operators.haplotypes import explode_haps
+from haplospark.operators.rounds import written
+from haplospark.operators.spread import if_small
 
 
 def cigar_blocks(cigar: Column, start: Column) -> Column:
@@ -45,8 +47,9 @@ def clip_sites(alignments: DataFrame, regions: DataFrame, known: DataFrame, keys
 def long_deletion_reads(alignments: DataFrame, deletions: DataFrame, keys: list[str], clip: int = 300, extend: int = 1000, pad: int = 300) -> DataFrame:
     """alignments(keys, read, start, end, cigar), deletions(keys, p3_1, p3_2, p5_1, p5_2, size), one a key -> keys, read, full, partial, negative.
     full: the deletion is in the CIGAR, or the read is clipped at both sides of it; partial: or at one; negative: the read runs through either
-    side. Where no read of a key has it in the CIGAR, and not both sides are clipped by any, full and partial are false."""
-    x = alignments.join(deletions, keys)
+    side. Where no read of a key has it in the CIGAR, and not both sides are clipped by any, full and partial are false. Keys may be few: up to a
+    bound their deletions go to all tasks, so that no task holds a key's alignments."""
+    x = alignments.join(if_small(deletions), keys)
     over = lambda a, b: (F.col("start") < F.col(b)) & (F.col("end") > F.col(a))
     through = lambda a, b: over(a, b) & (F.col("start") < F.col(a) - pad) & (F.col("end") > F.col(b) + pad)
     slack = F.col("size") * 0.1
@@ -55,9 +58,10 @@ def long_deletion_reads(alignments: DataFrame, deletions: DataFrame, keys: list[
     p3 = (F.col("end") > F.col("p3_1")) & (F.col("end") < F.col("p3_2")) & (clip_size(F.col("cigar"), "right") >= clip) & (F.col("start") < F.col("p3_1") - extend)
     p5 = (F.col("start") > F.col("p5_1")) & (F.col("start") < F.col("p5_2")) & (clip_size(F.col("cigar"), "left") >= clip) & (F.col("end") > F.col("p5_2") + extend)
     each = x.groupBy(*keys, "read").agg(F.bool_or(gone).alias("gone"), F.bool_or(p3).alias("p3"), F.bool_or(p5).alias("p5"), F.bool_or(through("p3_1", "p3_2") | through("p5_1", "p5_2")).alias("negative"))
+    each = written(each, "deletion_reads")  # read twice
     called = each.groupBy(*keys).agg((F.bool_or("gone") | (F.bool_or("p3") & F.bool_or("p5"))).alias("called"))
     full, some = F.col("gone") | (F.col("p3") & F.col("p5")), F.col("gone") | F.col("p3") | F.col("p5")
-    judged = each.join(called, keys).select(*keys, "read", (F.col("called") & full).alias("full"), (F.col("called") & some).alias("partial"), "negative")
+    judged = each.join(if_small(called, deletions), keys).select(*keys, "read", (F.col("called") & full).alias("full"), (F.col("called") & some).alias("partial"), "negative")
     return judged.where("full OR partial OR negative")
 
 

@@ -3,8 +3,12 @@
 import os
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
-from haplospark.plans.queries import ORACLE_SQL, QUERIES
+from haplospark.entry import ORACLE_SQL, QUERIES
+from haplospark.operators import alleles, events, intervals, runs, spread
+from haplospark.plans import analogues
 
 DATA = "/root/testdata/sf0.001"
 
@@ -27,3 +31,15 @@ def test_unique_support_of_three_calls(spark):
     found = QUERIES["unique_support"](spark, DATA)
     assert min(len(r.hap.replace("x", "")) for r in found.collect()) == 3
     assert rows(found) == by_sql("unique_support")
+
+
+def test_deletions_of_few_keys_go_to_all_tasks(spark, monkeypatch):
+    al = spark.createDataFrame([("a", 1, 500, 3500, "1000M300D1700M"), ("a", 2, 4000, 4100, "100M"), ("b", 3, 900, 2300, "1400M300S")], "k string, read int, start int, end int, cigar string")
+    gone = spark.createDataFrame([(k, 1400, 1600, 1700, 1900, 300) for k in "ab"], "k string, p3_1 int, p3_2 int, p5_1 int, p5_2 int, size int")
+    found = events.long_deletion_reads(al, gone, ["k"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    monkeypatch.setattr(spread, "BROADCAST_ROWS", 1)
+    other = events.long_deletion_reads(al, gone, ["k"])
+    assert "strategy=broadcast" not in other._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(found) == rows(other) and ("a", 1, True, True) in [(r.k, r.read, r.full, r.partial) for r in found.collect()]
