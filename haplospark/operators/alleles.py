@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haplospark.functions.strings import link_direction
+from haplospark.operators.spread import dealt
 
 
 def read_pairs(segments: DataFrame, keys: list[str]) -> DataFrame:
@@ -25,6 +26,7 @@ def directed_links(segments: DataFrame, keys: list[str], reverse: Column) -> Dat
     each link the two: ``undirected`` counts reads, in the order of the pair; where their ends tell (``link_direction``; ``reverse``: segments lie on opposite
     strands), ``directed`` counts pairs from the first to the second along the gene. If one side alone is ambiguous, all its haplotypes count, as ``loose``; so do the
     directed ones. Both ambiguous: nothing. A read has a few segments; reads are spread by the join."""
+    segments = dealt(segments.select(*keys, "read", "seq", "haps", "hap"), *keys, "read")
     one = segments.select(*keys, "read", "seq", F.col("haps").alias("haps1"), F.col("hap").alias("aln1"))
     two = segments.select(*keys, "read", F.col("seq").alias("seq2"), F.col("haps").alias("haps2"), F.col("hap").alias("aln2"))
     sure = (F.size("haps1") == 1) & (F.size("haps2") == 1)
@@ -42,7 +44,7 @@ def phase_alleles(segments: DataFrame, haps: DataFrame, keys: list[str], reverse
     drops sets that cannot be right. excluded(keys, hap): haplotypes that count neither in segments nor among those to be placed."""
     if excluded is not None:
         gone = excluded.groupBy(*keys).agg(F.collect_set("hap").alias("gone"))
-        segments = segments.join(gone, keys, "left").withColumn("haps", F.array_except("haps", F.coalesce("gone", F.array().cast("array<string>")))).drop("gone")
+        segments = dealt(segments, *keys).join(gone, keys, "left").withColumn("haps", F.array_except("haps", F.coalesce("gone", F.array().cast("array<string>")))).drop("gone")
         haps = haps.join(excluded.select(*keys, "hap"), [*keys, "hap"], "left_anti")
     links = directed_links(segments, keys, reverse)
     strong = links.where(F.col("kind") == "undirected").where(F.col("n") >= least).select(*keys, "a", "b")

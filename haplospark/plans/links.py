@@ -9,6 +9,7 @@ from haplospark.operators import alleles as A
 from haplospark.operators import copies as O
 from haplospark.operators import haplogroups as N
 from haplospark.operators import pileup as P
+from haplospark.operators.spread import dealt
 from haplospark.plans import analogues as X
 from haplospark.plans.queries import K, query
 
@@ -19,7 +20,7 @@ def _segments(spark, d) -> DataFrame:
     h = lambda c: F.concat(F.lit("h"), (F.col(c) % 4).cast("string"))
     haps = F.when(F.col("l_quantity").cast("int") % 3 == 0, F.array_sort(F.array_distinct(F.array(h("l_partkey"), h("l_suppkey"))))).otherwise(F.array(h("l_partkey")))
     start, end = F.when(F.col("l_returnflag") == "N", "x").otherwise("1"), F.when(F.col("l_linestatus") == "O", "x").otherwise("2")
-    x = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("region", F.col("l_orderkey").alias("read"), F.col("l_linenumber").alias("line"), haps.alias("haps"), F.concat(start, F.lit("1"), end).alias("hap")).distinct()
+    x = dealt(lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"), "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("region", F.col("l_orderkey").alias("read"), F.col("l_linenumber").alias("line"), haps.alias("haps"), F.concat(start, F.lit("1"), end).alias("hap")).distinct()
     return x.withColumn("seq", F.row_number().over(Window.partitionBy("region", "read").orderBy("line", "haps", "hap")))
 
 
