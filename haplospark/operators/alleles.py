@@ -11,6 +11,7 @@ from haplospark.operators.spread import dealt
 
 def read_pairs(segments: DataFrame, keys: list[str]) -> DataFrame:
     """segments(keys, read, seq, hap) -> keys, read, a, b for segments a before b of one read on two haplotypes."""
+    segments = dealt(segments.select(*keys, "read", "seq", "hap"), *keys, "read")
     later = segments.select(*keys, "read", F.col("seq").alias("seq2"), F.col("hap").alias("b"))
     return segments.join(later, [*keys, "read"]).where((F.col("seq") < F.col("seq2")) & (F.col("hap") != F.col("b"))).select(*keys, "read", F.col("hap").alias("a"), "b")
 
@@ -65,7 +66,7 @@ def filter_alleles(found: DataFrame, haps: DataFrame, keys: list[str]) -> DataFr
     """found(keys, hap, allele), haps(keys, hap) all haplotypes -> keys, alleles array<array>: none if more than two, or two that leave a haplotype
     out; one that leaves exactly one of two or three out gets it as the second."""
     sets = found.groupBy(*keys, "allele").agg(F.array_sort(F.collect_set("hap")).alias("members")).groupBy(*keys).agg(F.array_sort(F.collect_list("members")).alias("alleles"))
-    every = haps.groupBy(*keys).agg(F.array_sort(F.collect_set("hap")).alias("every"))
+    every = dealt(haps.select(*keys, "hap"), *keys).groupBy(*keys).agg(F.array_sort(F.collect_set("hap")).alias("every"))
     x = every.join(sets, keys, "left").withColumn("left", F.array_except("every", F.coalesce(F.flatten("alleles"), F.array().cast("array<string>"))))
     n, out = F.size("alleles"), F.size("left")
     kept = F.when((n == 2) & (out == 0), F.col("alleles")).when((n == 1) & (out == 0), F.col("alleles")).when((n == 1) & (out == 1) & F.size("every").between(2, 4), F.array_append("alleles", F.col("left")))

@@ -16,6 +16,7 @@ from haplospark.operators import intervals as I
 from haplospark.operators import pileup as P
 from haplospark.operators import runs as R
 from haplospark.operators import variants as V
+from haplospark.operators.spread import dealt
 from haplospark.plans import analogues as X
 from haplospark.plans.analogues import CONTROLS, DEPTHS, HAPS, HISTOGRAM, LONG_HAPS, READS, SPANS, TOKENS
 
@@ -490,7 +491,7 @@ seg_pairs AS (SELECT a.region, a.read, a.hap AS a, b.hap AS b FROM segs a JOIN s
 
 
 def _segments(spark, d):
-    x = X.t(spark, d, "lineitem").join(X.t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    x = dealt(X.t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey").join(X.t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return x.select(F.col("o_custkey").alias("region"), F.col("l_orderkey").alias("read"), F.col("l_linenumber").alias("seq"), F.concat(F.lit("h"), (F.col("l_partkey") % 12).cast("string")).alias("hap")).distinct()
 
 

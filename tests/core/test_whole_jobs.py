@@ -43,3 +43,22 @@ def test_deletions_of_few_keys_go_to_all_tasks(spark, monkeypatch):
     other = events.long_deletion_reads(al, gone, ["k"])
     assert "strategy=broadcast" not in other._jdf.queryExecution().optimizedPlan().toString()
     assert rows(found) == rows(other) and ("a", 1, True, True) in [(r.k, r.read, r.full, r.partial) for r in found.collect()]
+
+
+def spread_over(found) -> int:
+    return found.rdd.getNumPartitions()
+
+
+def test_segments_of_reads_stay_dealt(spark):
+    one = spark.createDataFrame([("r", i % 3, i, f"h{i}") for i in range(9)], "region string, read int, seq int, hap string")
+    assert spread_over(alleles.read_pairs(one, ["region"])) == 4
+
+
+def test_links_count_over_dealt_segments(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(alleles, "dealt", lambda rows, *keys: asked.append(keys) or spread.dealt(rows, *keys))
+    x = spark.createDataFrame([(1, 1, i, [f"h{i}"], "121") for i in range(3)], "region int, read int, seq int, haps array<string>, hap string")
+    haps = spark.createDataFrame([(1, f"h{i}") for i in range(3)], "region int, hap string")
+    found, links = alleles.phase_alleles(x, haps, ["region"], F.lit(False), 1, haps.where("hap = 'h2'"))
+    assert ("region", "read") in asked and asked.count(("region",)) == 2
+    assert [r.alleles for r in found.collect()] == [[["h0", "h1"]]]
