@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haplospark.operators.haplotypes import encode_reads
+from haplospark.operators.spread import dealt
 
 SITES = list(range(1, 8))
 
@@ -18,7 +19,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """region, read, site, symbol: an order's lines; return flag R is 1, A is 2."""
     lines = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("read"), F.col("l_linenumber").alias("site"), F.when(F.col("l_returnflag") == "R", "1").when(F.col("l_returnflag") == "A", "2").otherwise("x").alias("symbol"))
     orders = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read"), F.col("o_orderpriority").alias("region"))
-    return lines.join(orders, "read").select("region", "read", "site", "symbol")
+    return dealt(lines, "read").join(orders, "read").select("region", "read", "site", "symbol")
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
