@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from haplospark.operators.spread import dealt
+
 
 def islands(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """keys, first, last, value, size of each run of equal values."""
@@ -50,7 +52,7 @@ def clip_anchors(clips: DataFrame, sites: DataFrame, keys: list[str], shift: int
 
 def breakpoint(symbols: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
     """symbols(keys, idx, symbol) -> keys, split: the index before which ``left`` and from which ``right`` is most frequent; the first such; null at either end."""
-    w = Window.partitionBy(*keys).orderBy("idx")
+    symbols, w = dealt(symbols.select(*keys, "idx", "symbol"), *keys), Window.partitionBy(*keys).orderBy("idx")
     before = F.coalesce(F.sum((F.col("symbol") == left).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     after = F.sum((F.col("symbol") == right).cast("int")).over(w.rowsBetween(0, Window.unboundedFollowing))
     scored = symbols.withColumn("score", before + after).withColumn("last", F.max("idx").over(Window.partitionBy(*keys))).withColumn("start", F.min("idx").over(Window.partitionBy(*keys)))
