@@ -49,7 +49,8 @@ def outside(points: DataFrame, intervals: DataFrame, keys: list[str], width: int
 def overlapping(reads: DataFrame, regions: DataFrame, width: int) -> DataFrame:
     """Rows of reads(chrom, start, end) that overlap any region(chrom, start, end); each once."""
     bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor((F.col(b) - 1) / width)))
-    right = regions.select(F.col("chrom").alias("c"), F.col("start").alias("s"), F.col("end").alias("e")).withColumn("b", bins("s", "e"))
+    longest = regions.groupBy(F.col("chrom").alias("c"), F.col("start").alias("s")).agg(F.max("end").alias("e"))  # meets all that others of its start meet
+    right = longest.withColumn("b", bins("s", "e"))
     on = (F.col("chrom") == F.col("c")) & (F.col("b") == F.col("bin")) & (F.col("start") < F.col("e")) & (F.col("end") > F.col("s"))
     keyed = reads.withColumn("bin", bins("start", "end"))
     return keyed.join(right, on, "left_semi").drop("bin").distinct()

@@ -48,7 +48,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1990-01-01").cast("date")).cast("long")
     lines = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
     orders = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
-    x = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    x = dealt(lines, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return x.select(F.col("o_orderpriority").alias("region"), F.col("l_orderkey").alias("read"), F.least(day("o_orderdate"), day("l_shipdate")).alias("start"), F.greatest(day("o_orderdate"), day("l_shipdate")).alias("end"))
 
 

@@ -62,3 +62,18 @@ def test_links_count_over_dealt_segments(spark, monkeypatch):
     found, links = alleles.phase_alleles(x, haps, ["region"], F.lit(False), 1, haps.where("hap = 'h2'"))
     assert ("region", "read") in asked and asked.count(("region",)) == 2
     assert [r.alleles for r in found.collect()] == [[["h0", "h1"]]]
+
+
+def test_symbols_and_breakpoints_stay_dealt(spark):
+    assert spread_over(analogues.reads(spark, DATA)) == spread_over(analogues.spans(spark, DATA)) == 4
+    symbols = spark.createDataFrame([("a", i, s) for i, s in enumerate("1122")], "k string, idx int, symbol string")
+    found = runs.breakpoint(symbols, ["k"], "1", "2")
+    assert spread_over(found) == 4 and [r.split for r in found.collect()] == [2]
+
+
+def test_regions_of_one_start_are_one(spark):
+    reads = spark.createDataFrame([("1", 5, 1, 20), ("1", 6, 25, 27), ("1", 7, 50, 60)], "chrom string, read int, start int, end int")
+    regions = spark.createDataFrame([("1", 3, 6), ("1", 3, 26), ("1", 3, 6)], "chrom string, start int, end int")
+    found = intervals.overlapping(reads, regions, 10)
+    assert "max(end" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.read for r in found.collect()) == [5, 6]
