@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haplospark.functions.strings import indel_decode
+from haplospark.operators.spread import dealt
 
 
 def in_spans(points: DataFrame, spans: DataFrame, keys: list[str], name: str, width: int = 1000, closed: bool = True) -> DataFrame:
@@ -36,7 +37,7 @@ def sites_for_phasing(candidates: DataFrame, masks: DataFrame, shifted: DataFram
     several to be reported at a position, the least frequent stays, as a later one takes an earlier one's place. use: ``hom``, ``phase`` or ``report``."""
     each = masks.select(*keys, "pos", F.explode(F.split("bases", ",")).alias("bases"))
     mask = each.groupBy(*keys, "pos").agg(F.collect_set("bases").alias("mask"))
-    x = candidates.select(*keys, "pos", "alt", "kind", "n", indel_decode(F.col("ref"), F.regexp_extract("alt", r"([+-].*|.)$", 1)).alias("d")).join(mask, [*keys, "pos"], "left")
+    x = dealt(candidates, *keys, "pos").select(*keys, "pos", "alt", "kind", "n", indel_decode(F.col("ref"), F.regexp_extract("alt", r"([+-].*|.)$", 1)).alias("d")).join(mask, [*keys, "pos"], "left")
     masked, indel = F.col("mask").isNotNull(), F.col("d.size") > 0
     bad = F.when(indel, masked | (F.col("d.size") >= most)).otherwise(masked & F.array_contains("mask", F.col("d.alt")))
     use = F.when(F.col("kind") == "hom", "hom").when(indel | (masked & ~F.array_contains("mask", F.lit("1"))), "report").otherwise("phase")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from haplospark.operators import fusions as U
+from haplospark.operators.spread import dealt
 from haplospark.plans import analogues as X
 from haplospark.plans.queries import K, query
 
@@ -17,7 +18,7 @@ def _haps(spark, d):
     """A customer is a region; its orders with four lines numbered up to 4 are haplotypes over those, absent (0) at lines 1 and 4 where still open."""
     line = F.col("l_linenumber")
     symbol = F.when((F.col("l_linestatus") == "O") & line.isin(1, 4), "0").when(F.col("l_returnflag") == "R", "1").when(F.col("l_returnflag") == "A", "2").when(F.col("l_quantity") > 25, "1").otherwise("2")
-    x = X.t(spark, d, "lineitem").where(line <= 4).join(X.t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    x = dealt(X.t(spark, d, "lineitem").where(line <= 4).select("l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag", "l_quantity"), "l_orderkey").join(X.t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     made = x.groupBy(F.col("o_custkey").alias("region"), F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct(line, symbol.alias("s"))))["s"].alias("s"))
     return made.where(F.size("s") == 4).select("region", "id", F.array_join("s", "").alias("hap"))
 

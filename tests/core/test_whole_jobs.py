@@ -71,6 +71,13 @@ def test_symbols_and_breakpoints_stay_dealt(spark):
     assert spread_over(found) == 4 and [r.split for r in found.collect()] == [2]
 
 
+@pytest.mark.parametrize("name", ["called_fusions", "sites_for_phasing"])
+def test_dealt_queries_equal_sql(spark, name):
+    found = QUERIES[name](spark, DATA)
+    assert "RepartitionByExpression" in found._jdf.queryExecution().analyzed().toString()
+    assert rows(found) == by_sql(name)
+
+
 def test_regions_of_one_start_are_one(spark):
     reads = spark.createDataFrame([("1", 5, 1, 20), ("1", 6, 25, 27), ("1", 7, 50, 60)], "chrom string, read int, start int, end int")
     regions = spark.createDataFrame([("1", 3, 6), ("1", 3, 26), ("1", 3, 6)], "chrom string, start int, end int")
