@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from haplospark.functions.strings import compare_haps, start_end
 from haplospark.operators.candidates import reduce_candidates
+from haplospark.operators.haplotypes import row_reads
 from haplospark.operators.rounds import forget, written
 
 
 def distinct_strings(reads: DataFrame, keys: list[str]) -> DataFrame:
-    """reads(keys, hap) -> keys, read_hap, n."""
-    return reads.groupBy(*keys, F.col("hap").alias("read_hap")).agg(F.count("*").alias("n"))
+    """reads(keys, hap), counted (``row_reads``) or not -> keys, read_hap, n."""
+    return reads.groupBy(*keys, F.col("hap").alias("read_hap")).agg(row_reads(reads).alias("n"))
 
 
 def matching_haps(strings: DataFrame, candidates: DataFrame, keys: list[str], by: tuple[str, ...] = ()) -> DataFrame:
@@ -223,7 +224,7 @@ def extended(haps: DataFrame, reads: DataFrame, nodes: DataFrame, gaps: DataFram
     all_ = written(left.unionByName(right), "candidates").withColumn("of", F.count("*").over(Window.partitionBy(*by)))
     c1, c2 = compare_haps(F.col("hap"), F.col("read_hap")), compare_haps(F.col("placed"), F.col("read_hap"))
     seen = all_.where("of > 1").join(strings, keys).withColumns({"c1": c1, "c2": c2}).where("c1.mismatch = 0 AND c2.mismatch = 0 AND c1.match > 0 AND c2.match > 0")
-    support = seen.select(*by, "candidate", F.least("c1.match", "c2.match").alias("matches"), F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int")))).drop("col")
+    support = seen.select(*by, "candidate", F.least("c1.match", "c2.match").alias("matches"), F.col("n").alias("reads"))
     chosen = written(reduce_candidates(all_.where("of > 1"), support, by).unionByName(all_.where("of = 1").select(*by, "candidate")), "chosen")
     grown = lambda back: _agreed(chosen.where(F.col("back") == back), keys, back).withColumnRenamed("bases", "before" if back else "after")
     x = ends.join(grown(True), [*keys, "hap"], "left").join(grown(False), [*keys, "hap"], "left").fillna("", ["before", "after"])

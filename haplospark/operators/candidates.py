@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haplospark.functions.calls import read_name
+from haplospark.operators.haplotypes import row_reads
 
 
 def missing(assembled: DataFrame, left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,9 +38,10 @@ def best_set(sets: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def reduce_candidates(candidates: DataFrame, support: DataFrame, keys: list[str], least: int = 4) -> DataFrame:
-    """candidates(keys, candidate), support(keys, candidate, matches), a row for each read -> keys, candidate: the only one with reads;
+    """candidates(keys, candidate), support(keys, candidate, matches), a row for each read, or counted (``row_reads``) -> keys, candidate: the only one with reads;
     else the one whose median, of ``least`` matches and reads or more, is above all others' maximum; else all. None where no read supports any."""
-    each = support.groupBy(*keys, "candidate").agg(F.percentile("matches", F.lit(0.5)).alias("median"), F.max("matches").alias("most"), F.count("*").alias("n"))
+    times = F.col("reads") if "reads" in support.columns else F.lit(1)
+    each = support.groupBy(*keys, "candidate").agg(F.percentile("matches", F.lit(0.5), times).alias("median"), F.max("matches").alias("most"), row_reads(support).alias("n"))
     by = Window.partitionBy(*keys)
     ranked = each.withColumn("place", F.row_number().over(by.orderBy(F.desc("most"), "candidate"))).withColumn("supported", F.count("*").over(by))
     top = lambda p: F.max(F.when(F.col("place") == p, F.col("most"))).over(by)

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from haplospark.functions.stats import edge_threshold
 from haplospark.operators import blocks as B
-from haplospark.operators.haplotypes import explode_haps, low_support
+from haplospark.operators.haplotypes import explode_haps, low_support, row_reads
 from haplospark.operators.rounds import written
 from haplospark.operators.runs import segments
 
 
 def edge_counts(haps: DataFrame, keys: list[str]) -> DataFrame:
-    """haps(keys, hap[, n reads]) -> keys, idx, src, dst, n: called symbols at idx and idx + 1. Strings are counted before they are cut."""
-    counted = haps.groupBy(*keys, "hap").agg(F.count("*").alias("reads"))
+    """haps(keys, hap[, n reads]) -> keys, idx, src, dst, n: called symbols at idx and idx + 1. Strings are counted before they are cut, or come counted
+    (``row_reads``)."""
+    counted = haps.groupBy(*keys, "hap").agg(row_reads(haps).alias("reads"))
     pairs = F.transform(F.sequence(F.lit(1), F.length("hap") - 1), lambda i: F.struct((i - 1).alias("idx"), F.substr("hap", i, F.lit(1)).alias("src"), F.substr("hap", i + 1, F.lit(1)).alias("dst")))
     each = counted.where(F.length("hap") > 1).select(*keys, "reads", F.explode(pairs).alias("p")).select(*keys, "reads", "p.*")
     return each.where((F.col("src") != "x") & (F.col("dst") != "x")).groupBy(*keys, "idx", "src", "dst").agg(F.sum("reads").alias("n"))
@@ -63,9 +64,11 @@ def paths(edges: DataFrame, keys: list[str], first: int, last: int) -> DataFrame
 
 
 def initial_nodes(edges: DataFrame, reads: DataFrame, keys: list[str]) -> DataFrame:
-    """kept edges, reads(keys, read, hap) -> keys, pos, hap of one symbol: ends of edges, and symbols that two reads hold; at a site with neither, those of one."""
+    """kept edges, reads(keys, hap), counted (``row_reads``) or not -> keys, pos, hap of one symbol: ends of edges, and symbols that two reads hold; at a site with neither,
+    those of one."""
     ends = edges.select(*keys, F.col("idx").alias("pos"), F.col("src").alias("hap")).unionByName(edges.select(*keys, (F.col("idx") + 1).alias("pos"), F.col("dst").alias("hap"))).distinct()
-    held = explode_haps(reads, [*keys, "read"]).where("symbol IN ('0', '1', '2', '3', '4')").groupBy(*keys, F.col("idx").alias("pos"), F.col("symbol").alias("hap")).agg(F.count("*").alias("n"))
+    counted = reads.groupBy(*keys, "hap").agg(row_reads(reads).alias("reads"))
+    held = explode_haps(counted, [*keys, "reads"]).where("symbol IN ('0', '1', '2', '3', '4')").groupBy(*keys, F.col("idx").alias("pos"), "symbol").agg(F.sum("reads").alias("n")).withColumnRenamed("symbol", "hap")
     x = held.join(ends.withColumn("end", F.lit(True)), [*keys, "pos", "hap"], "full")
     good = F.col("end").isNotNull() | (F.col("n") > 1)
     some = F.max(good.cast("int")).over(Window.partitionBy(*keys, "pos"))
@@ -73,17 +76,18 @@ def initial_nodes(edges: DataFrame, reads: DataFrame, keys: list[str]) -> DataFr
 
 
 def assemble(reads: DataFrame, keys: list[str], least: int = 4, pivot: int = -1) -> DataFrame:
-    """reads(keys, read, hap), equally long in a region of two sites or more -> keys, hap, extended: haplotypes with ``least`` reads of their
+    """reads(keys, hap), equally long in a region of two sites or more -> keys, hap, extended: haplotypes with ``least`` reads of their
     own, and how far linked candidates extend each.
 
-    Every step is a join over all regions: weak edges go and reads are masked; runs of sites in which each symbol has one successor become blocks by paths,
+    Reads are read once and counted by string; all that follows grows with the distinct strings alone. Every step is a join over all regions: weak edges go and reads are masked; runs of sites in which each symbol has one successor become blocks by paths,
     branching ones by the reads that span them; then blocks are scanned from the left, merged by size, and at last joined with
     x where nothing links them. A region of one such run is its paths alone. Only the count of rounds depends on the data: by the number of sites."""
     keys_of = lambda df: df.select(*keys).distinct()
+    reads = written(reads.groupBy(*keys, "hap").agg(row_reads(reads).alias("reads")), "reads")
     widths = written(reads.groupBy(*keys).agg(F.max(F.length("hap")).alias("width")).where("width > 1"), "widths")
     pruned = written(prune_edges(edge_counts(reads, keys), keys), "edges")
     kept = pruned.where("NOT weak").drop("weak")
-    masked = written(mask_reads(reads, pruned, keys).select(*keys, "read", "hap"), "masked")
+    masked = written(mask_reads(reads, pruned, keys).groupBy(*keys, "hap").agg(F.sum("reads").alias("reads")), "masked")
     nodes = written(initial_nodes(kept, reads, keys), "nodes")
     edges = kept.select(*keys, F.col("idx").alias("pos"), "src", (F.col("idx") + 1).alias("dst_pos"), "dst", "n")
     known = classify_gaps(kept, nodes.select(*keys, F.col("pos").alias("idx"), F.col("hap").alias("symbol")), keys, pivot)

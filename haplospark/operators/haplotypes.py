@@ -11,6 +11,12 @@ from haplospark.operators.rounds import written
 SALTS = 16
 
 
+def row_reads(rows: DataFrame) -> Column:
+    """An aggregate: the reads that ``rows`` stand for. A row is one read, or as many as its column ``reads`` says, so that equal strings can be counted once
+    and for all."""
+    return F.sum("reads") if "reads" in rows.columns else F.count("*")
+
+
 def encode_reads(symbols: DataFrame, keys: list[str], sites: list, least: int = 0) -> DataFrame:
     """symbols(keys, read, site, symbol) -> keys, read, hap: one symbol a site of ``sites``, x where the read has none; the
     least symbol where it has several. ``least``: calls that a read needs. One aggregation, no join."""
@@ -97,8 +103,8 @@ def shared_reads(matches: DataFrame, keys: list[str], of: str = "read") -> DataF
 
 def low_support(reads: DataFrame, haps: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     """haps left after dropping those without unique reads, then those with fewer than ``least``; a read has one row. Whatever is dropped, a read that
-    is unique to a haplotype stays so, hence the second drop leaves none with too few: repeating it would change nothing."""
-    counts = written(reads.groupBy(*keys, "hap").agg(F.count("*").alias("n")), "strings")
+    is unique to a haplotype stays so, hence the second drop leaves none with too few: repeating it would change nothing. Reads may come counted (``row_reads``)."""
+    counts = written(reads.groupBy(*keys, "hap").agg(row_reads(reads).alias("n")), "strings")
     strings, now = counts.withColumnRenamed("hap", "read_hap"), haps
     for floor in (1, least):
         support = sole_matches(string_matches(counts, now, keys), keys).join(strings, [*keys, "read_hap"]).groupBy(*keys, "hap").agg(F.sum("n").alias("n"))
