@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from haplospark.operators.spread import dealt
+
 
 def second_copy(haps: DataFrame, first: DataFrame, links: DataFrame, directed: DataFrame, loose: DataFrame, placed: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     """The copy behind a known first one. haps(keys, hap, is_last, is_middle): copies that may be on the allele; first(keys, hap); links(keys, a, b): b is linked with a;
@@ -14,51 +18,51 @@ def second_copy(haps: DataFrame, first: DataFrame, links: DataFrame, directed: D
     those not on the only set found, if that holds the first of the last copies by name (``unplaced``, ``unplaced_order``); one inner copy follows the first by
     ``least`` loose links (``loose``).
 
-    Each copy gets its marks by joins, and one aggregation a key counts them: no row holds a region. A copy named twice counts once, last or middle if any
-    row says so; nulls are neither; links to copies that aren't among ``haps`` decide nothing but how many follow."""
-    on, flag = [*keys, "hap"], lambda c: F.coalesce(F.bool_or(c), F.lit(False)).alias(c)
-    every = haps.where("hap IS NOT NULL").groupBy(*on).agg(flag("is_last"), flag("is_middle"))
-    start = first.groupBy(*keys).agg(F.min("hap").alias("first"))
-    others = every.join(start, keys).where("hap <> first")
-    lasts = every.where("is_last").groupBy(*keys).agg(F.count("*").alias("n_last"), F.min("hap").alias("last"))
-    x = others.join(lasts, keys, "left")
-
-    pairs = links.select(*keys, "a", "b").distinct()
-    before = pairs.join(lasts.where("n_last = 1").select(*keys, F.col("last").alias("a")), [*keys, "a"])
-    only_before = before.groupBy(*keys).agg(F.count("*").alias("n"), F.min("b").alias("hap")).where("n = 1").select(*on, F.lit(True).alias("before_last"))
-    sets = placed.select(*keys, "allele", "hap").distinct()
-    one = sets.groupBy(*keys).agg(F.count_distinct("allele").alias("n")).where("n = 1").select(*keys)
-    ends = one.join(sets, keys).join(lasts, keys).groupBy(*keys).agg(F.bool_or(F.col("hap") == F.col("last")).alias("ends")).where("ends").select(*keys, "ends")
-    on_set = sets.select(*on, F.lit(True).alias("on_set")).distinct()
-    follows = loose.where(F.col("n") >= least).join(start.withColumnRenamed("first", "a"), [*keys, "a"]).select(*keys, F.col("b").alias("hap"))
-    follows = follows.distinct().join(every.where("is_last").select(*on), on, "left_anti")
-    loosely = follows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("hap").alias("hap")).where("n = 1").select(*on, F.lit(True).alias("loose"))
-    x = x.join(only_before, on, "left").join(ends, keys, "left").join(on_set, on, "left").join(loosely, on, "left").fillna(False, ["before_last", "ends", "on_set", "loose"])
-    x = x.withColumns({"inner": ~F.col("is_last"), "free": ~F.col("is_last") & ~F.col("on_set")})
+    What the tables say of a key is dealt by key once, and windows and aggregations by key follow without another shuffle: no row holds a key, but a task does. A copy named
+    twice counts once, last or middle if any row says so; nulls are neither; links to copies that aren't among ``haps`` decide nothing but how many follow."""
+    known = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    fact = lambda df, kind, **c: df.select(*keys, F.lit(kind).alias("kind"), *[F.col(v).alias(k) for k, v in c.items()])
+    facts = [
+        fact(first, "first", a="hap"), fact(haps.where("hap IS NOT NULL").where(known), "copy", a="hap", is_last="is_last", is_middle="is_middle"), fact(links.where(known), "link", a="a", b="b"),
+        fact(directed.where("a <> b").where(known), "way", a="a", b="b"), fact(loose.where(F.col("n") >= least).where(known), "loose", a="a", b="b"), fact(placed.where(known), "set", a="hap", allele="allele"),
+    ]
+    every, by = dealt(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), facts), *keys), Window.partitionBy(*keys)
+    kind = F.col("kind")
+    every = every.withColumns({"first": F.min(F.when(kind == "first", F.col("a"))).over(by), "one_set": F.min("allele").over(by) == F.max("allele").over(by)})
+    # a row for each copy with its marks, one for each link; of loose links only the copy that they lead to is left, of first copies the least
+    every = every.where("kind NOT IN ('first', 'loose') OR a = first OR (kind = 'first' AND first IS NULL)")
+    edge, follows, any_of = kind.isin("link", "way"), kind == "loose", lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    row = every.groupBy(*keys, F.when(edge, kind).when(kind == "first", "first").otherwise("copy").alias("row"), F.when(follows, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(edge, F.col("b")).alias("b"))
+    x = row.agg(
+        any_of((kind == "copy") & (F.col("a") != F.col("first"))).alias("other"), any_of(F.col("is_last")).alias("is_last"), any_of(F.col("is_middle")).alias("is_middle"), any_of(kind == "set").alias("on_set"), any_of(F.col("one_set") & (kind == "set")).alias("on_only_set"),
+        any_of(follows).alias("follows"),
+    )
 
-    # which of two copies comes before the other: links among inner copies, and among free ones
-    among = directed.select(*keys, "a", "b").distinct().where("a <> b")
-    marks = lambda name: x.select(*keys, F.col("hap").alias(name), F.col("inner").alias(f"inner_{name}"), F.col("free").alias(f"free_{name}"))
-    met = among.join(marks("a"), [*keys, "a"]).join(marks("b"), [*keys, "b"]).where("inner_a AND inner_b").withColumn("free", F.col("free_a") & F.col("free_b"))
-    ways = met.select(*keys, "free", F.inline(F.array(F.struct(F.col("a").alias("hap"), F.lit(1).alias("out")), F.struct(F.col("b").alias("hap"), F.lit(0).alias("out")))))
-    counted = ways.groupBy(*on).agg(*[F.count_if((F.col("out") == o) & (F.lit(not f) | F.col("free"))).alias(n) for n, o, f in (("ahead", 1, False), ("behind", 0, False), ("free_ahead", 1, True), ("free_behind", 0, True))])
-    x = x.join(counted, on, "left").fillna(0, ["ahead", "behind", "free_ahead", "free_behind"])
+    a, b = F.col("a"), F.col("b")
+    x = x.withColumn("inner", F.col("other") & ~F.col("is_last")).withColumn("free", F.col("inner") & ~F.col("on_set"))
+    ends = lambda c: (F.min(F.when(F.col(c), a)).over(by), F.max(F.when(F.col(c), a)).over(by))
+    (inner1, inner2), (free1, free2) = ends("inner"), ends("free")
+    x = x.withColumns({"n_last": F.count_if("is_last").over(by), "last": F.min(F.when(F.col("is_last"), a)).over(by), "inner1": inner1, "inner2": inner2, "free1": free1, "free2": free2})
 
-    n, name = (lambda c: F.count_if(c)), (lambda c: F.min(F.when(c, F.col("hap"))))
-    inner, free, middle, bare = F.col("inner"), F.col("free"), F.col("is_middle"), F.col("inner") & ~F.col("before_last")
-    leads, free_leads = inner & (F.col("ahead") > 0) & (F.col("behind") == 0), free & (F.col("free_ahead") > 0) & (F.col("free_behind") == 0)
-    # a key counts as one with a known last but one also if that copy is the first itself, or not among haps
-    known = only_before.select(*keys, F.lit(True).alias("known"))
-    x = x.join(known, keys, "left").fillna(False, ["known"])
-    all_of = x.groupBy(*keys, "first").agg(
-        F.count("*").alias("n"), F.min("hap").alias("any"), n(inner).alias("n_inner"), name(inner).alias("inner"), n(middle).alias("n_middle"), name(middle).alias("middle"), n(bare).alias("n_bare"), name(bare).alias("bare"),
-        name(leads).alias("leads"), n(free).alias("n_free"), name(free).alias("free"), name(free_leads).alias("free_leads"), name(F.col("loose")).alias("loose"), F.bool_or("ends").alias("ends"), F.bool_or("known").alias("known"),
+    # which of two copies comes before the other: of the ways between them there is just one
+    between = lambda one, two: (F.col("row") == "way") & (((a == F.col(one)) & (b == F.col(two))) | ((a == F.col(two)) & (b == F.col(one))))
+    before = (F.col("row") == "link") & (F.col("n_last") == 1) & (a == F.col("last"))
+    on, free_on, behind = between("inner1", "inner2"), between("free1", "free2"), F.col("follows") & ~F.col("is_last")
+    n, name = (lambda c: F.count_if(c)), (lambda c, v=a: F.min(F.when(c, v)))
+    all_of = x.groupBy(*keys).agg(
+        F.bool_or(F.col("row") == "first").alias("given"), name(F.col("row") == "first").alias("first"), n(F.col("other")).alias("n"), name(F.col("other")).alias("any"), n(F.col("inner")).alias("n_inner"), F.min("inner1").alias("inner1"), F.min("inner2").alias("inner2"),
+        n(F.col("other") & F.col("is_middle")).alias("n_middle"), name(F.col("other") & F.col("is_middle")).alias("middle"), n(before).alias("n_before"), name(before, b).alias("before"), n(on).alias("n_on"), name(on).alias("leads"),
+        n(F.col("free")).alias("n_free"), F.min("free1").alias("free1"), n(free_on).alias("n_free_on"), name(free_on).alias("free_leads"), n(behind).alias("n_behind"), name(behind & F.col("other")).alias("behind"),
+        F.bool_or(F.col("on_only_set") & (a == F.col("last"))).alias("ends"),
     )
+    # of one inner copy the rule is ``inner``, so all but one are linked with the last one where that leaves one of two
+    bare = F.when(F.col("before") == F.col("inner1"), F.col("inner2")).when(F.col("before") == F.col("inner2"), F.col("inner1"))
+    all_of = all_of.withColumn("bare", F.when((F.col("n_before") == 1) & (F.col("n_inner") == 2), bare))
     rules: list[tuple[str, Column, str]] = [
-        ("only", F.col("n") == 1, "any"), ("inner", F.col("n_inner") == 1, "inner"), ("middle", (F.col("n") == 2) & (F.col("n_middle") == 1), "middle"), ("before_last", F.col("known") & (F.col("n_bare") == 1), "bare"),
-        ("order", (F.col("n_inner") == 2) & F.col("leads").isNotNull(), "leads"), ("unplaced", F.col("ends") & (F.col("n_free") == 1), "free"),
-        ("unplaced_order", F.col("ends") & (F.col("n_free") == 2) & F.col("free_leads").isNotNull(), "free_leads"), ("loose", F.col("loose").isNotNull(), "loose"),
+        ("only", F.col("n") == 1, "any"), ("inner", F.col("n_inner") == 1, "inner1"), ("middle", (F.col("n") == 2) & (F.col("n_middle") == 1), "middle"), ("before_last", F.col("bare").isNotNull(), "bare"),
+        ("order", (F.col("n_inner") == 2) & (F.col("n_on") == 1), "leads"), ("unplaced", F.col("ends") & (F.col("n_free") == 1), "free1"),
+        ("unplaced_order", F.col("ends") & (F.col("n_free") == 2) & (F.col("n_free_on") == 1), "free_leads"), ("loose", (F.col("n_behind") == 1) & F.col("behind").isNotNull(), "behind"),
     ]
     rule = F.coalesce(*[F.when(c, F.lit(r)) for r, c, _ in rules])
     second = F.coalesce(*[F.when(c, F.col(v)) for _, c, v in rules])
-    return start.join(all_of.select(*keys, second.alias("second"), rule.alias("rule")), keys, "left").select(*keys, "first", "second", "rule")
+    return all_of.where("given").select(*keys, "first", second.alias("second"), rule.alias("rule"))

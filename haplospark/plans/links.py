@@ -125,4 +125,4 @@ def second_copies(spark, d):
     directed = lines.select("region", F.col("hap").alias("a"), h(F.col("l_partkey") % 5 + 1).alias("b"))
     loose = lines.select("region", h(F.col("l_suppkey") % 3 + 1).alias("a"), F.col("hap").alias("b"), (F.col("l_quantity").cast("int") % 6).alias("n"))
     placed = lines.where("l_partkey % 3 = 0").select("region", F.col("l_linestatus").alias("allele"), "hap")
-    return O.second_copy(haps, haps.groupBy("region").agg(F.min("hap").alias("hap")), links, directed, loose, placed, K)
+    return O.second_copy(haps, haps, links, directed, loose, placed, K)

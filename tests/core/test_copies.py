@@ -41,3 +41,15 @@ def test_rules_in_turn(spark):
     found = {x.region: (x.second, x.rule) for x in O.second_copy(frames["haps"], first, *args, K).collect()}
     assert found == {r: (c[7] and named(c[7]), c[8]) for r, c in cases.items()}
     assert O.second_copy(frames["haps"].limit(0), first.limit(0), *args, K).count() == 0
+
+
+def test_tables_are_dealt_once(spark):
+    """What the tables say of a key meets in one shuffle; keys that are null, and first copies that are, have no second."""
+    haps = spark.createDataFrame([(k, f"h{c}", False, False) for k in ("a", "b", None) for c in "12"] + [("c", "h1", True, False)], "region string, hap string, is_last boolean, is_middle boolean")
+    first = spark.createDataFrame([("a", "h1"), ("a", "h2"), ("b", None), (None, "h1"), ("d", "h1")], "region string, hap string")
+    pair = spark.createDataFrame([("a", "h1", "h2")], "region string, a string, b string")
+    loose, placed = pair.selectExpr("*", "9 AS n"), pair.selectExpr("region", "a AS allele", "b AS hap")
+    found = O.second_copy(haps, first, pair, pair, loose, placed, K)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(x.region, x.first, x.second, x.rule) for x in found.collect()} == {("a", "h1", "h2", "only"), ("b", None, None, None), (None, "h1", None, None), ("d", "h1", None, None)}
