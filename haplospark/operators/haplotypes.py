@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haplospark.operators.rounds import written
+from haplospark.operators.spread import dealt
 
 #: Parts of a key's strings.
 SALTS = 16
 
+#: Bytes of matches, folded by string, that a join broadcasts at most.
+BROADCAST_BYTES = 128 << 20
+
 
 def row_reads(rows: DataFrame) -> Column:
     """An aggregate: the reads that ``rows`` stand for. A row is one read, or as many as its column ``reads`` says, so that equal strings can be counted once
@@ -76,8 +80,15 @@ def of_reads(reads: DataFrame, strings: DataFrame, keys: list[str]) -> DataFrame
 
 def match_reads(reads: DataFrame, haps: DataFrame, keys: list[str]) -> DataFrame:
     """reads(keys, read, hap), haps(keys, hap) -> keys, read, read_hap, hap, match: pairs without a mismatch and with a match.
-    Distinct read strings meet the haplotypes of their own key; reads are joined back."""
-    return of_reads(reads, string_matches(reads, haps, keys), keys)
+    Distinct read strings meet the haplotypes of their own key. There are far more rows than reads, so a read meets the haplotypes of its string folded in a row for each number
+    of matches, and rows are made last: reads are dealt by read, neither sorted nor gathered by string, as long as what is folded can be broadcast; that is bounded by its bytes."""
+    found = string_matches(reads, haps.repartition(SALTS, "hap"), keys)  # few tasks, as each sends to all
+    folded = written(found.groupBy(*keys, "read_hap", "match").agg(F.collect_list("hap").alias("haps")), "matches")
+    string = F.ceil(F.length("read_hap") / 8) * 8 + 8  # bytes in an array
+    few = (folded.agg(F.sum(F.size("haps") * string)).first()[0] or 0) <= BROADCAST_BYTES
+    flat = lambda rows: rows.withColumn("hap", F.explode("haps")).drop("haps")
+    each = flat(of_reads(dealt(reads, "read"), F.broadcast(folded), keys)) if few else of_reads(reads, flat(folded), keys)
+    return each.select(*keys, "read", "read_hap", "hap", "match")
 
 
 def sole_matches(matches: DataFrame, keys: list[str]) -> DataFrame:

@@ -35,7 +35,12 @@ READS = f"""reads AS (
 
 def haps(spark: SparkSession, sf_dir: str, calls: int = 3) -> DataFrame:
     """region, hap: strings with ``calls`` calls or more that two reads hold."""
-    full = reads(spark, sf_dir).where(F.length(F.replace("hap", F.lit("x"), F.lit(""))) >= calls)
+    return haps_of(reads(spark, sf_dir), calls)
+
+
+def haps_of(reads: DataFrame, calls: int = 3) -> DataFrame:
+    """The ``haps`` of given reads."""
+    full = reads.where(F.length(F.replace("hap", F.lit("x"), F.lit(""))) >= calls)
     return full.groupBy("region", "hap").agg(F.count("*").alias("n")).where("n >= 2").select("region", "hap")
 
 

@@ -16,6 +16,7 @@ from haplospark.operators import intervals as I
 from haplospark.operators import pileup as P
 from haplospark.operators import runs as R
 from haplospark.operators import variants as V
+from haplospark.operators.rounds import written
 from haplospark.operators.spread import dealt
 from haplospark.plans import analogues as X
 from haplospark.plans.analogues import CONTROLS, DEPTHS, HAPS, HISTOGRAM, LONG_HAPS, READS, SPANS, TOKENS
@@ -315,13 +316,10 @@ def encode_reads(spark, d):
     return X.reads(spark, d).select("region", "read", "hap")
 
 
-def _matches(spark, d):
-    return H.match_reads(X.reads(spark, d), X.haps(spark, d), K)
-
-
 @query("SELECT region, read, read_hap, hap, match FROM hits WHERE match >= 1", (READS, HAPS, _PAIR_SQL, _HITS))
 def hap_match(spark, d):
-    return _matches(spark, d).select("region", "read", "read_hap", "hap", "match")
+    reads = written(X.reads(spark, d), "reads")
+    return H.match_reads(reads, X.haps_of(reads), K)
 
 
 _SHARE = " OR ".join(f"(x.hap[{i}] <> 'x' AND y.hap[{i}] <> 'x')" for i in range(1, 8))
